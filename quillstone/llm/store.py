@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when it is known to have at most so many rows of a few bytes each.
 BROADCAST_ROWS = 500_000
 #: ... or, for rows of any width, at most so many bytes as written.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def shared(spark: SparkSession) -> str:

@@ -4,16 +4,16 @@ A byte goes if a string of ``threshold`` bytes that covers it also starts earlie
 start). Suffixes are ordered only through their first ``threshold`` bytes, in passes over ever finer digits; within a
 group of equal digits the least (id, start) is the string's first place and all others repeat it.
 
-Pass 1, digit = half of the threshold. Only synchronising suffixes are carried: in each window of ``threshold`` bytes the
-    half-length string with the least hash. Equal windows choose the same one, so every repeat meets here. A random
-    text has one in threshold / 4 positions or so, which is what makes the shuffle smaller than the text.
-Pass 2, same partition, digit = all bytes that the windows through that position can touch. All but the first of an
-    equal group are settled: each of these windows starts earlier. A group whose first pass has only one such digit
-    needs nothing more.
-Pass 3, digit = the whole window, for the first places of groups with several digits: the edges of repeats.
+Pass 1 carries synchronising suffixes only: in each window of ``threshold`` bytes the half-length string with the least hash.
+    Equal windows choose the same one, so every repeat meets here; a random text has one in threshold / 4 positions or so, which
+    keeps the shuffle smaller than the text. The windows through such a place start at 0 to threshold / 2 bytes before it.
+A pass takes a range of these starts at a time. Its digit is what all windows of the range have in common, its finer digit
+    all bytes that they touch. If the digit occurs once, none of the windows repeats. All but the first of a group of equal finer
+    digits are settled: all their windows start earlier. The first ones of a group of several finer digits go on to the
+    next pass with shorter ranges: all starts, then sqrt of them, then each alone.
 
-Digits are compared as 128 bits of hash. Each Python batch keeps only its first place of a digit under the digit's key and
-sends the others on by their row, so a hot string costs its partition one row a batch.
+Digits are compared as 128 bits of hash. Each Python batch keeps only its first place of a finer digit under the digit's key
+and sends the others on by their row, so a hot string costs its partition one row a batch.
 
 Edge cases: null text is empty; a text shorter than the threshold stays whole; ids that are null or repeated are replaced
 by the order of (id, text), see store.keyed; an empty table gives an empty result; other columns are not read.
@@ -21,7 +21,9 @@ by the order of (id, text), see store.keyed; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,31 +36,31 @@ from .flat import U
 from .store import cut, keyed, small
 
 THRESHOLD = 100
-MARK = "h long, g long, uid long, at long"
-
-
-def _settle(h, g, uid, at):
-    """Keep the first place of each (h, g) of this batch; the rest get at = -1 - at and a key of their own row."""
-    key = h * U(0x9E3779B97F4A7C15) ^ g
-    order = np.argsort(key, kind="stable")
-    hs, gs = h[order], g[order]
-    again = np.zeros(len(h), bool)
-    again[1:] = (hs[1:] == hs[:-1]) & (gs[1:] == gs[:-1])
-    rest = order[again]
-    h, g, at = h.copy(), g.copy(), at.copy()
+
+
+def _settle(key: list[np.ndarray], uid, at, rest_: list[np.ndarray]):
+    """Of rows of equal keys in this batch all but the first get at = -1 - at and a first key of their own row."""
+    one = key[0].copy()
+    for k in key[1:]:
+        one = one * U(0x9E3779B97F4A7C15) ^ k
+    order = np.lexsort((at, uid)) if len(uid) and (np.diff(uid) < 0).any() else np.arange(len(uid))
+    order = order[np.argsort(one[order], kind="stable")]
+    again = np.ones(max(len(order) - 1, 0), bool)
+    for k in key:
+        again &= k[order[1:]] == k[order[:-1]]
+    rest = order[1:][again]
+    at, first = at.copy(), key[0].copy()
     at[rest] = -1 - at[rest]
-    h[rest], g[rest] = flat.mix(uid[rest].view(np.uint64) + (-1 - at[rest]).view(np.uint64)), U(0)
-    return h, g, uid, at
+    first[rest] = flat.mix(uid[rest].view(np.uint64) + (-1 - at[rest]).view(np.uint64))
+    return [first, *key[1:], uid, at, *rest_]
 
 
-def _batch(parts: list[tuple]) -> pa.RecordBatch:
-    if parts:
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        order = np.lexsort((cols[3], cols[2]))
-        cols = _settle(*(c[order] for c in cols))
-    else:
-        cols = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], ["h", "g", "uid", "at"])
+def _batch(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """``parts`` hold the columns ``names``, keys up to uid."""
+    cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64 if i < names.index("uid") else np.int64) for i in range(len(names))]
+    n = names.index("uid")
+    cols = _settle(cols[:n], cols[n], cols[n + 1], cols[n + 2 :])
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names)
 
 
 def _pieces(data, off, thr):
@@ -78,7 +80,7 @@ def _pieces(data, off, thr):
 
 
 def anchors(data: np.ndarray, off: np.ndarray, uid: np.ndarray, thr: int) -> Iterator[tuple]:
-    """(h, g, uid, at) of the synchronising suffixes of each row."""
+    """(h, u, uid, at) of the synchronising suffixes of each row: digit, finer digit, place."""
     k = thr // 2
     width = thr - k + 1
     for part, begin, end, w0, w1, base, row in _pieces(data, off, thr):
@@ -109,14 +111,22 @@ def _anchor_batches(thr: int):
         for b in batches:
             data, off = flat.flatten(flat.column(b, "text"))
             uid = flat.column(b, "uid").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield _batch(list(anchors(data, off, uid, thr)))
+            yield _batch(list(anchors(data, off, uid, thr)), ["h", "u", "uid", "at"])
 
     return run
 
 
-def _window_batches(thr: int):
-    """From (uid, text, open: the (h, at) to look at) to every window through them."""
-    k = thr // 2
+def _cells(first: np.ndarray, last: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges [first, last] cut into ranges of ``size``: (which, its first, its last)."""
+    many = (last - first) // size + 1
+    which = np.repeat(np.arange(len(first)), many)
+    a = first[which] + size * (np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many))
+    return which, a, np.minimum(a + size - 1, last[which])
+
+
+def _range_batches(thr: int, size: int):
+    """From (uid, text, open: the (h, at, cell) to look at) to the shorter ranges with a valid window."""
+    names = ["h", "g", "u", "uid", "at", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,65 +134,65 @@ def _window_batches(thr: int):
             uids, lists = flat.column(b, "uid").to_pylist(), flat.column(b, "open")
             parts, rows = [], 0
             for i, uid in enumerate(uids):
-                pairs = lists[i].values
-                h, at = (pairs.field(x).to_numpy(zero_copy_only=False) for x in ("h", "at"))
+                h, at, cell = (lists[i].values.field(x).to_numpy(zero_copy_only=False) for x in ("h", "at", "cell"))
                 n = int(off[i + 1] - off[i])
-                for j in range(0, len(at), 4096):
-                    p = at[j : j + 4096]
-                    lo, hi = np.maximum(0, p - (thr - k)), np.minimum(p, n - thr)
-                    many = hi - lo + 1
-                    s = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-                    a, z = int(lo.min()), int(hi.max()) + thr
-                    g = np.empty(len(s), np.uint64)
-                    for x in range(a, z - thr + 1, flat.BLOCK_BYTES):  # a far-flung chunk goes piece by piece
-                        y = min(x + flat.BLOCK_BYTES, z - thr + 1)
-                        sel = (s >= x) & (s < y)
-                        if sel.any():
-                            part = data[off[i] + x : off[i] + y + thr - 1]
-                            c, (_, down) = flat.prefix(part, 1), flat.powers(1, len(part))
-                            r = s[sel] - x
-                            g[sel] = (c[r + thr] - c[r]) * down[r]
-                    g = flat.mix(g + flat.mix((np.repeat(p, many) - s).astype(np.uint64)))
-                    parts.append((np.repeat(h[j : j + 4096], many).view(np.uint64), g, np.full(len(s), uid, np.int64), s))
-                    rows += len(s)
+                order = np.argsort(at, kind="stable")
+                h, at, cell = h[order], at[order], cell[order]
+                j = 0
+                while j < len(at):  # places near each other share their prefix sums
+                    z = int(np.searchsorted(at, at[j] + flat.BLOCK_BYTES, "right"))
+                    p, hh = at[j:z], h[j:z]
+                    base, stop = max(0, int(p[0]) - thr), min(n, int(p[-1]) + 2 * thr)
+                    part = data[off[i] + base : off[i] + stop]
+                    c, (_, down) = flat.prefix(part, 1), flat.powers(1, len(part))
+
+                    def digit(s, e, c=c, down=down, base=base):
+                        return (c[e - base] - c[s - base]) * down[s - base]
+
+                    which, a, z_ = _cells(cell[j:z] >> 16, cell[j:z] & 0xFFFF, size)
+                    q = p[which]
+                    low, high = np.maximum(a, q - np.minimum(q, n - thr)), np.minimum(z_, q)  # valid starts are 0 to n - thr
+                    ok = low <= high
+                    which, a, z_, q, low, high = (x[ok] for x in (which, a, z_, q, low, high))
+                    code = (a << 16 | z_).astype(np.uint64)
+                    g = flat.mix(digit(q - a, q - z_ + thr) + flat.mix(code))
+                    u = flat.mix(digit(q - high, q - low + thr) + flat.mix(code << U(32) | (low << 16 | high).astype(np.uint64)))
+                    parts.append((hh[which].view(np.uint64), g, u, np.full(len(q), uid, np.int64), q, code.astype(np.int64)))
+                    rows += len(q)
+                    j = z
                 if rows > 1_000_000:
-                    yield _batch(parts)
+                    yield _batch(parts, names)
                     parts, rows = [], 0
             if parts:
-                yield _batch(parts)
+                yield _batch(parts, names)
 
     return run
 
 
-def covered(n: int, starts: np.ndarray, thr: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by the windows at ``starts``."""
-    if not len(starts):
+def covered(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of bytes covered by the ranges [lo, hi)."""
+    if not len(lo):
         return []
-    s = np.unique(starts)
-    gap = np.flatnonzero(s[1:] > s[:-1] + thr)
-    return list(zip(s[np.r_[0, gap + 1]].tolist(), (s[np.r_[gap, len(s) - 1]] + thr).tolist(), strict=True))
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    gap = np.flatnonzero(lo[1:] > hi[:-1])
+    return list(zip(lo[np.r_[0, gap + 1]].tolist(), hi[np.r_[gap, len(hi) - 1]].tolist(), strict=True))
 
 
 def _cut_batches(thr: int):
-    """From (uid, text, whole: settled anchors, single: settled windows) to one row a document."""
-    k = thr // 2
+    """From (uid, text, ranges: settled window starts, both ends in) to one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = flat.flatten(flat.column(b, "text"))
-            whole, single = flat.column(b, "whole"), flat.column(b, "single")
+            ranges = flat.column(b, "ranges")
             out = {x: [] for x in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
             for i in range(len(b)):
                 text = data[off[i] : off[i + 1]]
-                n, starts = len(text), []
-                if whole[i].is_valid:
-                    p = whole[i].values.to_numpy(zero_copy_only=False)
-                    lo, hi = np.maximum(0, p - (thr - k)), np.minimum(p, n - thr)
-                    many = hi - lo + 1
-                    starts.append(np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many))
-                if single[i].is_valid:
-                    starts.append(single[i].values.to_numpy(zero_copy_only=False))
-                spans = covered(n, np.concatenate(starts), thr) if starts else []
+                n, spans = len(text), []
+                if ranges[i].is_valid and n >= thr:
+                    lo, hi = (ranges[i].values.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "hi"))
+                    spans = covered(np.maximum(lo, 0), np.minimum(hi, n - thr) + thr)
                 if spans:
                     keep, at = [], 0
                     for s, e in spans:
@@ -208,34 +218,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("threshold must be at least 4")
     rows, plain = keyed(docs, id_col, text_col)
     body = rows.select("uid", "text")
-    by_digit = Window.partitionBy("h")
-    graded = (
-        body.mapInArrow(_anchor_batches(threshold), MARK)
-        .repartition("h")
-        .withColumn("nth", F.rank().over(Window.partitionBy("h", "g").orderBy("uid", "at")))
-        .withColumn("several", F.min("g").over(by_digit) != F.max("g").over(by_digit))
-        .withColumn("settled", (F.col("at") < 0) | (F.col("nth") > 1))
-        .where("settled or several")
-        .select("h", "uid", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "settled")
-    )
-    graded = cut(graded, "graded")
-    pending = cut(graded.where("not settled").groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("open")), "open")
-    edges = (
-        body.join(small(pending), "uid")
-        .select("uid", "text", "open")
-        .mapInArrow(_window_batches(threshold), MARK)
-        .repartition("h", "g")
-        .withColumn("nth", F.rank().over(Window.partitionBy("h", "g").orderBy("uid", "at")))
-        .where("at < 0 or nth > 1")
-        .select("uid", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), F.lit(False).alias("whole"))
-    )
-    marks = graded.where("settled").select("uid", "at", F.lit(True).alias("whole")).unionByName(edges)
-    places = cut(
-        marks.groupBy("uid").agg(F.collect_list(F.when(F.col("whole"), F.col("at"))).alias("whole"), F.collect_list(F.when(~F.col("whole"), F.col("at"))).alias("single")),
-        "marks",
-    )
+    span = threshold - threshold // 2  # window starts before a synchronising place, besides the one at it
+
+    def graded(rows_: DataFrame, key: list[str], name: str) -> DataFrame:
+        place = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))
+        all_ = Window.partitionBy(*key)
+        out = rows_.repartition(*key).withColumn("nth", F.rank().over(Window.partitionBy(*key, "u").orderBy("uid", "at")))
+        out = out.withColumn("several", F.min("u").over(all_) != F.max("u").over(all_)).withColumn("settled", (F.col("at") < 0) | (F.col("nth") > 1))
+        return cut(out.where("settled or several").select("h", "uid", place.alias("at"), "cell", "settled"), name)
+
+    whole = F.lit(span).cast("bigint").alias("cell")  # starts 0 to span before the place
+    passes = [graded(body.mapInArrow(_anchor_batches(threshold), "h long, u long, uid long, at long").select("*", whole), ["h"], "pass1")]
+    for size in (math.isqrt(span + 1), 1):
+        waiting = passes[-1].where("not settled").groupBy("uid").agg(F.collect_list(F.struct("h", "at", "cell")).alias("open"))
+        waiting = cut(waiting, "open")
+        finer = body.join(small(waiting), "uid").select("uid", "text", "open").mapInArrow(_range_batches(threshold, size), "h long, g long, u long, uid long, at long, cell long")
+        passes.append(graded(finer, ["h", "g"], f"pass{len(passes) + 1}"))
+    marks = functools.reduce(DataFrame.unionByName, (p.where("settled").select("uid", "at", "cell") for p in passes))
+    first, last = F.shiftright("cell", 16), F.col("cell").bitwiseAND(F.lit(0xFFFF))
+    places = marks.groupBy("uid").agg(F.collect_list(F.struct((F.col("at") - last).alias("lo"), (F.col("at") - first).alias("hi"))).alias("ranges"))
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary"
-    out = body.join(small(places), "uid", "left").select("uid", "text", "whole", "single").mapInArrow(_cut_batches(threshold), f"uid long, {fields}")
+    out = body.join(places, "uid", "left").select("uid", "text", "ranges").mapInArrow(_cut_batches(threshold), f"uid long, {fields}")
     if not texts:
         out = out.drop("kept")
     if not plain:
