@@ -1,0 +1,326 @@
+"""Operators against brute force, and on rows with nulls, empty and long texts, repeats and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.llm import components, exact, flat, jaccard, lengths, pieces, quality, suffixes, tiling, toxicity, urls, warc
+from quillstone.llm.queries import tokenizer
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, at string, id string"
+MODEL = "piece_bpe_32k.model"
+
+
+def words(rng, n, k=400):
+    return " ".join(f"w{rng.randrange(k)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = [words(rng, n) for n in (3, 30, 80, 200, 500)]
+    shared = words(rng, 60, 10**6)
+    near = base[3].split()
+    out = [*base, base[2], base[2], shared + " " + base[1], base[1] + " " + shared, " ".join([*near[:190], *(f"x{i}" for i in range(10))]), " ".join([*near[:198], "y", "z"]), "", None, "a", "é " * 400, "ab" * 900, "long " * 6000, words(rng, 20_000)]
+    return [(i, t) for i, t in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en" if i % 2 else None, f"s{i % 3}", None, "clash", "clash", "clash") for i, t in texts], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated and null ids, repeated rows."""
+    rows = [(1, "same text here for all of us"), (1, "same text here for all of us"), (1, "other"), (None, "same text here for all of us"), (None, None), (2, "")]
+    return spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in rows], SCHEMA)
+
+
+def brute_repeats(rows, t):
+    seen, out = set(), {}
+    for i, text in rows:
+        b = (text or "").encode()
+        cov = bytearray(len(b))
+        for s in range(len(b) - t + 1):
+            w = b[s : s + t]
+            if w in seen:
+                cov[s : s + t] = b"\1" * t
+            else:
+                seen.add(w)
+        spans = sum(1 for j in range(len(cov)) if cov[j] and (j == 0 or not cov[j - 1]))
+        out[i] = (len(b), sum(cov), spans, hashlib.sha256(bytes(x for x, c in zip(b, cov, strict=True) if not c)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("t", [100, 17])
+def test_repeats(docs, texts, t):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs, threshold=t).collect()}
+    assert got == brute_repeats(texts, t)
+
+
+def test_repeats_long_rows_go_in_parts(monkeypatch, spark):
+    rng = random.Random(1)
+    t = words(rng, 3000, 50)
+    data, off = flat.flatten(pa.array([t + t]))
+    whole = [np.concatenate(x) for x in zip(*suffixes.anchors(data, off, np.array([7]), 100), strict=True)]
+    monkeypatch.setattr(flat, "BLOCK_BYTES", 1500)
+    flat._powers.clear()
+    parts = [np.concatenate(x) for x in zip(*suffixes.anchors(data, off, np.array([7]), 100), strict=True)]
+    assert {*zip(*(x.tolist() for x in whole), strict=True)} == {*zip(*(x.tolist() for x in parts), strict=True)}
+    h, _, _ = flat.word_hashes(data, off)
+    monkeypatch.undo()
+    assert np.array_equal(h, flat.word_hashes(data, off)[0])
+
+
+def test_repeats_odd_and_empty(odd):
+    got = suffixes.remove_repeats(odd, threshold=8, texts=True).collect()
+    assert len(got) == odd.count() and sum(r.n_removed > 0 for r in got) == 2
+    assert suffixes.remove_repeats(odd.limit(0)).count() == 0
+
+
+def shingles(text, k):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, k, num):
+    s = {i: shingles(t, k) for i, t in rows}
+    p = {i: i for i in s}
+
+    def find(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for a in s:
+        for b in s:
+            if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= num * len(s[a] | s[b]):
+                x, y = find(a), find(b)
+                p[max(x, y)] = min(x, y)
+    return {i: (len(s[i]), find(i)) for i in s}
+
+
+@pytest.mark.parametrize(("k", "num", "block"), [(4, 85, 256), (5, 80, 2)])
+def test_jaccard(spark, monkeypatch, k, num, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(9)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{rng.randrange(90)}" for _ in range(rng.choice([8, 14, 60, 300]))]
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 5, 12])):
+                own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows), "One two"), (len(rows) + 1, "one TWO"), (len(rows) + 2, ""), (len(rows) + 3, None), (len(rows) + 4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_classes(df, k=k, num=num).collect()}
+    assert got == brute_components(rows, k, num)
+    stay = {r.doc_id for r in jaccard.nearest_stay(df, k=k, num=num).collect()}
+    assert stay == {i for i, (_, c) in got.items() if i == c}
+
+
+def test_jaccard_odd_and_empty(odd):
+    got = jaccard.join_classes(odd).collect()
+    assert len(got) == odd.count() and {r.component_id for r in got if r.n_shingles == 3} == {1}
+    assert jaccard.join_classes(odd.limit(0)).count() == 0
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_exact(docs, texts, odd):
+    groups = {}
+    for i, t in texts:
+        groups.setdefault(t or "", []).append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.deduplicate(docs).collect()}
+    assert got == {i: (max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
+    stay = exact.last_stay(docs)
+    assert {r.doc_id for r in stay.collect()} == {max(g) for g in groups.values()} and stay.columns == docs.columns
+    made = exact.deduplicate(odd).collect()
+    assert len(made) == odd.count() and sum(r.kept for r in made) == 3
+    assert exact.last_stay(odd).count() == 3 and exact.deduplicate(odd.limit(0)).count() == 0
+
+
+def test_exact_state_goes_on(spark, docs):
+    one = exact.ExactDedup(spark)
+    one.append(docs)
+    one.process()
+    one.append(spark.createDataFrame([(999, "a")], "doc_id long, text string"))
+    one.process()
+    row = one.state().where(F.col("digest") == hashlib.sha256(b"a").hexdigest()).first()
+    assert (row.stay_id, row.group_size) == (999, 2)
+
+
+def test_pieces_equal_the_library(spark, docs, texts, odd):
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=tokenizer(MODEL))
+    rng = random.Random(2)
+    more = ["".join(rng.choice("ab  c▁é\n日😀") for _ in range(rng.randrange(60))) for _ in range(400)] + ["<s> </s> <0x0A>", " ", "▁", "x" * 900]
+    own = pieces.model(tokenizer(MODEL))
+    all_ = [t or "" for _, t in texts] + more
+    want = sp.encode(all_, add_bos=True, add_eos=True)
+    assert own.encode(all_) == want
+    assert [own.decode(x) for x in want] == [sp.decode(x) for x in want]
+    broken = [[1, 230, 2], [3 + 0xE9, 3 + 0x41], [5, 1, 29871, 6]]
+    assert [own.decode(x) for x in broken] == [sp.decode(x) for x in broken]
+    got = pieces.encode(docs, tokenizer(MODEL))
+    for r in got.collect():
+        ids = sp.encode(dict(texts)[r.doc_id] or "", add_bos=True, add_eos=True)
+        assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    back = {r.doc_id: r.text for r in pieces.decode(got, tokenizer(MODEL)).collect()}
+    assert back == {i: (t or "") for i, t in texts}
+    assert pieces.encode(odd, tokenizer(MODEL)).count() == odd.count() and pieces.encode(odd.limit(0), tokenizer(MODEL)).count() == 0
+
+
+def test_long_words_and_rounds_agree():
+    own = pieces.model(tokenizer(MODEL))
+    rng = random.Random(3)
+    for _ in range(30):
+        w = "▁" + "".join(rng.choice("theandigr") for _ in range(rng.randrange(1, 80)))
+        rounds = own.encode([w[1:]])[0][1:-1]
+        assert [own.ids[s] for s in own._heap(w)] == rounds
+
+
+def test_tiling(spark, docs, odd):
+    rng = random.Random(4)
+    item = [f"b{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, words(rng, 30, 10**6)), (3, "too short"), (4, None)], "item_id long, text string")
+    reordered = " ".join([*item[20:], "x", *item[:20]]).upper()
+    rows = [(1, words(rng, 100) + " " + " ".join(item) + "."), (2, reordered), (3, " ".join(item[:15])), (4, words(rng, 300)), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    got = {r.doc_id: (r.contaminated, r.item_id, r.coverage) for r in tiling.judge(df, bench).collect()}
+    assert got == {1: (True, 1, 1.0), 2: (True, 1, 1.0), 3: (False, None, None), 4: (False, None, None), 5: (False, None, None), 6: (False, None, None)}
+    clean = tiling.clean_stay(df, bench)
+    assert {r.doc_id for r in clean.collect()} == {3, 4, 5, 6} and clean.columns == df.columns
+    assert tiling.judge(odd, bench).count() == odd.count() and tiling.judge(odd.limit(0), bench).count() == 0
+    assert tiling.judge(df, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_tiling_marks_never_overlap():
+    items = tiling.Items([1], ["a b c d e f g h i j"], 5)
+    doc, _ = tiling._words(pa.array(["a b c d e f a b c d e f g h i j"]))
+    assert items.coverage(doc) == {0: 1.0}
+    twice, _ = tiling._words(pa.array(["a b c d e x a b c d e"]))
+    assert items.coverage(twice) == {0: 0.5}
+
+
+def test_tiling_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tiling, "BLOCK_BYTES", 60)
+    bench = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(8))) for i in range(6)], "item_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(8))) for i in range(8)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in tiling.judge(df, bench).collect()} == {(i, i if i < 6 else None) for i in range(8)}
+
+
+URLS = [None, "", "no scheme", "http://A.Net/x", "https://sub.example.NET/en/1?q#f", "http://example.com/de/", "http://x.org/fr/a", "http://x.org/fr", "http://net/", "http://net", "http://badnet/x", "http://a.com/x.net/en/", "http://adult-x.example.com/en/", "x://É.net/é?://y.org/fr/"]
+
+
+def test_urls(spark):
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: tuple(r)[1:] for r in urls.filter_urls(df).collect()}
+    assert got[3] == ("a.net", "/x", "net/", "block") and got[4] == ("sub.example.net", "/en/1", "example.net/en/", "allow")
+    assert got[5][2:] == ("example.com/de/", "block") and got[6][2:] == ("org/fr/", "allow") and got[7][2:] == (None, "allow")
+    assert got[8][2:] == ("net/", "block") and got[9] == ("net", "", None, "allow") and got[10][2:] == (None, "allow") and got[11][2:] == (None, "allow")
+    assert got[12][2:] == (None, "block") and got[13] == ("É.net", "/é", "net/", "block") and got[0] == got[1] == got[2] == ("", "", None, "allow")
+    assert urls.filter_urls(df.limit(0)).count() == 0
+
+
+def test_shift_and_equals_regex():
+    rng = random.Random(6)
+    globs = [bytes(rng.choice(b"ab*?") for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 40))) for _ in range(200)]
+    ok = urls.ShiftAnd(globs).accepted(texts)
+    for j, g in enumerate(globs):
+        r = re.compile(re.escape(g).replace(rb"\*", b".*").replace(rb"\?", b".") + rb"\Z", re.S)
+        assert ok[:, j].tolist() == [bool(r.match(t)) for t in texts]
+
+
+def test_warc(spark):
+    page = "<html lang='en'><head><title>A &amp; B</title><script>no</script></head><body><p>One &lt;two&gt;<br>three</p><!-- no --><a href='/x'>link</a></body></html>"
+    rows = [(1, "http://a/", page), (2, None, None), (None, "http://b/\r\nX: y", "<p>open <b>text"), (1, "http://a/", page)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_id", F.lit("clash"))
+    source = {r.record_id: r for r in warc.responses(df).collect()}
+    made = warc.derive(warc.responses(df)).collect()
+    assert len(made) == 8 and warc.derive(warc.responses(df.limit(0))).count() == 0
+    for r in made:
+        (fields, block), = warc.parse(bytes(r.record))
+        assert fields["WARC-Refers-To"] == r.refers_to in source and fields["WARC-Type"] == r.warc_type and block.decode() == r.block
+        assert fields["WARC-Block-Digest"] == warc.digest(block) and int(fields["Content-Length"]) == r.content_length == len(block)
+        headers, payload = warc.split_http(bytes(source[r.refers_to].http))
+        assert r.payload_digest == warc.digest(payload) and r.source_headers == headers and "X" not in fields
+    text = next(r.block for r in made if r.source_id == 1 and r.warc_type == "conversion")
+    assert text == "A & B\nOne <two>\nthree\nlink"
+    meta = next(r.block for r in made if r.source_id == 1 and r.warc_type == "metadata")
+    assert "title: A & B\r\n" in meta and "outlink: /x\r\n" in meta and "language: en\r\n" in meta
+
+
+def test_lengths(spark, docs, texts, odd):
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    encode = lengths._encoding(path).encode_ordinary
+    n = [len(encode(t or "")) for _, t in texts]
+    sums = lengths.suffix_sums(lengths.histogram(lengths.token_lengths(docs, path)))
+    for r in sums.collect():
+        assert r.n_docs == n.count(r.n_tokens) and r.tokens_total == sum(n) and r.docs_total == len(n)
+        assert r.tokens_kept == sum(min(x, r.n_tokens) for x in n) and r.docs_cut == sum(x > r.n_tokens for x in n)
+    assert {r.context_limit: r.tokens_kept for r in lengths.at_limits(sums, [0, 1, 7, 100, 10**7]).collect()} == {c: sum(min(x, c) for x in n) for c in (0, 1, 7, 100, 10**7)}
+    q = {r.share: r.n_tokens for r in lengths.quantiles(sums, [0.1, 0.5, 1.0]).collect()}
+    assert q == {s: sorted(n)[math.ceil(s * len(n)) - 1] for s in (0.1, 0.5, 1.0)}
+    assert lengths.histogram(lengths.token_lengths(odd.limit(0), path)).count() == 0
+
+
+def labelled(spark, n=600):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(n):
+        bad, toxic = i % 5 == 0, i % 7 == 0
+        w = words(rng, 60, 3000).split()
+        if toxic:
+            for _ in range(rng.randrange(1, 8)):
+                w[rng.randrange(60)] = rng.choice(["vileword", "rottenone", "nastything"])
+        t = " ".join(w)
+        rows.append((i, "!!! ".join(t.upper().split()) if bad else t, "en", f"s{i % 4}"))
+        labels.append((i, int(not bad), int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame([x for x in labels if x[0] % 2 == 0], "doc_id long, quality int, toxic int")
+
+
+def test_toxicity(spark, odd):
+    df, labels = labelled(spark)
+    model = toxicity.train(df, labels)
+    assert (np.diff(model.thresholds) > 0).all()
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    held = [i for i in got if i % 2]
+    assert sum(got[i].toxic == (i % 7 == 0) for i in held) / len(held) > 0.97
+    for r in got.values():
+        assert r.p_above == sorted(r.p_above, reverse=True) and abs(sum(r.p_above) - r.expected_severity) < 1e-9
+    assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(odd.limit(0), model).count() == 0
+    none = toxicity.train(df, labels.limit(0))
+    assert not any(r.toxic for r in toxicity.score(odd, none).collect())
+
+
+def test_quality(spark, odd):
+    df, labels = labelled(spark)
+    got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
+    assert all(got[i].kept == (i % 5 != 0) for i in got)
+    stay = quality.good_stay(df, labels)
+    assert {r.doc_id for r in stay.collect()} == {i for i in got if i % 5} and stay.columns == df.columns
+    clash = odd.withColumn("path", F.lit("clash")).withColumn("logit", F.lit("clash")).withColumn("posterior", F.lit("x"))
+    assert quality.good_stay(clash, labels).columns == clash.columns
+    assert quality.judge(odd, labels).count() == odd.count() and quality.judge(odd.limit(0), labels).count() == 0
+    assert all(r.kept for r in quality.judge(df, labels.where("quality = 1")).collect())
+
+
+def test_sparse_sites_shrink(spark):
+    rows = [("big", "a", 3.0)] * 50 + [("big", "b", -3.0)] * 50 + [("tiny", "a", -3.0)]
+    sites, mean = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, logit double"))
+    got = {(r.site_host, r.site_path): r.path_mean for r in sites.collect()}
+    assert got["big", "b"] < got["tiny", "a"] < mean < got["big", "a"]
