@@ -12,8 +12,8 @@ Tiles: the documents under a key. (1) Each is paired with the tile's least docum
 as it has rows. Pairs are judged by the hashed parity bitmaps of the sets: the bits in which they differ are at most
 the shingles in which the sets differ, which bounds the overlap from above; what is left is intersected exactly as sorted
 arrays. (2) After the components of these links are known, a tile within one component is done. Of those with several,
-the ones of equal membership are one; each is cut into blocks, and each two blocks are compared in a task of their own, bitmaps
-first, for pairs from different components. So no link between different components is lost, and copies or a large cluster
+the ones of equal membership are one; each is cut into blocks, and each two blocks are compared in a task of their own by
+bitmaps, for pairs from different components; what the bit counts allow is intersected exactly. So no link between different components is lost, and copies or a large cluster
 never cost pairs.
 
 Edge cases: null and empty texts have no shingle and link with nothing; a text of fewer than k words is one shingle;
@@ -38,7 +38,6 @@ from .flat import U
 from .store import BROADCAST_ROWS, cut, keyed, small
 
 SLACK = 2
-WORDS = 16  # 64-bit words of a bitmap
 BLOCK = 256  # rows of a block of a tile
 SET = "uid long, n long, bits binary, grams binary"
 
@@ -88,10 +87,18 @@ def tile_keys(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def bitmap(grams: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall on each bit."""
-    odd = np.bincount((flat.mix(grams + U(77)) >> U(54)).astype(np.int64), minlength=64 * WORDS)[: 64 * WORDS] & 1
-    return np.packbits(odd.astype(bool)).view(np.uint64)
+def bitmap(grams: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Parity of the shingles that fall on each bit; about eight bits for each difference that a link allows."""
+    size = max(256, 1 << (8 * (2 * len(grams)) * (den - num) // (den + num)).bit_length())
+    odd = np.bincount((flat.mix(grams + U(77)) & U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap at a smaller power of two: parities of what falls together."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -144,64 +151,90 @@ def _keys(num: int, den: int):
     return emit
 
 
-def _full(uid: pa.Array, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
-    n, bits, grams = [], [], []
-    for s in sets:
-        n.append(len(s))
-        bits.append(bitmap(s).tobytes())
-        grams.append(s.tobytes())
-    return pa.RecordBatch.from_arrays([uid, pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(grams, pa.binary())], ["uid", "n", "bits", "grams"])
+def _full(num: int, den: int):
+    def emit(uid: pa.Array, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
+        n, bits, grams = [], [], []
+        for s in sets:
+            n.append(len(s))
+            bits.append(bitmap(s, num, den).tobytes())
+            grams.append(s.tobytes())
+        return pa.RecordBatch.from_arrays([uid, pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(grams, pa.binary())], ["uid", "n", "bits", "grams"])
+
+    return emit
 
 
-def _judge(num: int, den: int):
-    """(u, v, n_u, bits_u, grams_u, n_v, ...) to the (u, v) that link."""
+def _buffers(col: pa.Array) -> list[np.ndarray]:
+    data, off = flat.flatten(col)
+    whole = data if data.ctypes.data % 8 == 0 else data.copy()
+    return [whole[a:b].view(np.uint64) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+
+def _bounded(num: int, den: int):
+    """(u, v, n_u, bits_u, n_v, bits_v) to the (u, v) whose bit counts allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            col = {x: flat.column(b, x) for x in b.schema.names}
-            nu, nv = (col[x].to_numpy(zero_copy_only=False) for x in ("n_u", "n_v"))
-            bu, bv = (flat.flatten(col[x])[0].view(np.uint64).reshape(-1, WORDS) for x in ("bits_u", "bits_v"))
-            ok = np.bitwise_count(bu ^ bv).sum(1) <= (nu + nv) * (den - num) // (den + num)
-            gu, gv = col["grams_u"], col["grams_v"]
-            keep = [i for i in np.flatnonzero(ok).tolist() if linked(np.frombuffer(gu[i].as_buffer(), np.uint64), np.frombuffer(gv[i].as_buffer(), np.uint64), num, den)]
+            most = (flat.column(b, "n_u").to_numpy(zero_copy_only=False) + flat.column(b, "n_v").to_numpy(zero_copy_only=False)) * (den - num) // (den + num)
+            keep = []
+            for i, (x, y) in enumerate(zip(_buffers(flat.column(b, "bits_u")), _buffers(flat.column(b, "bits_v")), strict=True)):
+                words = min(len(x), len(y))
+                if int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()) <= most[i]:
+                    keep.append(i)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([col["u"].take(at), col["v"].take(at)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([flat.column(b, "u").take(at), flat.column(b, "v").take(at)], ["u", "v"])
 
     return run
 
 
-def _tile(num: int, den: int):
-    """One pair of blocks of a tile: links between its different components, enough to join what links."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "uid"], kind="stable")
-        bits = np.stack([np.frombuffer(x, np.uint64) for x in rows["bits"]])
-        n, uid, comp, side = (rows[x].to_numpy() for x in ("n", "uid", "component", "side"))
-        sets = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        links = []
-        both = rows["i"].iloc[0] != rows["j"].iloc[0]
-        for a in range(len(n)):
-            if both and side[a] == 1:
-                break
-            rest = np.flatnonzero(side == 1) if both else np.arange(a + 1, len(n))
-            rest = rest[comp[rest] != comp[a]]
-            if not len(rest):
-                continue
-            near = rest[np.bitwise_count(bits[rest] ^ bits[a]).sum(1) <= (n[rest] + n[a]) * (den - num) // (den + num)]
-            for b in near.tolist():
-                x, y = find(int(comp[a])), find(int(comp[b]))
-                if x != y and linked(sets[a], sets[b], num, den):
-                    root[max(x, y)] = min(x, y)
-                    links.append((int(uid[a]), int(uid[b])))
-        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+def _judge(num: int, den: int):
+    """(u, v, grams_u, grams_v) to the (u, v) that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = zip(_buffers(flat.column(b, "grams_u")), _buffers(flat.column(b, "grams_v")), strict=True)
+            at = pa.array([i for i, (x, y) in enumerate(sets) if linked(x, y, num, den)], pa.int64())
+            yield pa.RecordBatch.from_arrays([flat.column(b, "u").take(at), flat.column(b, "v").take(at)], ["u", "v"])
+
+    return run
+
+
+def _tiles(num: int, den: int):
+    """Rows sorted by (key, i, j), pairs of blocks of tiles, to the pairs from different components whose bit counts allow a link."""
+
+    def tile(uid, n, comp, side, maps, both):
+        words = min(map(len, maps))
+        bits = np.stack([fold(x, words) for x in maps])
+        place = np.arange(len(n))
+        for a in np.flatnonzero(side == 0).tolist():
+            rest = np.flatnonzero((side == 1 if both else place > a) & (comp != comp[a]))
+            if len(rest):
+                near = rest[np.bitwise_count(bits[rest] ^ bits[a]).sum(1) <= (n[rest] + n[a]) * (den - num) // (den + num)]
+                yield np.minimum(uid[near], uid[a]), np.maximum(uid[near], uid[a])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "i", "j", "uid", "n", "component", "side"]
+        held = None  # the rows of the last group, which may go on: two blocks at most
+        for b in batches:
+            now = [flat.column(b, x).to_numpy(zero_copy_only=False) for x in names] + [np.array(_buffers(flat.column(b, "bits")) + [None], object)[:-1]]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            key, i, j = now[:3]
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+            held = [x[last:] for x in now]
+            yield from work(now, [0, *cuts.tolist()] if len(cuts) else [])
+        if held is not None and len(held[0]):
+            yield from work(held, [0, len(held[0])])
+
+    def work(cols, cuts):
+        found = []
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            _, i, j, uid, n, comp, side, maps = (c[a:z] for c in cols)
+            if z - a > 1 and (comp != comp[0]).any():
+                found += tile(uid, n, comp, side, maps.tolist(), i[0] != j[0])
+        if found:
+            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return run
 
@@ -227,20 +260,26 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = tiles.where("lead <> uid").select("uid", "lead").distinct()
     pairs = pairs.join(rep, "uid").select("lead", F.col("rep").alias("v")).join(rep.withColumnRenamed("uid", "lead"), "lead")
     pairs = cut(pairs.select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")).where("u <> v").distinct(), "pairs")
-    tiles = cut(tiles.select("key", "uid").join(rep, "uid").select("key", F.col("rep").alias("uid")).distinct(), "members")
+    led = tiles.select("key", "uid", (F.col("uid") == F.col("lead")).alias("is_lead")).join(rep, "uid")
+    tiles = cut(led.groupBy("key", F.col("rep").alias("uid")).agg(F.max("is_lead").alias("is_lead")), "members")
 
     wanted = cut(tiles.select("uid").distinct(), "wanted")
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = cut(body.join(near, "uid").select("uid", "text").mapInArrow(_sets(k, _full), SET), "sets")
+    sets = cut(body.join(near, "uid").select("uid", "text").mapInArrow(_sets(k, _full(num, den)), SET), "sets")
+
+    def of(x: str, *cols: str) -> DataFrame:
+        return sets.select(F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
 
-    def of(x: str) -> DataFrame:
-        return sets.select(F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "grams")])
+    def exact(pairs_: DataFrame, name: str) -> DataFrame:
+        """The pairs that link: only these and the few that the bit counts can't tell move their sets."""
+        return cut(pairs_.join(of("u", "grams"), "u").join(of("v", "grams"), "v").mapInArrow(_judge(num, den), "u long, v long"), name)
 
-    links = cut(pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(_judge(num, den), "u long, v long"), "links")
+    close = cut(pairs.join(of("u", "n", "bits"), "u").join(of("v", "n", "bits"), "v").mapInArrow(_bounded(num, den), "u long, v long"), "close")
+    links = exact(close, "links")
     comps = cut(components(links), "comps")
 
-    # tiles that still hold several components
-    label = tiles.join(comps.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
+    # tiles that still hold several components; each one's least document has met all others, so it's left out
+    label = tiles.where("not is_lead").join(comps.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
     label = cut(label, "labels")
     member = F.xxhash64("uid").cast("decimal(38,0)")
     open_ = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count(F.lit(1)).alias("size"), F.sum(member).alias("sum"), F.sum(F.xxhash64("uid", F.lit(1)).cast("decimal(38,0)")).alias("sum2"))
@@ -251,8 +290,8 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = here.select("key", "uid", "component", "own", other).select(
         "key", "uid", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side")
     )
-    more = placed.join(sets, "uid").groupBy("key", "i", "j").applyInPandas(_tile(num, den), "u long, v long")
-    more = cut(more.distinct(), "more")
+    near = placed.join(sets.drop("grams"), "uid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(num, den), "u long, v long")
+    more = exact(cut(near.distinct(), "near"), "more")
     if more.limit(1).count():
         comps = cut(components(links.unionByName(more)), "comps")
 
