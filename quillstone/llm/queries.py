@@ -37,8 +37,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = warc.derive(warc.responses(_read(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id")
-    return made.withColumns({"source_headers": F.to_json("source_headers"), "record_sha256": F.sha2("record", 256)}).drop("record")
+    made = warc.derive(warc.responses(_read(spark, sf_dir, "pages")), records=False).withColumnRenamed("source_id", "page_id")
+    return made.withColumn("source_headers", F.to_json("source_headers"))
 
 
 def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

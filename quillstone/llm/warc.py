@@ -31,10 +31,10 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConten
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|body|head)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_SPACES, _LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
+_SPACES, _LINES = re.compile(r"[ \t\r\f\v\xa0]{2,}|[\t\r\f\v\xa0]"), re.compile(r" ?\n[ \n]*")
 _TITLE, _HREF = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I), re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
 _LANG, _CHARSET = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I), re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
-FIELDS = "source_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, source_headers map<string,string>, block string, record binary"
+FIELDS = "source_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, source_headers map<string,string>, block string, record_digest string, record binary"
 
 
 def digest(raw: bytes) -> str:
@@ -114,24 +114,29 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def _derive(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[dict] = []
+            names = schema.names
+            out: list[list] = [[] for _ in names]
             held = 0
             cols = [flat.column(b, x).to_pylist() for x in ("source_id", "record_id", "target_uri", "warc_date", "http")]
             for number, source, uri, date, message in zip(*cols, strict=True):
-                made = derive_one(source or "", uri or "", date or DATE, message or b"")
-                rows += [x | {"source_id": number} for x in made]
-                held += sum(len(x["record"]) for x in made)
+                for x in derive_one(source or "", uri or "", date or DATE, message or b""):
+                    raw = x["record"]
+                    x |= {"source_id": number, "record_digest": digest(raw)}
+                    for name, col in zip(names, out, strict=True):
+                        col.append(x[name])
+                    held += len(raw)
                 if held > 8 * flat.BLOCK_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
+                    out, held = [[] for _ in names], 0
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def derive(source: DataFrame) -> DataFrame:
-    """Two rows, conversion and metadata, for each response; ``record`` is the whole record as bytes."""
+def derive(source: DataFrame, records: bool = True) -> DataFrame:
+    """Two rows, conversion and metadata, for each response; ``record`` is the whole record as bytes, left out unless ``records``."""
     text = pa.string()
-    schema = pa.schema([("source_id", pa.int64()), *((x, text) for x in ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest")), ("content_length", pa.int64()), ("source_headers", pa.map_(text, text)), ("block", text), ("record", pa.binary())])
-    return source.select("source_id", "record_id", "target_uri", "warc_date", "http").mapInArrow(_derive(schema), FIELDS)
+    schema = pa.schema([("source_id", pa.int64()), *((x, text) for x in ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest")), ("content_length", pa.int64()), ("source_headers", pa.map_(text, text)), ("block", text), ("record_digest", text), *([("record", pa.binary())] if records else [])])
+    fields = FIELDS if records else FIELDS.removesuffix(", record binary")
+    return source.select("source_id", "record_id", "target_uri", "warc_date", "http").mapInArrow(_derive(schema), fields)
