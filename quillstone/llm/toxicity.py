@@ -59,14 +59,14 @@ def features(col: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[
         yield both >> BITS, both & ((1 << BITS) - 1), 1 + np.log(count), j - i
 
 
-def _told_apart(row: np.ndarray, place: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each place between toxic and other rows by presence, and which of them mark toxic rows: over 3.5 standard errors."""
+def _told_apart(row: np.ndarray, place: np.ndarray, toxic: np.ndarray, errors: float = 3.5) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of each place between toxic and other rows by presence, and which of them mark toxic rows: by ``errors`` standard errors."""
     t, n = toxic.sum(), len(toxic) - toxic.sum()
     a = np.bincount(place[toxic[row]], minlength=1 << BITS)
     b = np.bincount(place[~toxic[row]], minlength=1 << BITS)
     odds = np.log((a + 0.5) / (t - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))
     error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (t - a + 0.5) + 1 / (n - b + 0.5))
-    return odds, odds > 3.5 * error
+    return odds, odds > errors * error
 
 
 def grade(row: np.ndarray, place: np.ndarray, x: np.ndarray, toxic: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -149,12 +149,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     toxic = np.array([r.y > 0 for r in rows], bool)
     if not len(rows):
         return Ordinal(np.zeros(1 << BITS), np.log(9) + np.arange(GRADES - 1.0))
-    sizes = [len(r.place) // 4 for r in rows]
-    row = np.repeat(np.arange(len(rows)), sizes)
-    place = np.concatenate([np.frombuffer(r.place, np.int32) for r in rows]).astype(np.int64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.place) // 4 for r in rows])
+    place = np.concatenate([np.frombuffer(r.place, np.int32) for r in rows])
     count = np.concatenate([np.frombuffer(r["count"], np.int32) for r in rows])
     words = np.bincount(row, count, minlength=len(rows))
-    x = 1 + np.log(count)
+    del rows
+    near = _told_apart(row, place, toxic, 2.5)[1][place]  # the rest can't mark anything
+    row, place, x = row[near], place[near], 1 + np.log(count[near])
+    del count, near
     return fit_with_cut(row, place, x, toxic, words)
 
 
