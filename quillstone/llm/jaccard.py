@@ -13,7 +13,8 @@ as it has rows. Pairs are judged by the hashed parity bitmaps of the sets: the b
 the shingles in which the sets differ, which bounds the overlap from above; what is left is intersected exactly as sorted
 arrays. (2) After the components of these links are known, a tile within one component is done. Of those with several,
 the ones of equal membership are one; each is cut into blocks, and each two blocks are compared in a task of their own by
-bitmaps, for pairs from different components; what the bit counts allow is intersected exactly. So no link between different components is lost, and copies or a large cluster
+bitmaps, for pairs from different components; what the bit counts allow is intersected exactly. That is done twice: first only a
+forest of such pairs is taken, one for each component that it would join, and then, with the components this gives, all of them. So no link between different components is lost, and copies or a large cluster
 never cost pairs.
 
 Edge cases: null and empty texts have no shingle and link with nothing; a text of fewer than k words is one shingle;
@@ -39,6 +40,7 @@ from .store import BROADCAST_ROWS, cut, keyed, small
 
 SLACK = 2
 BLOCK = 256  # rows of a block of a tile
+SENT = 200_000  # pairs a task remembers
 SET = "uid long, n long, bits binary, grams binary"
 
 
@@ -88,8 +90,8 @@ def tile_keys(grams: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def bitmap(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Parity of the shingles that fall on each bit; about eight bits for each difference that a link allows."""
-    size = max(256, 1 << (8 * (2 * len(grams)) * (den - num) // (den + num)).bit_length())
+    """Parity of the shingles that fall on each bit; over 24 bits for each difference that a link allows."""
+    size = max(512, 1 << (24 * (2 * len(grams)) * (den - num) // (den + num)).bit_length())
     odd = np.bincount((flat.mix(grams + U(77)) & U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
@@ -198,21 +200,27 @@ def _judge(num: int, den: int):
     return run
 
 
-def _tiles(num: int, den: int):
-    """Rows sorted by (key, i, j), pairs of blocks of tiles, to the pairs from different components whose bit counts allow a link."""
+def _tiles(num: int, den: int, forest: bool):
+    """Rows sorted by (key, i, j), pairs of blocks of tiles, to the pairs from different components whose bit counts allow a link; with
+    ``forest`` only as many of them as would join the components of a pair of blocks, were they links."""
 
     def tile(uid, n, comp, side, maps, both):
         words = min(map(len, maps))
         bits = np.stack([fold(x, words) for x in maps])
         place = np.arange(len(n))
+        comp = comp.copy()
         for a in np.flatnonzero(side == 0).tolist():
             rest = np.flatnonzero((side == 1 if both else place > a) & (comp != comp[a]))
             if len(rest):
                 near = rest[np.bitwise_count(bits[rest] ^ bits[a]).sum(1) <= (n[rest] + n[a]) * (den - num) // (den + num)]
+                if forest and len(near):
+                    near = near[np.unique(comp[near], return_index=True)[1]]
+                    comp[np.isin(comp, comp[near])] = comp[a]
                 yield np.minimum(uid[near], uid[a]), np.maximum(uid[near], uid[a])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "i", "j", "uid", "n", "component", "side"]
+        sent: set[tuple[int, int]] = set()  # pairs of this task so far, forgotten when many: a pair may come twice, but none is lost
         held = None  # the rows of the last group, which may go on: two blocks at most
         for b in batches:
             now = [flat.column(b, x).to_numpy(zero_copy_only=False) for x in names] + [np.array(_buffers(flat.column(b, "bits")) + [None], object)[:-1]]
@@ -222,19 +230,24 @@ def _tiles(num: int, den: int):
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             last = int(cuts[-1]) if len(cuts) else 0
             held = [x[last:] for x in now]
-            yield from work(now, [0, *cuts.tolist()] if len(cuts) else [])
+            yield from work(now, [0, *cuts.tolist()] if len(cuts) else [], sent)
         if held is not None and len(held[0]):
-            yield from work(held, [0, len(held[0])])
+            yield from work(held, [0, len(held[0])], sent)
 
-    def work(cols, cuts):
-        found = []
+    def work(cols, cuts, sent):
+        found: list[tuple[int, int]] = []
         for a, z in zip(cuts, cuts[1:], strict=False):
             _, i, j, uid, n, comp, side, maps = (c[a:z] for c in cols)
             if z - a > 1 and (comp != comp[0]).any():
-                found += tile(uid, n, comp, side, maps.tolist(), i[0] != j[0])
+                for u, v in tile(uid, n, comp, side, maps.tolist(), i[0] != j[0]):
+                    new = [x for x in zip(u.tolist(), v.tolist(), strict=True) if x not in sent]
+                    sent.update(new)
+                    found += new
+        if len(sent) > SENT:
+            sent.clear()
         if found:
-            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            u, v = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
@@ -278,22 +291,25 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = exact(close, "links")
     comps = cut(components(links), "comps")
 
-    # tiles that still hold several components; each one's least document has met all others, so it's left out
-    label = tiles.where("not is_lead").join(comps.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
-    label = cut(label, "labels")
-    member = F.xxhash64("uid").cast("decimal(38,0)")
-    open_ = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count(F.lit(1)).alias("size"), F.sum(member).alias("sum"), F.sum(F.xxhash64("uid", F.lit(1)).cast("decimal(38,0)")).alias("sum2"))
-    open_ = open_.where("a <> z").groupBy("size", "sum", "sum2").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    here = label.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    placed = here.select("key", "uid", "component", "own", other).select(
-        "key", "uid", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side")
-    )
-    near = placed.join(sets.drop("grams"), "uid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(num, den), "u long, v long")
-    more = exact(cut(near.distinct(), "near"), "more")
-    if more.limit(1).count():
-        comps = cut(components(links.unionByName(more)), "comps")
+    # tiles that still hold several components, first by a forest of their likely pairs, then by all that is left;
+    # each one's least document has met all others, so it's left out
+    for forest in (True, False):
+        label = tiles.where("not is_lead").join(comps.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
+        label = cut(label, "labels")
+        member = F.xxhash64("uid").cast("decimal(38,0)")
+        open_ = label.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count(F.lit(1)).alias("size"), F.sum(member).alias("sum"), F.sum(F.xxhash64("uid", F.lit(1)).cast("decimal(38,0)")).alias("sum2"))
+        open_ = open_.where("a <> z").groupBy("size", "sum", "sum2").agg(F.min("key").alias("key"))
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        here = label.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+        placed = here.select("key", "uid", "component", "own", other).select(
+            "key", "uid", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side")
+        )
+        near = placed.join(sets.drop("grams"), "uid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(num, den, forest), "u long, v long")
+        more = exact(cut(near.distinct(), "near"), "more")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            comps = cut(components(links), "comps")
 
     found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("uid", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     if not plain:
