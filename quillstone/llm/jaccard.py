@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import flat
 from .components import components
 from .flat import U
-from .store import BROADCAST_ROWS, cut, keyed, small
+from .store import BROADCAST_ROWS, cut, keyed, mapped, small
 
 SLACK = 2
 BLOCK = 256  # rows of a block of a tile
@@ -256,13 +256,13 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, n_shingles, class_id (least id with an equal set), component_id (least id reachable by links)."""
     rows, plain = keyed(docs, id_col, text_col)
     body = rows.select("uid", "text")
-    sized = cut(body.mapInArrow(_sets(k, _digests), "uid long, n long, digest binary"), "sized")
+    sized = cut(mapped(body, _sets(k, _digests), "uid long, n long, digest binary"), "sized")
     least = sized.where("n > 0").groupBy("digest", "n").agg(F.min("uid").alias("rep"))
     classes = cut(sized.join(least, ["digest", "n"], "left").select("uid", "n", F.coalesce("rep", "uid").alias("rep")), "classes")
 
     # tiles of at least two documents, each with its least
     tiles = (
-        body.mapInArrow(_sets(k, _keys(num, den)), "key long, uid long")
+        mapped(body, _sets(k, _keys(num, den)), "key long, uid long")
         .repartition("key")
         .withColumn("lead", F.min("uid").over(Window.partitionBy("key").orderBy("uid")))
         .withColumn("next", F.lead("uid").over(Window.partitionBy("key").orderBy("uid")))
@@ -278,16 +278,16 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     wanted = cut(tiles.select("uid").distinct(), "wanted")
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = cut(body.join(near, "uid").select("uid", "text").mapInArrow(_sets(k, _full(num, den)), SET), "sets")
+    sets = cut(mapped(body.join(near, "uid").select("uid", "text"), _sets(k, _full(num, den)), SET), "sets")
 
     def of(x: str, *cols: str) -> DataFrame:
         return sets.select(F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
 
     def exact(pairs_: DataFrame, name: str) -> DataFrame:
         """The pairs that link: only these and the few that the bit counts can't tell move their sets."""
-        return cut(pairs_.join(of("u", "grams"), "u").join(of("v", "grams"), "v").mapInArrow(_judge(num, den), "u long, v long"), name)
+        return cut(mapped(pairs_.join(of("u", "grams"), "u").join(of("v", "grams"), "v"), _judge(num, den), "u long, v long"), name)
 
-    close = cut(pairs.join(of("u", "n", "bits"), "u").join(of("v", "n", "bits"), "v").mapInArrow(_bounded(num, den), "u long, v long"), "close")
+    close = cut(mapped(pairs.join(of("u", "n", "bits"), "u").join(of("v", "n", "bits"), "v"), _bounded(num, den), "u long, v long"), "close")
     links = exact(close, "links")
     comps = cut(components(links), "comps")
 
@@ -305,7 +305,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         placed = here.select("key", "uid", "component", "own", other).select(
             "key", "uid", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side")
         )
-        near = placed.join(sets.drop("grams"), "uid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(num, den, forest), "u long, v long")
+        near = mapped(placed.join(sets.drop("grams"), "uid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _tiles(num, den, forest), "u long, v long")
         more = exact(cut(near.distinct(), "near"), "more")
         if more.limit(1).count():
             links = links.unionByName(more)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
+from .store import mapped
 
 PIECE = 1 << 17  # a longer text is encoded line group by line group of so many characters
 
@@ -47,7 +48,7 @@ def _lengths(path: str):
 def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) of each row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_lengths(path), "id long, n_tokens long").withColumnRenamed("id", id_col)
+    return mapped(rows, _lengths(path), "id long, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

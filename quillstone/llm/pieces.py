@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .store import mapped
 
 SPACE = "▁"
 TABLE_WORDS = 600_000
@@ -352,7 +353,7 @@ def _encode(path: str):
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ids (array<int>), n_tokens, ids_sha256, decoded_sha256 (of decode(ids))."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = rows.mapInArrow(_encode(path), "id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    made = mapped(rows, _encode(path), "id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return made.withColumnRenamed("id", id_col)
 
 

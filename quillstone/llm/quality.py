@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .store import cut, small
+from .store import cut, mapped, small
 from .tiling import BETWEEN
 from .toxicity import MAX_LABELLED, sample
 
@@ -91,7 +91,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    rows = sample(docs, labels, "quality", max_labelled, id_col, text_col).select("id", "text", "y").mapInArrow(_labelled, "y int, x binary").orderBy("x", "y").collect()
+    rows = mapped(sample(docs, labels, "quality", max_labelled, id_col, text_col).select("id", "text", "y"), _labelled, "y int, x binary").orderBy("x", "y").collect()
     width = next(figures(pa.array([""]))).shape[1]
     y = np.array([r.y > 0 for r in rows], float)
     x = np.stack([np.frombuffer(r.x, float) for r in rows]) if rows else np.zeros((0, width))
@@ -115,7 +115,7 @@ def with_logit(rows: DataFrame, model: Classifier) -> DataFrame:
     """``rows`` (with a column text) and their classifier log-odds."""
     shipped = rows.sparkSession.sparkContext.broadcast(model)  # a few dozen numbers
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_logits(shipped), f"{schema}, logit double")
+    return mapped(rows, _logits(shipped), f"{schema}, logit double")
 
 
 def _strength(means: DataFrame, parent: str) -> float:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: ... or, for rows of any width, at most so many bytes as written.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch where the session sets none; a batch is held several times over on its way, in each task.
+BATCH_BYTES = 4 << 20
 
 
 def shared(spark: SparkSession) -> str:
@@ -42,6 +44,14 @@ def _at(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches bounded by bytes, so that long texts don't widen what a task holds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a cut() that nothing reads any more."""
     p, fs = _at(df.sparkSession, df._cut_path)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .store import mapped
 
 SEED = 5
 COVERAGE = 0.5
@@ -150,7 +151,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for ids, texts in _blocks(benchmark, item_col, "text"):
         shipped = spark.sparkContext.broadcast((ids, texts))
         schema = f"id long, found {kind}, kept_row {now.schema['kept_row'].dataType.simpleString()}"
-        part = now.mapInArrow(_judge(shipped, seed, least), schema)
+        part = mapped(now, _judge(shipped, seed, least), schema)
         out = part if out is None else out.unionByName(part)
         blocks_so_far = 1 if out is part else 2
     if out is None:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .store import mapped
 from .tiling import BETWEEN
 
 BITS = 20
@@ -145,7 +146,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
-    rows = sample(docs, labels, "toxic", max_labelled, id_col, text_col).select("id", "text", "y").mapInArrow(_counts, "y int, place binary, count binary").orderBy("place", "y").collect()
+    rows = mapped(sample(docs, labels, "toxic", max_labelled, id_col, text_col).select("id", "text", "y"), _counts, "y int, place binary, count binary").orderBy("place", "y").collect()
     toxic = np.array([r.y > 0 for r in rows], bool)
     if not len(rows):
         return Ordinal(np.zeros(1 << BITS), np.log(9) + np.arange(GRADES - 1.0))
@@ -197,4 +198,4 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     """One row per row of ``docs``: id, expected_severity, p_toxic, p_above (for each threshold), toxic."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the data
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(shipped), "id long, expected_severity double, p_toxic double, p_above array<double>, toxic boolean").withColumnRenamed("id", id_col)
+    return mapped(rows, _score(shipped), "id long, expected_severity double, p_toxic double, p_above array<double>, toxic boolean").withColumnRenamed("id", id_col)
