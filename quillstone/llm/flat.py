@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18  # a kernel holds some ten arrays of eight bytes for each
 _rng = np.random.Generator(np.random.PCG64(20240501))
 TABLES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = [int(x) * 8 + 5 for x in _rng.integers(2**40, 2**60, 2)]

@@ -40,8 +40,8 @@ from .store import BROADCAST_ROWS, cut, keyed, mapped, small
 
 SLACK = 2
 BLOCK = 256  # rows of a block of a tile
-SENT = 200_000  # pairs a task remembers
-SET = "uid long, n long, bits binary, grams binary"
+SENT = 200_000  # pairs or sets a task remembers
+SET = "uid long, n long, slim binary, bits binary, grams binary"
 
 
 @cache
@@ -128,21 +128,29 @@ def _sets(k: int, emit) -> object:
     return run
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def _digests(uid: pa.Array, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
     n, digest = [], []
     for s in sets:
         n.append(len(s))
-        digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+        digest.append(_digest(s))
     return pa.RecordBatch.from_arrays([uid, pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["uid", "n", "digest"])
 
 
 def _keys(num: int, den: int):
+    seen: set[bytes] = set()  # digests of this task's sets so far, forgotten when many
+
     def emit(uid: pa.Array, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
-        ids, parts, seen = uid.to_numpy(zero_copy_only=False), [], set()
+        ids, parts = uid.to_numpy(zero_copy_only=False), []
+        if len(seen) > SENT:
+            seen.clear()
         for i, s in zip(ids.tolist(), sets, strict=True):
-            whole = s.tobytes()
+            whole = _digest(s)
             if whole in seen:
-                continue  # a copy within the block: its first keeps the class in the tiles
+                continue  # a copy within the task: its first keeps the class in the tiles
             seen.add(whole)
             keys = tile_keys(s, num, den)
             if len(keys):
@@ -155,12 +163,14 @@ def _keys(num: int, den: int):
 
 def _full(num: int, den: int):
     def emit(uid: pa.Array, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
-        n, bits, grams = [], [], []
+        n, slim, bits, grams = [], [], [], []
         for s in sets:
             n.append(len(s))
-            bits.append(bitmap(s, num, den).tobytes())
+            full = bitmap(s, num, den)
+            slim.append(fold(full, max(8, len(full) // 4)).tobytes())  # what travels with pairs
+            bits.append(full.tobytes())
             grams.append(s.tobytes())
-        return pa.RecordBatch.from_arrays([uid, pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(grams, pa.binary())], ["uid", "n", "bits", "grams"])
+        return pa.RecordBatch.from_arrays([uid, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (slim, bits, grams))], ["uid", "n", "slim", "bits", "grams"])
 
     return emit
 
@@ -172,13 +182,13 @@ def _buffers(col: pa.Array) -> list[np.ndarray]:
 
 
 def _bounded(num: int, den: int):
-    """(u, v, n_u, bits_u, n_v, bits_v) to the (u, v) whose bit counts allow a link."""
+    """(u, v, n_u, slim_u, n_v, slim_v) to the (u, v) whose bit counts allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             most = (flat.column(b, "n_u").to_numpy(zero_copy_only=False) + flat.column(b, "n_v").to_numpy(zero_copy_only=False)) * (den - num) // (den + num)
             keep = []
-            for i, (x, y) in enumerate(zip(_buffers(flat.column(b, "bits_u")), _buffers(flat.column(b, "bits_v")), strict=True)):
+            for i, (x, y) in enumerate(zip(_buffers(flat.column(b, "slim_u")), _buffers(flat.column(b, "slim_v")), strict=True)):
                 words = min(len(x), len(y))
                 if int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()) <= most[i]:
                     keep.append(i)
@@ -287,7 +297,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """The pairs that link: only these and the few that the bit counts can't tell move their sets."""
         return cut(mapped(pairs_.join(of("u", "grams"), "u").join(of("v", "grams"), "v"), _judge(num, den), "u long, v long"), name)
 
-    close = cut(mapped(pairs.join(of("u", "n", "bits"), "u").join(of("v", "n", "bits"), "v"), _bounded(num, den), "u long, v long"), "close")
+    close = cut(mapped(pairs.join(of("u", "n", "slim"), "u").join(of("v", "n", "slim"), "v"), _bounded(num, den), "u long, v long"), "close")
     links = exact(close, "links")
     comps = cut(components(links), "comps")
 
@@ -305,7 +315,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         placed = here.select("key", "uid", "component", "own", other).select(
             "key", "uid", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side")
         )
-        near = mapped(placed.join(sets.drop("grams"), "uid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _tiles(num, den, forest), "u long, v long")
+        near = mapped(placed.join(sets.drop("slim", "grams"), "uid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _tiles(num, den, forest), "u long, v long")
         more = exact(cut(near.distinct(), "near"), "more")
         if more.limit(1).count():
             links = links.unionByName(more)
