@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import flat
 from .components import components
 from .flat import U
-from .store import BROADCAST_ROWS, cut, keyed, mapped, small
+from .store import BROADCAST_ROWS, cut, drop, keyed, mapped, small
 
 SLACK = 2
 BLOCK = 256  # rows of a block of a tile
@@ -269,6 +269,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sized = cut(mapped(body, _sets(k, _digests), "uid long, n long, digest binary"), "sized")
     least = sized.where("n > 0").groupBy("digest", "n").agg(F.min("uid").alias("rep"))
     classes = cut(sized.join(least, ["digest", "n"], "left").select("uid", "n", F.coalesce("rep", "uid").alias("rep")), "classes")
+    drop(sized)
 
     # tiles of at least two documents, each with its least
     tiles = (
@@ -279,16 +280,19 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where("lead <> uid or next is not null")
     )
     tiles = cut(tiles.select("key", "uid", "lead"), "tiles")
-    rep = classes.where("n > 0").select("uid", "rep")
+    rep = classes.where("n > 0").select("uid", "rep", "n")
     pairs = tiles.where("lead <> uid").select("uid", "lead").distinct()
-    pairs = pairs.join(rep, "uid").select("lead", F.col("rep").alias("v")).join(rep.withColumnRenamed("uid", "lead"), "lead")
+    pairs = pairs.join(rep, "uid").select("lead", F.col("rep").alias("v"), F.col("n").alias("n_v")).join(rep.withColumnRenamed("uid", "lead"), "lead")
+    pairs = pairs.where(F.least("n", "n_v") * den >= F.greatest("n", "n_v") * num)  # the overlap is at most the smaller set
     pairs = cut(pairs.select(F.least("rep", "v").alias("u"), F.greatest("rep", "v").alias("v")).where("u <> v").distinct(), "pairs")
     led = tiles.select("key", "uid", (F.col("uid") == F.col("lead")).alias("is_lead")).join(rep, "uid")
-    tiles = cut(led.groupBy("key", F.col("rep").alias("uid")).agg(F.max("is_lead").alias("is_lead")), "members")
+    raw, tiles = tiles, cut(led.groupBy("key", F.col("rep").alias("uid")).agg(F.max("is_lead").alias("is_lead")), "members")
+    drop(raw)
 
     wanted = cut(tiles.select("uid").distinct(), "wanted")
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     sets = cut(mapped(body.join(near, "uid").select("uid", "text"), _sets(k, _full(num, den)), SET), "sets")
+    drop(wanted)
 
     def of(x: str, *cols: str) -> DataFrame:
         return sets.select(F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
@@ -298,7 +302,9 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return cut(mapped(pairs_.join(of("u", "grams"), "u").join(of("v", "grams"), "v"), _judge(num, den), "u long, v long"), name)
 
     close = cut(mapped(pairs.join(of("u", "n", "slim"), "u").join(of("v", "n", "slim"), "v"), _bounded(num, den), "u long, v long"), "close")
+    drop(pairs)
     links = exact(close, "links")
+    drop(close)
     comps = cut(components(links), "comps")
 
     # tiles that still hold several components, first by a forest of their likely pairs, then by all that is left;
@@ -316,10 +322,15 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "key", "uid", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side")
         )
         near = mapped(placed.join(sets.drop("slim", "grams"), "uid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _tiles(num, den, forest), "u long, v long")
-        more = exact(cut(near.distinct(), "near"), "more")
+        near = cut(near.distinct(), "near")
+        more = exact(near, "more")
+        drop(label)
+        drop(near)
         if more.limit(1).count():
             links = links.unionByName(more)
             comps = cut(components(links), "comps")
+    for done in (tiles, sets):
+        drop(done)
 
     found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("uid", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     if not plain:

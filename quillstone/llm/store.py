@@ -14,6 +14,8 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
 #: Bytes of an Arrow batch where the session sets none; a batch is held several times over on its way, in each task.
 BATCH_BYTES = 4 << 20
+#: Shuffle files go once the table that was made from them is written: nothing reads them again.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared(spark: SparkSession) -> str:
@@ -32,8 +34,13 @@ def place(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from what was written."""
-    path = place(df.sparkSession, name)
-    df.write.parquet(path)
+    conf, path = df.sparkSession.conf, place(df.sparkSession, name)
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
