@@ -41,7 +41,7 @@ from .store import BROADCAST_ROWS, cut, drop, keyed, mapped, small
 SLACK = 2
 BLOCK = 256  # rows of a block of a tile
 SENT = 200_000  # pairs or sets a task remembers
-SET = "uid long, n long, slim binary, bits binary, grams binary"
+SET = "uid long, n long, slim binary, bits binary"
 
 
 @cache
@@ -163,18 +163,21 @@ def _keys(num: int, den: int):
 
 def _full(num: int, den: int):
     def emit(uid: pa.Array, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
-        n, slim, bits, grams = [], [], [], []
+        n, slim, bits = [], [], []
         for s in sets:
             n.append(len(s))
             full = bitmap(s, num, den)
             slim.append(fold(full, max(8, len(full) // 4)).tobytes())  # what travels with pairs
             bits.append(full.tobytes())
-            grams.append(s.tobytes())
-        return pa.RecordBatch.from_arrays([uid, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (slim, bits, grams))], ["uid", "n", "slim", "bits", "grams"])
+        return pa.RecordBatch.from_arrays([uid, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (slim, bits))], ["uid", "n", "slim", "bits"])
 
     return emit
 
 
+def _grams(uid: pa.Array, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([uid, pa.array([s.tobytes() for s in sets], pa.binary())], ["uid", "grams"])
+
+
 def _buffers(col: pa.Array) -> list[np.ndarray]:
     data, off = flat.flatten(col)
     whole = data if data.ctypes.data % 8 == 0 else data.copy()
@@ -298,8 +301,17 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return sets.select(F.col("uid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
 
     def exact(pairs_: DataFrame, name: str) -> DataFrame:
-        """The pairs that link: only these and the few that the bit counts can't tell move their sets."""
-        return cut(mapped(pairs_.join(of("u", "grams"), "u").join(of("v", "grams"), "v"), _judge(num, den), "u long, v long"), name)
+        """The pairs that link: only their sets are made again from the texts, written and moved."""
+        ends = cut(pairs_.select(F.col("u").alias("uid")).unionByName(pairs_.select(F.col("v").alias("uid"))).distinct(), "ends")
+        full = cut(mapped(body.join(small(ends), "uid").select("uid", "text"), _sets(k, _grams), "uid long, grams binary"), "grams")
+
+        def side(x: str) -> DataFrame:
+            return full.select(F.col("uid").alias(x), F.col("grams").alias(f"grams_{x}"))
+
+        out = cut(mapped(pairs_.join(side("u"), "u").join(side("v"), "v"), _judge(num, den), "u long, v long"), name)
+        drop(ends)
+        drop(full)
+        return out
 
     close = cut(mapped(pairs.join(of("u", "n", "slim"), "u").join(of("v", "n", "slim"), "v"), _bounded(num, den), "u long, v long"), "close")
     drop(pairs)
@@ -321,7 +333,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         placed = here.select("key", "uid", "component", "own", other).select(
             "key", "uid", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side")
         )
-        near = mapped(placed.join(sets.drop("slim", "grams"), "uid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _tiles(num, den, forest), "u long, v long")
+        near = mapped(placed.join(sets.drop("slim"), "uid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _tiles(num, den, forest), "u long, v long")
         near = cut(near.distinct(), "near")
         more = exact(near, "more")
         drop(label)
