@@ -80,9 +80,10 @@ def _pieces(data, off, thr):
 
 
 def anchors(data: np.ndarray, off: np.ndarray, uid: np.ndarray, thr: int) -> Iterator[tuple]:
-    """(h, u, uid, at) of the synchronising suffixes of each row: digit, finer digit, place."""
+    """(h, u, uid, at) of the synchronising suffixes of each row: digit, finer digit, place. Each place comes once."""
     k = thr // 2
     width = thr - k + 1
+    last = (-1, -1)  # row and place that came last: windows on both sides of the end of a part may choose the same
     for part, begin, end, w0, w1, base, row in _pieces(data, off, thr):
         n, ok = len(part), w1 > w0
         if n < thr or not ok.any():
@@ -97,12 +98,15 @@ def anchors(data: np.ndarray, off: np.ndarray, uid: np.ndarray, thr: int) -> Ite
         least[np.cumsum(step[:-1], dtype=np.int8) <= 0] = 0
         pad = np.zeros(width - 1, np.uint32)
         at = np.flatnonzero(flat.slide(np.maximum, np.concatenate([pad, least, pad]), width) == rank)
+        if row == last[0]:  # a later window chooses no place before those of earlier windows that they don't choose as well
+            at = at[at - base[0] > last[1]]
         if not len(at):
             continue
         doc = np.searchsorted(begin, at, "right") - 1
         lo, hi = np.maximum(begin[doc], at - (thr - k)), np.minimum(at, end[doc] - thr)
         c2, (_, down2) = flat.prefix(part, 1), flat.powers(1, n)
         g = (c2[hi + thr] - c2[lo]) * down2[lo] + flat.mix(((at - lo) * (2 * thr) + hi - lo).astype(np.uint64))
+        last = (row + int(doc[-1]), int(at[-1] - base[doc[-1]]))
         yield digit[at], flat.mix(g), uid[row + doc], at - base[doc]
 
 

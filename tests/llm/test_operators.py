@@ -79,6 +79,34 @@ def test_repeats_long_rows_go_in_parts(monkeypatch, spark):
     assert np.array_equal(h, flat.word_hashes(data, off)[0])
 
 
+def in_small_blocks(make, size):
+    """``make`` of a batch function that runs with BLOCK_BYTES = ``size``, in the worker too."""
+
+    def made(*args):
+        def run(batches):
+            before, flat.BLOCK_BYTES, flat.runs.__defaults__ = flat.BLOCK_BYTES, size, (size,)
+            try:
+                yield from make(*args)(batches)
+            finally:
+                flat.BLOCK_BYTES, flat.runs.__defaults__ = before, (before,)
+
+        return run
+
+    return made
+
+
+@pytest.mark.parametrize("size", [1500, 40])
+def test_repeats_across_parts(monkeypatch, spark, size):
+    rng = random.Random(11)
+    same = words(rng, 100, 10**6)
+    rows = [(0, words(rng, 3000, 10**6)), (1, words(rng, 900, 10**6) + same + words(rng, 900, 10**6) + same), (2, same), (3, "ab" * 4000)]
+    for name in ("_anchor_batches", "_range_batches"):
+        monkeypatch.setattr(suffixes, name, in_small_blocks(getattr(suffixes, name), size))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df, threshold=100).collect()}
+    assert got == brute_repeats(rows, 100) and got[0][1] == 0
+
+
 def test_repeats_odd_and_empty(odd):
     got = suffixes.remove_repeats(odd, threshold=8, texts=True).collect()
     assert len(got) == odd.count() and sum(r.n_removed > 0 for r in got) == 2
