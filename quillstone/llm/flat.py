@@ -137,8 +137,12 @@ def stem_hashes(data: np.ndarray, off: np.ndarray, sizes: tuple[int, ...], space
     """(hash, row) of the words of each row and of the first ``sizes`` bytes of those that are longer; not by position."""
     if len(data) > 2 * BLOCK_BYTES and len(off) == 2:
         cuts = _cuts(data, space)
-        parts = [stem_hashes(data[a:b], np.array([0, b - a]), sizes, space) for a, b in zip(cuts, cuts[1:], strict=False)]
+        parts = [_stems(data[a:b], np.array([0, b - a]), sizes, space) for a, b in zip(cuts, cuts[1:], strict=False)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    return _stems(data, off, sizes, space)
+
+
+def _stems(data, off, sizes, space):
     starts, ends, woff = word_spans(data, off, space)
     row = np.repeat(np.arange(len(off) - 1), np.diff(woff))
     c = prefix(data, 0, LOWERED)

@@ -335,6 +335,18 @@ def test_toxicity(spark, odd):
     assert not any(r.toxic for r in toxicity.score(odd, none).collect())
 
 
+def test_toxicity_of_one_long_word(spark):
+    n = 2 * flat.BLOCK_BYTES + 1000
+    h, row = flat.stem_hashes(*flat.flatten(pa.array(["é" * (n // 2)])), toxicity.STEMS, toxicity.BETWEEN)
+    assert len(set(h.tolist())) == 1 + len(toxicity.STEMS) and not row.any()
+    many, _ = flat.stem_hashes(*flat.flatten(pa.array(["ab cdefg " + "x" * n + " yz"])), toxicity.STEMS, toxicity.BETWEEN)
+    apart, _ = flat.stem_hashes(*flat.flatten(pa.array(["ab cdefg", "x" * n, "yz"])), toxicity.STEMS, toxicity.BETWEEN)
+    assert sorted(many.tolist()) == sorted(apart.tolist())
+    df, labels = labelled(spark, 60)
+    model = toxicity.train(df, labels)
+    assert toxicity.score(spark.createDataFrame([(1, "x" * n)], "doc_id long, text string"), model).count() == 1
+
+
 def test_quality(spark, odd):
     df, labels = labelled(spark)
     got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
