@@ -13,6 +13,12 @@ FILE_LANGUAGES = INDEX_LANGUAGES | {".swift": "swift", ".kt": "kotlin", ".scala"
 TECHNOLOGIES = {".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".jsx": "React", ".tsx": "React with TypeScript", ".java": "Java", ".cpp": "C++", ".c": "C", ".cs": "C#", ".go": "Go", ".rs": "Rust", ".php": "PHP", ".rb": "Ruby", ".swift": "Swift", ".kt": "Kotlin"}
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\u0085\\u2028\\u2029]"
 
+# Unicode white space inside a line, for Java's and RE2's classes alike.
+BLANK = "\\s\\x1f\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}"
+IMPORT_LINE = f"^[{BLANK}]*(?:import|from) [{BLANK}]*[^{BLANK}]"
+IMPORT_ROOT = f"^[{BLANK}]*(?:import|from) [{BLANK}]*([^.{BLANK}]*)"
+SCRIPT_IMPORT = f"import[{BLANK}]+.*?from[{BLANK}]+['\"]([^'\"]+)['\"]"
+
 
 def lookup(values: dict[str, str], key: Column, default: str | None = None) -> Column:
     """Value of ``key`` in a small fixed table."""
@@ -67,6 +73,14 @@ def count_lines(parts: Column, *starts: str) -> Column:
     return F.size(F.filter(parts, hit)).cast("bigint")
 
 
+def imports(text: Column, language: Column) -> Column:
+    """What the lines of a file import, in their order: for Python the first dotted part of the second word of lines that begin with
+    import or from (empty for a leading dot), for JavaScript and TypeScript the last path segment after from; else nothing."""
+    python = F.transform(F.filter(lines(text), lambda x: x.rlike(IMPORT_LINE)), lambda x: F.regexp_extract(x, IMPORT_ROOT, 1))
+    script = F.transform(F.filter(lines(text), lambda x: x.rlike(SCRIPT_IMPORT)), lambda x: base_name(F.regexp_extract(x, SCRIPT_IMPORT, 1)))
+    return F.when(language == "python", python).when(language.isin("javascript", "typescript"), script).otherwise(F.array().cast("array<string>"))
+
+
 def entity_id(kind: Column | str, *parts: Column) -> Column:
     """Hex md5 of kind:part:..."""
     return F.md5(F.concat_ws(":", F.lit(kind) if isinstance(kind, str) else kind, *parts))

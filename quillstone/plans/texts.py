@@ -49,6 +49,19 @@ def find_imports(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "^(\\S+)\\s+(\\S+)", 2).alias("second_word"), F.split(F.regexp_extract("text", "^\\S+\\s+(\\S+)", 1), "\\.")[0].alias("root"))
 
 
+_PYTHON = f"list_transform(list_filter(ls, lambda x: regexp_matches(x, '{T.IMPORT_LINE}')), lambda x: regexp_extract(x, '{T.IMPORT_ROOT}', 1))"
+_SCRIPT = T.SCRIPT_IMPORT.replace("'", "''")
+_SCRIPT = f"list_transform(list_filter(ls, lambda x: regexp_matches(x, '{_SCRIPT}')), lambda x: string_split(regexp_extract(x, '{_SCRIPT}', 1), '/')[-1])"
+
+
+@query(f"with s as (select doc_id, text, {SPLIT} as parts from documents), l as (select doc_id, {LINES} as ls from s), m as (select doc_id, 'python' as language, {_PYTHON} as names from l union all select doc_id, 'javascript', {_SCRIPT} from l) select doc_id, language, generate_subscripts(names, 1) as nth, unnest(names) as name from m")
+def find_all_imports(spark, d):
+    """The imports of all lines, by the rules of either language."""
+    both = F.explode(F.array(*[F.struct(F.lit(x).alias("language"), T.imports(F.col("text"), F.lit(x)).alias("names")) for x in ("python", "javascript")]))
+    made = table(spark, d, "documents").select("doc_id", both.alias("m"))
+    return made.select("doc_id", "m.language", F.posexplode("m.names").alias("nth", "name")).withColumn("nth", F.col("nth").cast("bigint") + 1)
+
+
 @query("select md5('file:' || source || ':' || doc_id) as id, doc_id from documents")
 def entity_id_md5(spark, d):
     return table(spark, d, "documents").select(T.entity_id("file", F.col("source"), F.col("doc_id").cast("string")).alias("id"), "doc_id")

@@ -64,6 +64,26 @@ def test_text_functions(spark):
     assert spark.range(1).select(F.lit("a/b/c.py").rlike(T.glob_to_regex("*b*.py")).alias("x")).first().x
 
 
+IMPORTS = "# licence\n\nimport os.path as p\r\n  from  a.b import c\nfrom . import d\nimportant x\nimport\t\nimport \u00a0 \u00a0numpy\nx = 1\nimport q from './lib/util';\n import {z} from \"fs\"; import y from 'no'\nconst r = require('x');\nfromage\n"
+
+
+def test_imports_of_all_lines(spark, tmp_path):
+    import duckdb
+
+    from quillstone.plans.catalog import ORACLES, QUERIES
+
+    rows = [(1, IMPORTS), (2, ""), (3, None), (4, "The import of goods"), (5, "x\n" * 2000 + "import late.one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["find_all_imports"](spark, str(tmp_path)).collect())
+    python = ["os", "a", "", "numpy", "q", "{z}"]
+    assert got == [(1, "javascript", 1, "util"), (1, "javascript", 2, "fs"), *((1, "python", i + 1, x) for i, x in enumerate(python)), (5, "python", 1, "late")]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(ORACLES["find_all_imports"]).fetchall()) == got
+    other = spark.range(1).select(*[T.imports(F.lit(IMPORTS), F.lit(x)).alias(x) for x in ("typescript", "rust")]).first()
+    assert (other.typescript, other.rust) == (["util", "fs"], [])
+
+
 def test_rules(spark):
     q = spark.createDataFrame([("how do I run the test suite",), ("deploy to production",), ("hello",)], "q string")
     assert [r.k for r in q.select(asking.question_kind(F.col("q")).alias("k")).collect()] == ["testing", "deployment", "general"]
