@@ -47,7 +47,7 @@ def index(source: DataFrame, prefix: int | None = None) -> tuple[DataFrame, Data
         inference.similar_names(entities),
     ]
     both = F.concat(F.regexp_extract_all("content", F.lit("import\\s+(\\w+)"), F.lit(1)), F.regexp_extract_all("content", F.lit("from\\s+(\\w+)"), F.lit(1)))
-    uses = whole.select("ord", "id", F.explode(both).alias("token"))
+    uses = read.select((F.col("ord") * stride).alias("ord"), F.md5(F.concat(F.lit("file:"), F.col("path"))).alias("id"), F.explode(both).alias("token"))
     edges.append(inference.shared_dependencies(uses).drop("shared_import"))
     return entities, functools.reduce(DataFrame.unionByName, edges)
 

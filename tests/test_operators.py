@@ -56,6 +56,14 @@ def test_relationships_of_corpus(spark):
     assert samples.index(long)[1].count() >= 0
 
 
+def test_shared_dependencies_of_whole_files(spark):
+    rows = [(i, f"p{i}/f{i}.py", "# licence\n" * 200 + "import json\n") for i in range(2)]
+    source = spark.createDataFrame(rows, "ord long, path string, content string").withColumn("language", F.lit("python"))
+    assert samples.index(source)[1].where("relationship_type = 'shared_dependency'").count() == 1
+    assert samples.index(source, 1500)[1].where("relationship_type = 'shared_dependency'").count() == 0
+    assert samples.index(source, 2100)[1].where("relationship_type = 'shared_dependency'").count() == 1
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("a/.env", "x\ny\n"), ("a/b.tar.gz", ""), ("c.py", "one\r\ntwo")], "p string, t string")
     got = df.select(T.suffix(F.col("p")).alias("s"), F.size(T.lines(F.col("t"))).alias("n")).collect()
