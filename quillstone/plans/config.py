@@ -12,13 +12,14 @@ KB_TYPES, STRATEGIES = {"text", "neo4j", "graph", "vector"}, {"react", "plan_act
 
 @dataclass
 class Config:
-    """Unknown keys are an error; environment variables QUILLSTONE_<KEY> outweigh a file."""
+    """Unknown keys are an error; environment variables QUILLSTONE_<KEY> outweigh a file. ``max_exploration_depth`` (times ten files) and
+    ``max_file_size`` (bytes) limit what is indexed where they are set; by default nothing is left out."""
 
     kb_type: str = "text"
     kb_path: str = "./kb"
     exploration_strategy: str = "react"
-    max_exploration_depth: int = 5
-    max_file_size: int = 1_048_576
+    max_exploration_depth: int | None = None
+    max_file_size: int | None = None
     excluded_dirs: list[str] = field(default_factory=lambda: [".git", "__pycache__", "node_modules", ".venv", "venv"])
     excluded_extensions: list[str] = field(default_factory=lambda: [".pyc", ".pyo", ".pyd", ".so", ".dll", ".exe"])
     prefix: int | None = None
@@ -28,7 +29,7 @@ class Config:
             raise ValueError(f"unknown kb_type: {self.kb_type}")
         if self.exploration_strategy not in STRATEGIES:
             raise ValueError(f"unknown exploration_strategy: {self.exploration_strategy}")
-        if self.max_exploration_depth < 1 or self.max_file_size < 1:
+        if any(x is not None and x < 1 for x in (self.max_exploration_depth, self.max_file_size)):
             raise ValueError("max_exploration_depth and max_file_size must be at least 1")
 
     def to_dict(self) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,20 +26,33 @@ def ranked(files: DataFrame) -> DataFrame:
 
 
 def index_repository(spark: SparkSession, path: str, kb: KnowledgeBase, config: Config | None = None) -> dict:
-    """Counts of what was indexed; the strategies that plan are not implemented and say so."""
+    """Counts of what was indexed, and as errors how many files the limits of ``config`` left out; the strategies that plan are not implemented and say so."""
     config = config or Config()
     config.validate()
     if config.exploration_strategy in STUBS:
         return {"files": 0, "entities": 0, "relationships": 0, "errors": [f"{config.exploration_strategy} is not implemented for indexing"]}
     repo.register(spark)
-    files = (
-        spark.read.format("repository").option("path", path).option("excludedDirs", ",".join(config.excluded_dirs))
-        .option("excludedExtensions", ",".join(config.excluded_extensions)).option("maxBytes", str(config.max_file_size)).load().where("not is_directory")
+    read = lambda content: (
+        spark.read.format("repository").option("path", path).option("content", content).option("excludedDirs", ",".join(config.excluded_dirs))
+        .option("excludedExtensions", ",".join(config.excluded_extensions)).load().where("not is_directory")
     )
-    chosen = ranked(files).orderBy("rank", "path").limit(config.max_exploration_depth * 10)
-    chosen = chosen.withColumn("ord", F.monotonically_increasing_id()).withColumn("language", T.lookup(T.INDEX_LANGUAGES, F.lower("extension"), "unknown"))
+    listed, errors = read("false").select("path", "size", "extension"), []
+    if config.max_file_size is not None:
+        large = F.col("size") > config.max_file_size
+        over, listed = listed.where(large).count(), listed.where(~large)
+        if over:
+            errors.append(f"{over} files over max_file_size ({config.max_file_size} bytes) left out")
+    # numbers go by one task, over paths and not texts
+    chosen = ranked(listed).select("path", (F.row_number().over(Window.orderBy("rank", "path")) - 1).cast("bigint").alias("ord"))
+    if config.max_exploration_depth is not None:
+        most = config.max_exploration_depth * 10
+        over = chosen.count() - most
+        if over > 0:
+            errors.append(f"{over} files beyond the first {most} (max_exploration_depth) left out")
+        chosen = chosen.where(F.col("ord") < most)
+    chosen = read("true").join(chosen, "path").withColumn("language", T.lookup(T.INDEX_LANGUAGES, F.lower("extension"), "unknown"))
     entities, edges = index(chosen.select("ord", "path", "content", "language"), config.prefix)
     none = F.create_map().cast("map<string,string>")
     kb.add(entities.withColumn("created_at", F.lit(None).cast("timestamp_ntz")).withColumn("metadata", none), edges.withColumn("ord", F.monotonically_increasing_id()).withColumn("metadata", none))
     kb.save()
-    return {"files": kb.entities.where("type = 'file'").count(), "entities": kb.entities.count(), "relationships": kb.relationships.count(), "errors": []}
+    return {"files": kb.entities.where("type = 'file'").count(), "entities": kb.entities.count(), "relationships": kb.relationships.count(), "errors": errors}

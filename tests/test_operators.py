@@ -122,6 +122,17 @@ def test_repository_and_knowledge_base(spark, tmp_path):
     assert index_repository(spark, str(root), again, Config(exploration_strategy="plan_act"))["errors"]
 
 
+def test_repository_without_limits(spark, tmp_path):
+    root = tmp_path / "repo"
+    for i in range(53):
+        repo.write_text(str(root / f"d{i}" / "x" / f"f{i}.py"), "y = 1\n")
+    repo.write_text(str(root / "large.py"), "#" * 1_100_000)
+    made = index_repository(spark, str(root), knowledge.create(spark, "text", str(tmp_path / "a")), Config())
+    assert made["files"] == 54 and made["errors"] == []
+    made = index_repository(spark, str(root), knowledge.create(spark, "text", str(tmp_path / "b")), Config(max_exploration_depth=5, max_file_size=1_048_576))
+    assert made["files"] == 50 and [e.split()[0] for e in made["errors"]] == ["1", "3"]
+
+
 def test_config(tmp_path, monkeypatch):
     c = Config(kb_type="vector")
     c.save(str(tmp_path / "c.json"))
