@@ -6,7 +6,8 @@ match with unmarked words is marked again and again, whole or as what is left of
 either text. Coverage is the share of the item's words under marks, whatever their order, so reordered passages count.
 
 The benchmark is the query set: it is cut into blocks of at most BLOCK_BYTES of text by hash of its row, each shipped to every
-task in turn. Documents go through once per block, whole, and nothing about them leaves their task but the verdict.
+task in turn. Documents go through once per block, whole. With one block nothing about them leaves their task but the verdict; with more
+their rows are numbered and written first, and the verdicts on a row meet by its number.
 
 Edge cases: null and empty texts match nothing; an item of fewer than ``seed`` words can't match; ids that repeat are
 judged row by row, and repeated item ids each on their own text; an empty benchmark leaves all documents clean.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .store import mapped
+from .store import cut, mapped
 
 SEED = 5
 COVERAGE = 0.5
@@ -131,33 +132,39 @@ def _judge(shipped, seed: int, least: float):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[int, Iterator[tuple[list, list]]]:
+    """How many blocks there are, and those that hold an item."""
     rows = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
-    for part in range(n):
-        got = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == part).orderBy("i", "t").collect()
-        if got:
-            yield [r.i for r in got], [r.t for r in got]
+
+    def blocks():
+        for part in range(n):
+            got = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == part).orderBy("i", "t").collect()
+            if got:
+                yield [r.i for r in got], [r.t for r in got]
+
+    return n, blocks()
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", seed: int = SEED, least: float = COVERAGE, carry: list[str] = ()) -> DataFrame:
     """One row per row of ``docs``: id, contaminated, n_items, item_id and coverage of the best covered item (least id on ties), found
     (all items covered by ``least`` or more). ``carry``: columns of docs to keep."""
     spark = docs.sparkSession
-    now = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("__one"), *[F.col(c) for c in carry]).alias("kept_row"))
+    now = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.struct(F.monotonically_increasing_id().alias("__row"), *[F.col(c) for c in carry]).alias("kept_row"))
     kind = "array<struct<item_id: long, coverage: double>>"
-    out = None
-    for ids, texts in _blocks(benchmark, item_col, "text"):
+    out, (n, blocks) = None, _blocks(benchmark, item_col, "text")
+    if n > 1:  # the rows of several blocks of items meet again by their number, so it is written
+        now = cut(now, "rows")
+    for ids, texts in blocks:
         shipped = spark.sparkContext.broadcast((ids, texts))
         schema = f"id long, found {kind}, kept_row {now.schema['kept_row'].dataType.simpleString()}"
         part = mapped(now, _judge(shipped, seed, least), schema)
         out = part if out is None else out.unionByName(part)
-        blocks_so_far = 1 if out is part else 2
     if out is None:
-        out, blocks_so_far = now.select("id", F.expr(f"cast(array() as {kind})").alias("found"), "kept_row"), 1
-    if blocks_so_far > 1:  # the rows of several blocks of items meet again
-        out = out.groupBy("id", "kept_row").agg(F.flatten(F.collect_list("found")).alias("found"))
+        out = now.select("id", F.expr(f"cast(array() as {kind})").alias("found"), "kept_row")
+    if n > 1:
+        out = out.groupBy(F.col("kept_row.__row").alias("row")).agg(F.first("id").alias("id"), F.flatten(F.collect_list("found")).alias("found"), F.first("kept_row").alias("kept_row"))
     best = F.array_sort(F.transform("found", lambda x: F.struct((-x["coverage"]).alias("c"), x["item_id"].alias("i"))))
     best = F.try_element_at(best, F.lit(1))
     return out.select(

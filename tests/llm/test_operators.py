@@ -250,6 +250,17 @@ def test_tiling_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in tiling.judge(df, bench).collect()} == {(i, i if i < 6 else None) for i in range(8)}
 
 
+def test_tiling_in_blocks_of_odd_rows(spark, monkeypatch, odd):
+    item = "some words of an item to find"
+    bench = spark.createDataFrame([(i, f"{item} {i} " + " ".join(f"i{i}w{j}" for j in range(3))) for i in range(6)], "item_id long, text string")
+    more = odd.unionByName(spark.createDataFrame([(1, f"{item} 1", None, None, None, None, None, None), (None, f"{item} 2", None, None, None, None, None, None)], SCHEMA))
+    whole = sorted((str(r.doc_id), r.contaminated, r.n_items) for r in tiling.judge(more, bench).collect())
+    clean = sorted(str(r) for r in tiling.clean_stay(more, bench).collect())
+    monkeypatch.setattr(tiling, "BLOCK_BYTES", 60)
+    assert sorted((str(r.doc_id), r.contaminated, r.n_items) for r in tiling.judge(more, bench).collect()) == whole and len(whole) == 8
+    assert sorted(str(r) for r in tiling.clean_stay(more, bench).collect()) == clean and len(clean) == 6
+
+
 URLS = [None, "", "no scheme", "http://A.Net/x", "https://sub.example.NET/en/1?q#f", "http://example.com/de/", "http://x.org/fr/a", "http://x.org/fr", "http://net/", "http://net", "http://badnet/x", "http://a.com/x.net/en/", "http://adult-x.example.com/en/", "x://É.net/é?://y.org/fr/"]
 
 
