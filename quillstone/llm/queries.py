@@ -38,7 +38,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive(warc.responses(_read(spark, sf_dir, "pages")), records=False).withColumnRenamed("source_id", "page_id")
-    return made.withColumn("source_headers", F.to_json("source_headers"))
+    return made.withColumn("source_headers", F.to_json(F.map_from_entries("source_headers")))  # the fixed header repeats no field
 
 
 def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """WARC derivatives: from response records, linked metadata and plain-text conversion records.
 
 A response is (record_id, target_uri, warc_date, http): the HTTP message with its header. Both derivatives name it in
-WARC-Refers-To and carry its target URI, date and payload digest; its HTTP header fields are kept as a map. The conversion
+WARC-Refers-To and carry its target URI, date and payload digest; its HTTP header fields are kept in order, repeated ones too. The conversion
 record holds the text of the page; the metadata record the title, language, charset, outlinks and the digest
 of the conversion. Record ids are derived from the source's id, so a task that runs again makes the same records.
 
@@ -34,7 +34,7 @@ _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _SPACES, _LINES = re.compile(r"[ \t\r\f\v\xa0]{2,}|[\t\r\f\v\xa0]"), re.compile(r" ?\n[ \n]*")
 _TITLE, _HREF = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I), re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
 _LANG, _CHARSET = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I), re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
-FIELDS = "source_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, source_headers map<string,string>, block string, record_digest string, record binary"
+FIELDS = "source_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, source_headers array<struct<name: string, value: string>>, block string, record_digest string, record binary"
 
 
 def digest(raw: bytes) -> str:
@@ -47,13 +47,13 @@ def plain_text(page: str) -> str:
     return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(page))).strip()
 
 
-def split_http(message: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields, the last of a name, and payload. A message without a header is all payload."""
+def split_http(message: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """Header fields in their order and payload. A message without a header is all payload."""
     if not message.startswith(b"HTTP/"):
-        return {}, message
+        return [], message
     head, _, payload = message.partition(b"\r\n\r\n")
     lines = head.decode("latin-1").split("\r\n")[1:]
-    return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k.strip()}, payload
+    return [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines) if k.strip()], payload
 
 
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -81,7 +81,7 @@ def _clean(value: str) -> str:
 def derive_one(source: str, uri: str, date: str, message: bytes) -> list[dict]:
     """The conversion and the metadata record of one response."""
     headers, payload = split_http(message)
-    charset = _CHARSET.search(headers.get("Content-Type", ""))
+    charset = _CHARSET.search(dict(headers).get("Content-Type", ""))
     try:
         page = payload.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
@@ -96,8 +96,8 @@ def derive_one(source: str, uri: str, date: str, message: bytes) -> list[dict]:
     for kind, what, block in (("conversion", "text/plain; charset=utf-8", text), ("metadata", "application/warc-fields", meta)):
         own = digest(block)
         fields = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", source), ("WARC-Target-URI", _clean(uri)), ("WARC-Date", date), ("Content-Type", what), ("WARC-Block-Digest", own), ("WARC-Payload-Digest", of)]
-        fields += [(f"X-Source-{k}", v) for k, v in headers.items()]
-        out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source, "target_uri": uri, "warc_date": date, "content_type": what, "payload_digest": of, "block_digest": own, "content_length": len(block), "source_headers": list(headers.items()), "block": block.decode(), "record": record(fields, block)})
+        fields += [(f"X-Source-{k}", v) for k, v in headers]
+        out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source, "target_uri": uri, "warc_date": date, "content_type": what, "payload_digest": of, "block_digest": own, "content_length": len(block), "source_headers": [{"name": k, "value": v} for k, v in headers], "block": block.decode(), "record": record(fields, block)})
     return out
 
 
@@ -137,6 +137,6 @@ def _derive(schema: pa.Schema):
 def derive(source: DataFrame, records: bool = True) -> DataFrame:
     """Two rows, conversion and metadata, for each response; ``record`` is the whole record as bytes, left out unless ``records``."""
     text = pa.string()
-    schema = pa.schema([("source_id", pa.int64()), *((x, text) for x in ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest")), ("content_length", pa.int64()), ("source_headers", pa.map_(text, text)), ("block", text), ("record_digest", text), *([("record", pa.binary())] if records else [])])
+    schema = pa.schema([("source_id", pa.int64()), *((x, text) for x in ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest")), ("content_length", pa.int64()), ("source_headers", pa.list_(pa.struct([("name", text), ("value", text)]))), ("block", text), ("record_digest", text), *([("record", pa.binary())] if records else [])])
     fields = FIELDS if records else FIELDS.removesuffix(", record binary")
     return source.select("source_id", "record_id", "target_uri", "warc_date", "http").mapInArrow(_derive(schema), fields)

@@ -303,6 +303,16 @@ def test_warc(spark):
     assert "title: A & B\r\n" in meta and "outlink: /x\r\n" in meta and "language: en\r\n" in meta
 
 
+def test_warc_keeps_repeated_fields(spark):
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/html; charset=utf-8\r\nSet-Cookie: b=2\r\n\r\n<p>x"
+    df = spark.createDataFrame([(1, "<urn:uuid:1>", "http://a/", warc.DATE, http)], "source_id long, record_id string, target_uri string, warc_date string, http binary")
+    made = warc.derive(df).collect()
+    assert len(made) == 2
+    for r in made:
+        assert [tuple(x) for x in r.source_headers] == [("Set-Cookie", "a=1"), ("Content-Type", "text/html; charset=utf-8"), ("Set-Cookie", "b=2")]
+        assert b"X-Source-Set-Cookie: a=1\r\n" in bytes(r.record) and b"X-Source-Set-Cookie: b=2\r\n" in bytes(r.record)
+
+
 def test_lengths(spark, docs, texts, odd):
     path = tokenizer("byte_bpe_50k.tiktoken")
     encode = lengths._encoding(path).encode_ordinary
