@@ -79,13 +79,13 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """Documents cut and tokens kept at each of ``limits``: with the least length of at least the limit, or no cut beyond the longest."""
     spark = sums.sparkSession
     ask = spark.createDataFrame([(x,) for x in limits], "context_limit long")
-    near = ask.join(sums, F.col("n_tokens") >= F.col("context_limit"), "left").groupBy("context_limit").agg(F.min_by(F.struct("docs_from", "tokens_from", "n_tokens"), "n_tokens").alias("x"))
+    near = ask.join(sums, F.col("n_tokens") >= F.col("context_limit"), "left").groupBy("context_limit").agg(F.min_by(F.struct("docs_from", "docs_cut", "tokens_from", "n_tokens"), "n_tokens").alias("x"))
     total = sums.agg(F.max("tokens_total").alias("all"))
     over = F.coalesce(F.col("x.docs_from"), F.lit(0))
     return near.join(F.broadcast(total)).select(
-        "context_limit", F.when(F.col("x.n_tokens") == F.col("context_limit"), F.lit(None)).otherwise(over).alias("docs_cut"),
+        "context_limit", F.when(F.col("x.n_tokens") == F.col("context_limit"), F.col("x.docs_cut")).otherwise(over).alias("docs_cut"),
         (F.coalesce(F.col("all"), F.lit(0)) - F.coalesce(F.col("x.tokens_from"), F.lit(0)) + over * F.col("context_limit")).alias("tokens_kept"),
-    ).drop("docs_cut")
+    )
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:

@@ -313,6 +313,14 @@ def test_warc_keeps_repeated_fields(spark):
         assert b"X-Source-Set-Cookie: a=1\r\n" in bytes(r.record) and b"X-Source-Set-Cookie: b=2\r\n" in bytes(r.record)
 
 
+def test_docs_cut_at_any_limit(spark):
+    n = [0, 3, 3, 7, 20]
+    sums = lengths.suffix_sums(lengths.histogram(spark.createDataFrame([(x,) for x in n], "n_tokens long")))
+    limits = [0, 1, 3, 5, 7, 8, 20, 21]
+    got = {r.context_limit: (r.docs_cut, r.tokens_kept) for r in lengths.at_limits(sums, limits).collect()}
+    assert got == {c: (sum(x > c for x in n), sum(min(x, c) for x in n)) for c in limits}
+
+
 def test_lengths(spark, docs, texts, odd):
     path = tokenizer("byte_bpe_50k.tiktoken")
     encode = lengths._encoding(path).encode_ordinary
