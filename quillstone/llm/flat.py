@@ -1,11 +1,14 @@
 """Numpy kernels on the flat bytes of an Arrow batch: rolling hashes, words, shingles.
 
-A hash of the bytes [s, e) is sum(T[b_j] * B**(j - s)) modulo 2**64 with random 64-bit T and odd B, so that it
-follows from prefix sums for any s, e; mix() then spreads it over all bits.
+A window's hash, of the bytes [s, e), is sum(T[b_j] * B**(j - s)) modulo 2**64 with random 64-bit T and odd B, so that it
+follows from prefix sums for any s, e; mix() then spreads it over all bits. Such sums have known colliding strings of a thousand bytes
+and more, so they serve short windows only. A word's hash is the sum of a random 64-bit number for each byte at each place, words of more
+than LONG bytes are hashed by blake2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +20,9 @@ TABLES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.
 BASES = [int(x) * 8 + 5 for x in _rng.integers(2**40, 2**60, 2)]
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-LOWERED = TABLES[:, _LOWER]
+LONG = 64
+PLACED = _rng.integers(0, 2**64, (2, LONG, 256), dtype=np.uint64)
+PLACED_LOWER = PLACED[:, :, _LOWER]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -45,14 +50,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def prefix(data: np.ndarray, which: int, table: np.ndarray = TABLES) -> np.ndarray:
+def prefix(data: np.ndarray, which: int) -> np.ndarray:
     """Prefix sums C with hash [s, e) = (C[e] - C[s]) * B**-s."""
     up, _ = powers(which, len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[which][data] * up[: len(data)], out=out[1:])
+    np.cumsum(TABLES[which][data] * up[: len(data)], out=out[1:])
     return out
 
 
+def placed(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Prefix sums C with C[e] - C[s] for the first e - s bytes, LONG at most, of the word that starts at s."""
+    place = np.zeros(len(data), np.int32)
+    place[starts] = starts
+    place = np.arange(len(data), dtype=np.int32) - np.maximum.accumulate(place)
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(table.ravel()[(np.minimum(place, LONG - 1) << 8) | data], out=out[1:])
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the words [starts, ends), which are in order and apart; A-Z lower-cased with ``lower``."""
+    c = placed(data, starts, (PLACED_LOWER if lower else PLACED)[which])
+    size = ends - starts
+    h = c[ends] - c[starts]
+    for i in np.flatnonzero(size > LONG).tolist():
+        raw = data[starts[i] : ends[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(raw.lower() if lower else raw, digest_size=8, salt=bytes([which])).digest(), "little")
+    return mix(h + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+
+
 def slide(op, a: np.ndarray, width: int) -> np.ndarray:
     """op over each run of ``width`` neighbours, by doubling."""
     span = 1
@@ -103,14 +129,14 @@ def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) ->
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE, table: np.ndarray = LOWERED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each row, A-Z lower-cased; offsets by row; starts. Long rows go piece by piece."""
     if len(data) > 2 * BLOCK_BYTES and len(off) == 2:
         cuts = _cuts(data, space)
-        parts = [_hashes(data[a:b], np.array([0, b - a]), space, table) for a, b in zip(cuts, cuts[1:], strict=False)]
+        parts = [_hashes(data[a:b], np.array([0, b - a]), space) for a, b in zip(cuts, cuts[1:], strict=False)]
         h = np.concatenate([p[0] for p in parts])
         return h, np.array([0, len(h)]), np.concatenate([p[2] + a for p, a in zip(parts, cuts, strict=False)])
-    return _hashes(data, off, space, table)
+    return _hashes(data, off, space)
 
 
 def _cuts(data: np.ndarray, space: np.ndarray) -> list[int]:
@@ -125,12 +151,9 @@ def _cuts(data: np.ndarray, space: np.ndarray) -> list[int]:
     return cuts
 
 
-def _hashes(data, off, space, table):
+def _hashes(data, off, space):
     starts, ends, woff = word_spans(data, off, space)
-    c = prefix(data, 0, table)
-    _, down = powers(0, len(data))
-    h = (c[ends] - c[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0x9E3779B97F4A7C15)
-    return mix(h), woff, starts
+    return span_hashes(data, starts, ends, 0, True), woff, starts
 
 
 def stem_hashes(data: np.ndarray, off: np.ndarray, sizes: tuple[int, ...], space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -145,14 +168,12 @@ def stem_hashes(data: np.ndarray, off: np.ndarray, sizes: tuple[int, ...], space
 def _stems(data, off, sizes, space):
     starts, ends, woff = word_spans(data, off, space)
     row = np.repeat(np.arange(len(off) - 1), np.diff(woff))
-    c = prefix(data, 0, LOWERED)
-    _, down = powers(0, len(data))
-    hashes, rows = [], []
-    for size in (0, *sizes):
+    c = placed(data, starts, PLACED_LOWER[0])
+    hashes, rows = [span_hashes(data, starts, ends, 0, True)], [row]
+    for size in sizes:
         longer = np.flatnonzero(ends - starts > size)
         s = starts[longer]
-        e = s + size if size else ends[longer]
-        hashes.append(mix((c[e] - c[s]) * down[s] + U((0x9E3779B97F4A7C15 * (size + 1)) % 2**64)))
+        hashes.append(mix(c[s + size] - c[s] + U((0x9E3779B97F4A7C15 * (size + 1)) % 2**64)))
         rows.append(row[longer])
     return np.concatenate(hashes), np.concatenate(rows)
 

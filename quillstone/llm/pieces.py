@@ -213,8 +213,7 @@ class Pieces:
         begin[off] = True
         starts = np.flatnonzero(begin[:-1])
         ends = np.append(starts[1:], len(data))
-        (c1, c2), down = (flat.prefix(data, w) for w in (0, 1)), [flat.powers(w, len(data))[1] for w in (0, 1)]
-        h1, h2 = (flat.mix((c[ends] - c[starts]) * d[starts] + (ends - starts).astype(np.uint64)) for c, d in zip((c1, c2), down, strict=True))
+        h1, h2 = (flat.span_hashes(data, starts, ends, w) for w in (0, 1))
         _, first, which = np.unique(h1, return_index=True, return_inverse=True)
         if (h2[first][which] != h2).any():  # two words, one hash
             _, first, which = np.unique(np.stack([h1, h2]), axis=1, return_index=True, return_inverse=True)

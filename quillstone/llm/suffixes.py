@@ -218,8 +218,8 @@ def _cut_batches(thr: int):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, texts: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans and, if ``texts``, the bytes kept."""
-    if threshold < 4:
-        raise ValueError("threshold must be at least 4")
+    if not 4 <= threshold <= 256:
+        raise ValueError("threshold must be 4 to 256 bytes: windows are told apart by hashes that longer ones can defeat")
     rows, plain = keyed(docs, id_col, text_col)
     body = rows.select("uid", "text")
     span = threshold - threshold // 2  # window starts before a synchronising place, besides the one at it
