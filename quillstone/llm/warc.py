@@ -7,7 +7,8 @@ of the conversion. Record ids are derived from the source's id, so a task that r
 
 Edge cases: null html or http is an empty payload with an empty conversion; null url is an empty target; a null id is its own value;
 repeated rows give repeated records; markup that never closes is dropped to its end for script, style and comments, else taken as
-text; an empty table gives an empty result; other columns aren't read.
+text; very long pages, of tags that never close too, take time in proportion to their length; header bytes that are no UTF-8 stay as they are in the
+record and are replaced in the columns; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .store import mapped
 
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
 DATE = "1970-01-01T00:00:00Z"
@@ -32,8 +34,9 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|body|head)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _SPACES, _LINES = re.compile(r"[ \t\r\f\v\xa0]{2,}|[\t\r\f\v\xa0]"), re.compile(r" ?\n[ \n]*")
-_TITLE, _HREF = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I), re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
-_LANG, _CHARSET = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I), re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
+_TITLE, _TITLE_END, _A, _HTML = (re.compile(x, re.I) for x in ("<title", "</title", r"<a\b", r"<html\b"))
+_HREF, _LANG = (re.compile(x, re.I) for x in (r"\bhref\s*=\s*[\"']?([^\"'\s>]+)", r"\blang\s*=\s*[\"']?([\w-]+)"))
+_LANG_AT, _CHARSET = re.compile(r"\blang", re.I), re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
 FIELDS = "source_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, source_headers array<struct<name: string, value: string>>, block string, record_digest string, record binary"
 
 
@@ -41,9 +44,60 @@ def digest(raw: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
+def _without(tags: re.Pattern, put: str, page: str) -> str:
+    """Replace tags. None ends beyond the last ">", so what never closes isn't looked through again and again."""
+    end = page.rfind(">") + 1
+    return tags.sub(put, page[:end]) + page[end:]
+
+
+def title_of(page: str) -> str:
+    """Text between the first title tag and its end, or nothing. If the first never closes, no later one does."""
+    at = _TITLE.search(page)
+    start = page.find(">", at.end()) + 1 if at else 0
+    end = _TITLE_END.search(page, start) if start else None
+    return html.unescape(_without(_TAG, "", page[start : end.start()])) if end else ""
+
+
+def _tags(start: re.Pattern, page: str, within):
+    """``within(from, to)`` for tags in their order; it returns where to go on, or None if the tag has nothing."""
+    at, end = 0, -1
+    while tag := start.search(page, at):
+        if end < tag.end():  # else no ">" has come since
+            end = page.find(">", tag.end())
+            end = len(page) if end < 0 else end
+        at = within(tag.end(), end) or end  # what follows in the same tag has nothing either
+
+
+def language_of(page: str) -> str:
+    """The last lang attribute of the first html tag that has one."""
+    found: list[str] = []
+
+    def within(a: int, z: int):
+        for m in reversed([*_LANG_AT.finditer(page, a, z)]):
+            if not found and (value := _LANG.match(page, m.start(), z)):
+                found.append(value[1])
+        return len(page) if found else None
+
+    _tags(_HTML, page, within)
+    return found[0] if found else ""
+
+
+def links_of(page: str) -> list[str]:
+    """The href of each link, once, in order."""
+    found: dict[str, None] = {}
+
+    def within(a: int, z: int):
+        if m := _HREF.search(page, a, z):
+            found[m[1]] = None
+        return m.end() if m else None
+
+    _tags(_A, page, within)
+    return [*found]
+
+
 def plain_text(page: str) -> str:
     """Visible text: a line for each block element, entities resolved, spaces collapsed."""
-    page = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    page = _without(_TAG, "", _without(_BREAK, "\n", _HIDDEN.sub(" ", page)))
     return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(page))).strip()
 
 
@@ -52,14 +106,14 @@ def split_http(message: bytes) -> tuple[list[tuple[str, str]], bytes]:
     if not message.startswith(b"HTTP/"):
         return [], message
     head, _, payload = message.partition(b"\r\n\r\n")
-    lines = head.decode("latin-1").split("\r\n")[1:]
+    lines = head.decode("utf-8", "surrogateescape").split("\r\n")[1:]
     return [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines) if k.strip()], payload
 
 
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     """A WARC/1.0 record."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
-    return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+    return b"WARC/1.0\r\n" + head.encode("utf-8", "surrogateescape") + b"\r\n" + block + b"\r\n\r\n"
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -67,7 +121,7 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode().split("\r\n")
+        lines = raw[at:end].decode("utf-8", "surrogateescape").split("\r\n")
         fields = {k: v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(fields["Content-Length"])
         yield fields, raw[end + 4 : end + 4 + size]
@@ -78,6 +132,10 @@ def _clean(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value).strip()
 
 
+def _shown(value: str) -> str:
+    return value.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+
+
 def derive_one(source: str, uri: str, date: str, message: bytes) -> list[dict]:
     """The conversion and the metadata record of one response."""
     headers, payload = split_http(message)
@@ -87,9 +145,8 @@ def derive_one(source: str, uri: str, date: str, message: bytes) -> list[dict]:
     except LookupError:
         page = payload.decode("utf-8", "replace")
     text = plain_text(page).encode()
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    lines = [("title", _clean(html.unescape(_TAG.sub("", title[1]))) if title else ""), ("language", lang[1] if lang else ""), ("charset", charset[1] if charset else "utf-8"), ("conversion-digest", digest(text))]
-    meta = "".join(f"{k}: {v}\r\n" for k, v in lines + [("outlink", x) for x in dict.fromkeys(_HREF.findall(page))]).encode()
+    lines = [("title", _clean(title_of(page))), ("language", language_of(page)), ("charset", charset[1] if charset else "utf-8"), ("conversion-digest", digest(text))]
+    meta = "".join(f"{k}: {v}\r\n" for k, v in lines + [("outlink", x) for x in links_of(page)]).encode()
     out = []
     ids = {t: f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'{source} {t}')}>" for t in ("conversion", "metadata")}
     of = digest(payload)
@@ -97,7 +154,7 @@ def derive_one(source: str, uri: str, date: str, message: bytes) -> list[dict]:
         own = digest(block)
         fields = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", source), ("WARC-Target-URI", _clean(uri)), ("WARC-Date", date), ("Content-Type", what), ("WARC-Block-Digest", own), ("WARC-Payload-Digest", of)]
         fields += [(f"X-Source-{k}", v) for k, v in headers]
-        out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source, "target_uri": uri, "warc_date": date, "content_type": what, "payload_digest": of, "block_digest": own, "content_length": len(block), "source_headers": [{"name": k, "value": v} for k, v in headers], "block": block.decode(), "record": record(fields, block)})
+        out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source, "target_uri": uri, "warc_date": date, "content_type": what, "payload_digest": of, "block_digest": own, "content_length": len(block), "source_headers": [{"name": _shown(k), "value": _shown(v)} for k, v in headers], "block": block.decode(), "record": record(fields, block)})
     return out
 
 
@@ -139,4 +196,4 @@ def derive(source: DataFrame, records: bool = True) -> DataFrame:
     text = pa.string()
     schema = pa.schema([("source_id", pa.int64()), *((x, text) for x in ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest")), ("content_length", pa.int64()), ("source_headers", pa.list_(pa.struct([("name", text), ("value", text)]))), ("block", text), ("record_digest", text), *([("record", pa.binary())] if records else [])])
     fields = FIELDS if records else FIELDS.removesuffix(", record binary")
-    return source.select("source_id", "record_id", "target_uri", "warc_date", "http").mapInArrow(_derive(schema), fields)
+    return mapped(source.select("source_id", "record_id", "target_uri", "warc_date", "http"), _derive(schema), fields)
