@@ -3,14 +3,15 @@
 Fingerprints (SHA-256 of the text, its length in bytes, stable id, row locator) are appended to a log in the shared folder. A
 streaming aggregation without watermark reads the log: its keyed state, one row per distinct (digest, length), never expires,
 lives in RocksDB on the executors' disks and is checkpointed to the shared folder. A state row holds the count, and the
-largest stable id with the locator of its row. Counts and maxima are combined before the shuffle, so a digest on a
+largest stable id with the locator of its row: the number of the batch it came in, and its place there. Counts and maxima are combined before the shuffle, so a digest on a
 third of all rows costs one row a task. Further batches of documents can be appended and processed by the same state.
 
 On hits (digests with several rows) the full texts are compared with the text of the row that stays; a row whose bytes differ is a
 document of its own, and stays.
 
 Edge cases: null text counts as empty; of equal texts the row with the largest id stays, null ids last; rows that
-repeat an id and a text are told apart by their locator, one of them stays; an empty table gives an empty result; other
+repeat an id and a text are told apart by their locator, one of them stays (last_stay: the one whose other columns are
+greatest as JSON); very long texts are compared whole; an empty table gives an empty result; other
 columns aren't read.
 """
 
@@ -19,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, cut, place, small
+from .store import BROADCAST_ROWS, cut, named, place, small
 
-LOG = "digest string, n_bytes long, id long, locator long"
+LOG = "digest string, n_bytes long, id long, locator long, batch int"
+CHUNK = 256  # copies that are compared with one copy of the text that stays
 CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # an open store holds preallocated files and buffers
@@ -41,7 +43,13 @@ class ExactDedup:
         """Add the fingerprints of ``docs`` to the log."""
         text = F.coalesce(F.col(text_col), F.lit(""))
         marks = docs.select(F.sha2(text.cast("binary"), 256).alias("digest"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.col(id_col).cast("bigint").alias("id"))
-        marks.withColumn("locator", F.monotonically_increasing_id()).write.mode("append").parquet(f"{self.root}/log")
+        marks.withColumn("locator", F.monotonically_increasing_id()).write.parquet(f"{self.root}/log/batch={self._batches()}")
+
+    def _batches(self) -> int:
+        """Batches in the log so far; one writer at a time appends."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/log")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return len(fs.listStatus(p)) if fs.exists(p) else 0
 
     def process(self) -> None:
         """Take what is new in the log into the state."""
@@ -50,7 +58,7 @@ class ExactDedup:
             for k, v in CONF.items():
                 self.spark.conf.set(k, v)
             log = self.spark.readStream.schema(LOG).parquet(f"{self.root}/log")
-            keyed = log.groupBy("digest", "n_bytes").agg(F.max(F.struct("id", "locator")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
+            keyed = log.groupBy("digest", "n_bytes").agg(F.max(F.struct("id", "batch", "locator")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
             query = keyed.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.root}/state").trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
@@ -58,16 +66,17 @@ class ExactDedup:
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def state(self) -> DataFrame:
-        """digest, n_bytes, stay_id, stay_locator, group_size, as the state holds them."""
+        """digest, n_bytes, stay_id, stay_batch, stay_locator, group_size, as the state holds them."""
         rows = self.spark.read.format("statestore").load(f"{self.root}/state")
         value = [f.name for f in rows.schema["value"].dataType.fields]
-        return rows.select("key.digest", "key.n_bytes", F.col(f"value.{value[0]}.id").alias("stay_id"), F.col(f"value.{value[0]}.locator").alias("stay_locator"), F.col(f"value.{value[1]}").alias("group_size"))
+        return rows.select("key.digest", "key.n_bytes", F.col(f"value.{value[0]}.id").alias("stay_id"), *[F.col(f"value.{value[0]}.{x}").alias(f"stay_{x}") for x in ("batch", "locator")], F.col(f"value.{value[1]}").alias("group_size"))
 
     def decisions(self) -> DataFrame:
-        """A row for each row of the log: id, locator, digest, n_bytes, keep_id, group_size, kept; digests taken at their word."""
+        """A row for each row of the log: id, batch, locator, digest, n_bytes, keep_id, group_size, kept; digests taken at their word."""
         log = self.spark.read.schema(LOG).parquet(f"{self.root}/log")
         met = log.join(self.state(), ["digest", "n_bytes"])
-        return met.select("id", "locator", "digest", "n_bytes", F.col("stay_id").alias("keep_id"), "stay_locator", "group_size", (F.col("locator") == F.col("stay_locator")).alias("kept"))
+        kept = (F.col("batch") == F.col("stay_batch")) & (F.col("locator") == F.col("stay_locator"))
+        return met.select("id", "batch", "locator", "digest", "n_bytes", F.col("stay_id").alias("keep_id"), "group_size", kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,16 +85,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one.append(docs, id_col, text_col)
     one.process()
     met = cut(one.decisions(), "decisions")
-    hits = cut(met.where("group_size > 1").select("id", "digest", "keep_id", "kept"), "hits")
-    # full bytes of hits: only their texts move
+    hits = met.where("group_size > 1").groupBy(F.col("id").alias("hit"), F.col("digest").alias("hit_digest"))
+    hits = cut(hits.agg(F.max("kept").alias("stays"), F.max(F.ceil(F.col("group_size") / CHUNK)).cast("int").alias("chunks")), "hits")
+    # full bytes of hits: only their texts move; a large group is dealt out in chunks, each with a copy of the text that stays
     text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
-    ids = hits.select("id").distinct()
-    near = F.broadcast(ids) if hits.count() <= BROADCAST_ROWS else ids
-    texts = read.join(near, read["id"].eqNullSafe(ids["id"]), "left_semi").withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    stays = texts.join(hits.where("kept").select(F.col("id").alias("k"), F.col("digest").alias("d")), F.col("id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left_semi")
-    stays = stays.groupBy("digest").agg(F.max("text").alias("stay_text"))
-    odd = texts.join(stays, "digest").where(F.col("text") != F.col("stay_text")).select(F.col("id").alias("odd_id"), F.col("digest").alias("odd_digest"), F.lit(True).alias("odd")).distinct()
+    read = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    near = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
+    texts = read.join(near, F.col("id").eqNullSafe(F.col("hit")) & (F.col("digest") == F.col("hit_digest"))).select("id", "text", "digest", "stays", "chunks")
+    stays = texts.where("stays").groupBy("digest").agg(F.max("text").alias("stay_text"), F.max("chunks").alias("chunks"))
+    stays = stays.select("digest", "stay_text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    dealt = texts.withColumn("chunk", F.pmod(F.monotonically_increasing_id(), F.col("chunks")).cast("int"))
+    odd = dealt.join(stays, ["digest", "chunk"]).where(F.col("text") != F.col("stay_text")).select(F.col("id").alias("odd_id"), F.col("digest").alias("odd_digest"), F.lit(True).alias("odd")).distinct()
     out = met.join(odd, met["id"].eqNullSafe(odd["odd_id"]) & (met["digest"] == odd["odd_digest"]), "left")
     is_odd = F.col("odd").isNotNull()
     return out.select(
@@ -99,13 +109,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def last_stay(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that deduplicate() drops; of rows alike in id and text one stays."""
+    """``docs`` without the rows that deduplicate() drops; of rows alike in id and text the one whose columns are greatest as JSON stays."""
     made = deduplicate(docs, id_col, text_col)
     gone = made.groupBy(id_col, "text_sha256").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n")).where("not any_kept or n > 1")
     gone = gone.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("any_kept").alias("__one"))
     gone = small(cut(gone, "gone"))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    met = docs.withColumn("__at", sha).join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__sha")), "left")
-    whole = met.where("__one is null").select(*[docs[c] for c in docs.columns])
-    repeated = met.where("__one").dropDuplicates(["__id", "__sha"]).select(*[docs[c] for c in docs.columns])
-    return whole.unionByName(repeated)
+    met = docs.withColumn("__at", sha).join(gone, docs[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__sha")), "left")
+    own = [named(c) for c in docs.columns]
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)])
+    repeated = met.where("__one").groupBy("__id", "__sha").agg(F.max_by(row, F.to_json(row)).alias("row"))
+    return met.where("__one is null").select(*own).unionByName(repeated.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))

@@ -32,6 +32,11 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def named(name: str):
+    """A column by its plain name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from what was written."""
     conf, path = df.sparkSession.conf, place(df.sparkSession, name)
