@@ -9,7 +9,7 @@ The benchmark is the query set: it is cut into blocks of at most BLOCK_BYTES of
 task in turn. Documents go through once per block, whole. With one block nothing about them leaves their task but the verdict; with more
 their rows are numbered and written first, and the verdicts on a row meet by its number.
 
-Edge cases: null and empty texts match nothing; an item of fewer than ``seed`` words can't match; ids that repeat are
+Edge cases: null and empty texts match nothing; a very long text goes through whole; a seed that repeats in a document and in an item meets each of its places; an item of fewer than ``seed`` words can't match; ids that repeat are
 judged row by row, and repeated item ids each on their own text; an empty benchmark leaves all documents clean.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .store import cut, mapped
+from .store import cut, mapped, named
 
 SEED = 5
 COVERAGE = 0.5
@@ -176,6 +176,6 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean_stay(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows, in one pass."""
     fields = docs.schema.fields
-    packed = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields)]).alias("row"))
+    packed = docs.select(F.col(id_col), F.col(text_col), F.struct(*[named(f.name).alias(f"c{i}") for i, f in enumerate(fields)]).alias("row"))
     made = judge(packed, benchmark, id_col, text_col, carry=["row"]).where("not contaminated")
     return made.select(*[F.col(f"row.c{i}").alias(f.name) for i, f in enumerate(fields)])
