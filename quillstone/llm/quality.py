@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .store import cut, mapped, small
+from .store import cut, mapped, named, small
 from .tiling import BETWEEN
 from .toxicity import MAX_LABELLED, sample
 
@@ -163,8 +163,8 @@ def good_stay(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """``docs`` without the rows that judge() rejects."""
     model = train(docs, labels, max_labelled, id_col, text_col)
     fields = docs.schema.fields
-    rows = docs.select(F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.struct(*[F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields) if f.name != text_col], F.lit(0).alias("one")).alias("row"))
-    scored = with_logit(rows.select("text", "host", "path"), model).drop("text")
-    sites, mean = site_posteriors(scored)
-    out = _posterior(with_logit(rows, model), sites, mean).where("posterior >= 0.5")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.struct(*[named(f.name).alias(f"c{i}") for i, f in enumerate(fields) if f.name != text_col], F.lit(0).alias("one")).alias("row"))
+    scored = cut(with_logit(rows, model), "scored")  # the rows go with their log-odds, so that texts are looked at once
+    sites, mean = site_posteriors(scored.select("host", "path", "logit"))
+    out = _posterior(scored, sites, mean).where("posterior >= 0.5")
     return out.select(*[F.col("text" if f.name == text_col else f"row.c{i}").alias(f.name) for i, f in enumerate(fields)])
