@@ -42,7 +42,7 @@ from .store import BROADCAST_ROWS, cut, drop, keyed, mapped, small
 SAMPLE = 8_192  # classes, at most about so many, whose shingles are counted for the order
 COMMON = 2  # sampled classes that make a shingle common
 MARKS = 24  # bits of the hash by which common shingles are marked
-BLOCK = 256  # rows of a block of a tile
+BLOCK = 2048  # rows of a block of a tile; a row goes to as many tasks as its tile has blocks, and two blocks take about a second
 SENT = 200_000  # pairs or sets a task remembers
 
 
