@@ -43,6 +43,7 @@ SAMPLE = 8_192  # classes, at most about so many, whose shingles are counted for
 COMMON = 2  # sampled classes that make a shingle common
 MARKS = 24  # bits of the hash by which common shingles are marked
 BLOCK = 2048  # rows of a block of a tile; a row goes to as many tasks as its tile has blocks, and two blocks take about a second
+HOT_GROUPS = 50_000  # groups of equal sets, the largest, of which copies are left out of the tiles one by one where all copies are too many to ship
 SENT = 200_000  # pairs or sets a task remembers
 
 
@@ -140,10 +141,12 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_mark(grams)), pa.int32())], ["at"])
 
 
-def _keys(common, num: int, den: int):
+def _keys(common, hot, num: int, den: int):
     def emit(uid: pa.Array, sets: Iterator[np.ndarray]) -> pa.RecordBatch:
         ids, parts = uid.to_numpy(zero_copy_only=False), []
         for i, s in zip(ids.tolist(), sets, strict=True):
+            if hot.value and hot.value.get(_digest(s), i) != i:
+                continue  # a copy of a large group: its first keeps the class in the tiles
             keys = tile_keys(s, common.value, num, den)
             if len(keys):
                 parts.append((keys, np.full(len(keys), i, np.int64)))
@@ -263,12 +266,19 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = cut(sized.select("uid", "n", "band", "digest").join(least, ["digest", "n"], "left").select("uid", "n", "band", F.coalesce("rep", "uid").alias("rep")), "classes")
     reps = classes.where("n > 0 and uid = rep").select("uid", "n", "band")
 
-    # documents under a key, by band; of copies only the representative, where the list of copies is small enough to ship
+    # documents under a key, by band; of copies only the representative, or, where the copies are too many to ship, of those of the largest groups; what
+    # other copies give falls out when the keys meet the representatives
     copies = cut(classes.where("n > 0 and uid <> rep").select("uid"), "copies")
-    firsts = body.join(F.broadcast(copies), "uid", "left_anti") if copies.count() <= BROADCAST_ROWS else body
-    common = docs.sparkSession.sparkContext.broadcast(_common(body, reps.select("uid"), k))
+    firsts, large = body, {}
+    if copies.count() <= BROADCAST_ROWS:
+        firsts = body.join(F.broadcast(copies), "uid", "left_anti")
+    else:
+        groups = sized.where("n > 0").groupBy("digest").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        large = {bytes(r.digest): r.rep for r in groups.orderBy(F.desc("size"), "digest").limit(HOT_GROUPS).collect()}
+    context = docs.sparkSession.sparkContext
+    common, hot = context.broadcast(_common(body, reps.select("uid"), k)), context.broadcast(large)
     met = Window.partitionBy("key").orderBy("uid")
-    tiles = mapped(firsts.select("uid", "text"), _sets(k, _keys(common, num, den)), "key long, uid long").repartition("key")
+    tiles = mapped(firsts.select("uid", "text"), _sets(k, _keys(common, hot, num, den)), "key long, uid long").repartition("key")
     tiles = tiles.withColumn("before", F.lag("uid").over(met)).withColumn("next", F.lead("uid").over(met)).where("before is not null or next is not null")
     raw = cut(tiles.select("key", "uid"), "tiles")
     tiles = raw.join(reps, "uid").repartition("key")  # copies that weren't left out go here
