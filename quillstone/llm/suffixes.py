@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import flat
 from .flat import U
-from .store import cut, keyed, small
+from .store import cut, keyed, mapped, small
 
 THRESHOLD = 100
 
@@ -232,17 +232,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return cut(out.where("settled or several").select("h", "uid", place.alias("at"), "cell", "settled"), name)
 
     whole = F.lit(span).cast("bigint").alias("cell")  # starts 0 to span before the place
-    passes = [graded(body.mapInArrow(_anchor_batches(threshold), "h long, u long, uid long, at long").select("*", whole), ["h"], "pass1")]
+    passes = [graded(mapped(body, _anchor_batches(threshold), "h long, u long, uid long, at long").select("*", whole), ["h"], "pass1")]
     for size in (math.isqrt(span + 1), 1):
         waiting = passes[-1].where("not settled").groupBy("uid").agg(F.collect_list(F.struct("h", "at", "cell")).alias("open"))
         waiting = cut(waiting, "open")
-        finer = body.join(small(waiting), "uid").select("uid", "text", "open").mapInArrow(_range_batches(threshold, size), "h long, g long, u long, uid long, at long, cell long")
+        finer = mapped(body.join(small(waiting), "uid").select("uid", "text", "open"), _range_batches(threshold, size), "h long, g long, u long, uid long, at long, cell long")
         passes.append(graded(finer, ["h", "g"], f"pass{len(passes) + 1}"))
     marks = functools.reduce(DataFrame.unionByName, (p.where("settled").select("uid", "at", "cell") for p in passes))
     first, last = F.shiftright("cell", 16), F.col("cell").bitwiseAND(F.lit(0xFFFF))
     places = marks.groupBy("uid").agg(F.collect_list(F.struct((F.col("at") - last).alias("lo"), (F.col("at") - first).alias("hi"))).alias("ranges"))
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept binary"
-    out = body.join(places, "uid", "left").select("uid", "text", "ranges").mapInArrow(_cut_batches(threshold), f"uid long, {fields}")
+    out = mapped(body.join(places, "uid", "left").select("uid", "text", "ranges"), _cut_batches(threshold), f"uid long, {fields}")
     if not texts:
         out = out.drop("kept")
     if not plain:
