@@ -12,7 +12,9 @@ The model file is a path parameter and is opened where the work runs. Its pieces
 library; encoding and decoding are done here.
 
 Edge cases: null text is empty, and has only begin and end ids; characters without a piece become byte pieces (or the
-unknown id if the model has none); invalid byte sequences decode to U+FFFD.
+unknown id if the model has none); invalid byte sequences decode to U+FFFD; very long texts are encoded whole, block by block of
+their words; repeated rows and ids are encoded each; an empty table gives an empty result; other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -364,4 +366,5 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([flat.column(b, "id"), pa.array([pieces.decode(x or []) for x in flat.column(b, "ids").to_pylist()], pa.string())], ["id", "text"])
 
-    return tokens.select(F.col(id_col).cast("bigint").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    rows = tokens.select(F.col(id_col).cast("bigint").alias("id"), F.col(ids_col).alias("ids"))
+    return mapped(rows, run, "id long, text string").withColumnRenamed("id", id_col)

@@ -5,7 +5,7 @@ query, no fragment. 0xFF is no byte of UTF-8, so a rule can't mistake one part f
 rules lie side by side in 64-bit words; a step is ``D = (D << 1 with carry) & MASK[byte] | D & LOOP`` on every URL of a batch.
 Of the rules that accept, the longest wins (block on a tie). A URL that no rule takes gets the default globs' verdict.
 
-Edge cases: a null url or one without ``://`` has empty host and path; an empty path starts with no ``/``; repeated rows are judged
+Edge cases: very long urls are judged whole; a null url or one without ``://`` has empty host and path; an empty path starts with no ``/``; repeated rows are judged
 each; an empty table gives an empty result; other columns aren't read.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .store import mapped
 
 END = 0xFF
 # Fixed values of the query's contract: (verdict, host and path).
@@ -119,4 +120,4 @@ def _filter(rules: list[tuple[str, str]], blocked: list[str]):
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, blocked: list[str] = DEFAULT_BLOCKED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule (null if none fits), verdict."""
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"))
-    return rows.mapInArrow(_filter(rules, blocked), "id long, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    return mapped(rows, _filter(rules, blocked), "id long, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
