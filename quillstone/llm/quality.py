@@ -3,12 +3,13 @@
 A document classifier (logistic regression on figures of the text) gives each document a probability. Sites have two levels,
 host and path in host. Grouped sums over all documents give every level its mean; sparse sites are shrunk to the level above,
 path to host and host to the global mean, with prior strengths estimated from the spread between sites (method of moments).
-The posterior of a document adds the log-odds that its path departs from the global mean to its own log-odds.
+The posterior of a document adds the log-odds by which its path departs from the global mean to its own log-odds; the means that it
+meets are those of the other documents of its site, so its own evidence counts once.
 
 Fitting takes at most ``max_labelled`` labelled rows, the first by a hash of their id, whose figures go to the driver: the documented
 bound. The grouped sums are combined before the shuffle, so a host with a third of all rows costs a row a task.
 
-Edge cases: null and empty texts have figures like any other and are judged by them; null host or path is a site of its
+Edge cases: null and empty texts have figures like any other and are judged by them, very long ones whole; null host or path is a site of its
 own; labels that are null or absent aren't used; with one class only among the labels all documents get its rate; repeated
 rows are judged each; an empty table gives an empty result; other columns pass through a filter untouched, whatever their names.
 """
@@ -128,25 +129,51 @@ def _strength(means: DataFrame, parent: str) -> float:
     return float(min(max(got.m / got.n / spread - 1, 1.0), 1e6))
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, host_mean, path_mean), shrunk, of all sites in ``scored`` (host, path, logit), and the global mean."""
+@dataclass
+class Sites:
+    """Sums of the sites: (site_host, site_path, host_n, host_s, n, s), the global mean, and the prior strengths of hosts and paths."""
+
+    rows: DataFrame
+    mean: float
+    host_strength: float
+    path_strength: float
+
+    def means(self, own=None) -> tuple:
+        """Columns of host_mean and path_mean, shrunk; without a document of probability ``own`` where one is given."""
+        less, p = (0, F.lit(0.0)) if own is None else (1, own)
+        host = (F.col("host_s") - p + self.host_strength * self.mean) / (F.col("host_n") - less + self.host_strength)
+        return host, (F.col("s") - p + self.path_strength * host) / (F.col("n") - less + self.path_strength)
+
+
+def site_sums(scored: DataFrame) -> Sites:
+    """Of all sites in ``scored`` (host, path, logit)."""
     p = 1 / (1 + F.exp(-F.col("logit")))
     paths = cut(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = paths.agg(F.sum("n"), F.sum("s")).first()
     mean = float(((total[1] or 0.0) + 0.5) / ((total[0] or 0) + 1))
     k = _strength(hosts.withColumn("m", F.lit(mean)), "m")
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") + k * mean) / (F.col("n") + k)).alias("host_mean"))
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + k * mean) / (F.col("n") + k)).alias("host_mean"))
     both = cut(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "sites")
-    k = _strength(both, "host_mean")
-    return both.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "host_mean", ((F.col("s") + k * F.col("host_mean")) / (F.col("n") + k)).alias("path_mean")), mean
+    rows = both.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "host_n", "host_s", "n", "s")
+    return Sites(rows, mean, k, _strength(both, "host_mean"))
 
 
-def _posterior(scored: DataFrame, sites: DataFrame, mean: float) -> DataFrame:
-    sites = small(cut(sites, "posteriors"))
-    met = scored.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path"))).drop("site_host", "site_path")
+def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
+    """(site_host, site_path, host_mean, path_mean), shrunk, of all sites, and the global mean."""
+    sites = site_sums(scored)
+    host, path = sites.means()
+    return sites.rows.select("site_host", "site_path", host.alias("host_mean"), path.alias("path_mean")), sites.mean
+
+
+def _posterior(scored: DataFrame, sites: Sites) -> DataFrame:
+    """``scored`` with host_mean and path_mean of the other documents of its site, and the posterior: a document's own evidence counts once."""
+    rows = small(cut(sites.rows, "posteriors"))
+    met = scored.join(rows, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path"))).drop("site_host", "site_path")
+    host, path = sites.means(1 / (1 + F.exp(-F.col("logit"))))
+    met = met.withColumns({"host_mean": host, "path_mean": path}).drop("host_n", "host_s", "n", "s")
     clip = F.least(F.greatest("path_mean", F.lit(1e-6)), F.lit(1 - 1e-6))
-    return met.withColumn("posterior", 1 / (1 + F.exp(-(F.col("logit") + F.log(clip / (1 - clip)) - float(np.log(mean / (1 - mean)))))))
+    return met.withColumn("posterior", 1 / (1 + F.exp(-(F.col("logit") + F.log(clip / (1 - clip)) - float(np.log(sites.mean / (1 - sites.mean)))))))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -154,8 +181,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = train(docs, labels, max_labelled, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path"))
     scored = cut(with_logit(rows, model).drop("text"), "scored")
-    sites, mean = site_posteriors(scored)
-    out = _posterior(scored, sites, mean)
+    out = _posterior(scored, site_sums(scored))
     return out.select(F.col("id").alias(id_col), "host", "path", (1 / (1 + F.exp(-F.col("logit")))).alias("p_document"), "host_mean", "path_mean", "posterior", (F.col("posterior") >= 0.5).alias("kept"))
 
 
@@ -165,6 +191,5 @@ def good_stay(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     fields = docs.schema.fields
     rows = docs.select(F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.struct(*[named(f.name).alias(f"c{i}") for i, f in enumerate(fields) if f.name != text_col], F.lit(0).alias("one")).alias("row"))
     scored = cut(with_logit(rows, model), "scored")  # the rows go with their log-odds, so that texts are looked at once
-    sites, mean = site_posteriors(scored.select("host", "path", "logit"))
-    out = _posterior(scored, sites, mean).where("posterior >= 0.5")
+    out = _posterior(scored, site_sums(scored.select("host", "path", "logit"))).where("posterior >= 0.5")
     return out.select(*[F.col("text" if f.name == text_col else f"row.c{i}").alias(f.name) for i, f in enumerate(fields)])
