@@ -19,9 +19,11 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a folder of this process."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a folder of this process if all tasks run in it, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quillstone"

@@ -9,7 +9,7 @@ Fitting: labels say toxic or not. Grades 1 to 3 of toxic rows are thirds of the
 sample is at most ``max_labelled`` labelled rows, the first by a hash of their id; its word counts go to the driver, which is the
 documented bound. Scoring reads every document whole.
 
-Edge cases: null and empty texts have no feature and get the base rate; null or absent labels aren't used; with no
+Edge cases: null and empty texts have no feature and get the base rate; very long texts are scored whole; null or absent labels aren't used; with no
 toxic row (or none that isn't) in the sample every score is the base rate; repeated rows are scored each; extra columns aren't read.
 """
 
@@ -81,6 +81,33 @@ def grade(row: np.ndarray, place: np.ndarray, x: np.ndarray, toxic: np.ndarray,
     return out
 
 
+def likelihood(p: np.ndarray, r: np.ndarray, local: np.ndarray, v: np.ndarray, y: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean log-likelihood of the grades ``y`` less the ridge, and its slopes. ``p``: weights, first threshold, logarithms of the steps to the next
+    ones; (r, local, v): row, weight and value of each feature."""
+    n, k = len(y), len(p) - (GRADES - 1)
+    w, rest = p[:k], p[k:]
+    gaps = np.exp(rest[1:])
+    th = rest[0] + np.concatenate([[0], np.cumsum(gaps)])
+    score = np.bincount(r, w[local] * v, minlength=n)
+    above = 1 / (1 + np.exp(np.clip(th[None] - score[:, None], -50, 50)))
+    # log likelihood of grade k: log(P(> k - 1) - P(> k)); its slopes by the two logits next to it
+    up = np.concatenate([np.ones((n, 1)), above], 1)
+    at = np.arange(n)
+    hi, lo = up[at, y], np.append(up[:, 1:], np.zeros((n, 1)), 1)[at, y]
+    p_y = np.maximum(hi - lo, 1e-9)
+    slope_hi, slope_lo = hi * (1 - hi) / p_y, lo * (1 - lo) / p_y
+    g_score = slope_hi - slope_lo
+    g_th = np.zeros((n, GRADES - 1))
+    has = y > 0
+    g_th[at[has], y[has] - 1] -= slope_hi[has]
+    has = y < GRADES - 1
+    g_th[at[has], y[has]] += slope_lo[has]
+    g_th = g_th.sum(0)
+    grad = np.concatenate([np.bincount(local, g_score[r] * v, minlength=k), [g_th.sum()], [g_th[j + 1 :].sum() * gaps[j] for j in range(GRADES - 2)]]) / n
+    grad[:k] -= ridge * w
+    return float(np.log(p_y).mean() - ridge / 2 * w @ w), grad
+
+
 def fit(row: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray, toxic: np.ndarray, rounds: int = 600, ridge: float = 1e-4) -> Ordinal:
     """Maximum likelihood with a ridge by accelerated gradient steps; thresholds as a first one and positive steps."""
     n = len(y)
@@ -97,26 +124,7 @@ def fit(row: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray, toxic:
     p = np.concatenate([np.zeros(len(cols)), [theta[0]], np.log(np.maximum(np.diff(theta), 1e-2))])
     step, slow = np.zeros_like(p), np.full_like(p, 1e-8)
     for t in range(1, rounds + 1):
-        w, rest = p[: len(cols)], p[len(cols) :]
-        gaps = np.exp(rest[1:])
-        th = rest[0] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(r, w[local] * v, minlength=n)
-        above = 1 / (1 + np.exp(np.clip(th[None] - score[:, None], -50, 50)))
-        # log likelihood of grade k: log(P(> k - 1) - P(> k)); its slopes by the two logits next to it
-        up = np.concatenate([np.ones((n, 1)), above], 1)
-        at = np.arange(n)
-        hi, lo = up[at, y], np.append(up[:, 1:], np.zeros((n, 1)), 1)[at, y]
-        p_y = np.maximum(hi - lo, 1e-9)
-        slope_hi, slope_lo = hi * (1 - hi) / p_y, lo * (1 - lo) / p_y
-        g_score = slope_hi - slope_lo
-        g_th = np.zeros((n, GRADES - 1))
-        has = y > 0
-        g_th[at[has], y[has] - 1] -= slope_hi[has]
-        has = y < GRADES - 1
-        g_th[at[has], y[has]] += slope_lo[has]
-        g_th = g_th.sum(0)
-        grad = np.concatenate([np.bincount(local, g_score[r] * v, minlength=len(cols)), [g_th.sum()], [g_th[j + 1 :].sum() * gaps[j] for j in range(GRADES - 2)]]) / n
-        grad[: len(cols)] -= ridge * w
+        _, grad = likelihood(p, r, local, v, y, ridge)
         step = 0.9 * step + 0.1 * grad
         slow = 0.99 * slow + 0.01 * grad**2
         p = p + 0.1 * (step / (1 - 0.9**t)) / (np.sqrt(slow / (1 - 0.99**t)) + 1e-6)

@@ -393,3 +393,263 @@ def test_sparse_sites_shrink(spark):
     sites, mean = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, logit double"))
     got = {(r.site_host, r.site_path): r.path_mean for r in sites.collect()}
     assert got["big", "b"] < got["tiny", "a"] < mean < got["big", "a"]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_defeat_sums(spark):
+    """Thue-Morse words and their complements collide under every sum of powers modulo 2**64."""
+    own = pieces.model(tokenizer(MODEL))
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=tokenizer(MODEL))
+    both = [thue_morse(2048), thue_morse(2048).translate({97: "b", 98: "a"})]
+    assert own.encode(both) == sp.encode(both, add_bos=True, add_eos=True)
+    data, off = flat.flatten(pa.array(both))
+    h, _, _ = flat.word_hashes(data, off)
+    assert h[0] != h[1]
+    short, at = flat.flatten(pa.array([x[:60].upper() for x in both] + [both[0][:60]]))
+    h, _, _ = flat.word_hashes(short, at)
+    assert h[0] != h[1] and h[0] == h[2]
+    df = spark.createDataFrame([*enumerate(both)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join_classes(df).collect()} == {0: 0, 1: 1}
+
+
+def test_jaccard_keys_meet_whatever_is_common():
+    rng = np.random.default_rng(3)
+    marks = rng.integers(0, 256, 1 << (jaccard.MARKS - 3), dtype=np.uint8)  # half of all shingles come last
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        both = rng.integers(0, 2**63, n, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both[int(rng.integers(0, 4)) :], rng.integers(0, 2**63, int(rng.integers(0, 6)), dtype=np.uint64)])) for _ in "ab")
+        if len(a) and len(b) and jaccard.linked(a, b, 80, 100) and not np.array_equal(a, b):
+            assert np.intersect1d(jaccard.tile_keys(a, marks, 80, 100), jaccard.tile_keys(b, marks, 80, 100)).size
+
+
+def test_jaccard_hot_passage_of_several_blocks(spark, monkeypatch):
+    """Documents that are mostly one passage meet under its shingles, in several blocks, without being alike."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage, *(f"o{i if i % 3 else i // 9 * 9}x{j}" for j in range(12))])) for i in range(60)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
+def test_lengths_of_long_blank_runs(spark):
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    encoding = lengths._encoding(path)
+    rng = random.Random(8)
+    for _ in range(40):
+        t = "".join(rng.choice([" " * 1200, "\n" * 1100, "a b", " \t" * 700, "　" * 1000, "x", " ", "\x1c" * 1500, "1"]) for _ in range(6))
+        assert lengths.count(encoding, t) == len(encoding.encode_ordinary(t))
+    long = spark.createDataFrame([(1, " " * 2_000_000 + "end"), (2, "a " * 300_000)], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens > 0 for r in lengths.token_lengths(long, path).collect()} == {1: True, 2: True}
+
+
+def test_warc_against_plain_patterns():
+    """The linear scans find what the plain patterns do, and tags that never close take no time."""
+    title, href = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I), re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
+    lang, tag = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I), re.compile(r"<[a-zA-Z/!?][^>]*>")
+    rng = random.Random(6)
+    parts = ["<title", ">", "</title>", "<a ", "href=", "href = 'x y'", "<html ", "lang=", "lang='de'", " ", "t", "<b>", "&amp;", "<a", '"', "<p "]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        found = title.search(page)
+        assert warc.title_of(page) == (warc.html.unescape(tag.sub("", found[1])) if found else "")
+        assert warc.links_of(page) == [*dict.fromkeys(href.findall(page))]
+        found = lang.search(page)
+        assert warc.language_of(page) == (found[1] if found else "")
+        assert warc._without(tag, "", page) == tag.sub("", page)
+    began = __import__("time").time()
+    for part in ("<title>", "<title", "<a ", "<html ", "<a href=x ", "<html lang=", "<p ", "<b", "</title", "<!-- ", "<script "):
+        warc.derive_one("<urn:uuid:1>", "u", warc.DATE, b"HTTP/1.1 200 OK\r\n\r\n" + (part * (1_000_000 // len(part))).encode())
+    assert __import__("time").time() - began < 60
+
+
+def test_warc_header_bytes_stay():
+    head = b"HTTP/1.1 200 OK\r\nServer: caf\xe9\r\nVia: \xc3\xa9\r\n\r\nbody"
+    made = warc.derive_one("<urn:uuid:1>", "u", warc.DATE, head)
+    assert all(b"X-Source-Server: caf\xe9\r\nX-Source-Via: \xc3\xa9\r\n" in x["record"] for x in made)
+    assert made[0]["source_headers"] == [{"name": "Server", "value": "caf�"}, {"name": "Via", "value": "é"}]
+
+
+def test_exact_over_appends(spark):
+    one = exact.ExactDedup(spark)
+    for _ in range(2):
+        one.append(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").coalesce(1))
+        one.process()
+    made = one.decisions().collect()
+    assert sorted((r.id, r.batch, r.group_size, r.kept) for r in made) == [(1, 0, 2, False), (1, 1, 2, True), (2, 0, 2, False), (2, 1, 2, True)]
+
+
+def test_exact_large_group_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(exact, "CHUNK", 4)
+    df = spark.createDataFrame([(i, "copy") for i in range(30)] + [(30, "own")], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.deduplicate(df).collect()} == {(i, 29, 30, i == 29) for i in range(30)} | {(30, 30, 1, True)}
+    tie = spark.createDataFrame([(1, "a", {"k": "1"}, x) for x in ("x", "z", "y")], "doc_id long, text string, `a.map` map<string,string>, `b.c` string")
+    assert [r["b.c"] for r in exact.last_stay(tie).collect()] == ["z"] and exact.last_stay(tie).columns == tie.columns
+
+
+def test_stages_keep_columns_with_dots(spark):
+    df = spark.createDataFrame([(i, f"some words of a text {i} that go on", "en", "s", 1.5, {"k": i}) for i in range(6)], "doc_id long, text string, lang string, source string, `a.b` double, m map<string,int>")
+    bench = spark.createDataFrame([(1, "nothing of that sort is here at all")], "item_id long, text string")
+    assert tiling.clean_stay(df, bench).columns == df.columns and tiling.clean_stay(df, bench).count() == 6
+
+
+def test_likelihood_slopes():
+    """Against finite differences; the thresholds stay in order whatever the parameters."""
+    rng = np.random.default_rng(5)
+    n, k = 40, 6
+    r, local, v = np.repeat(np.arange(n), 3), rng.integers(0, k, 3 * n), rng.random(3 * n) + 0.5
+    y = rng.integers(0, toxicity.GRADES, n)
+    for _ in range(5):
+        p = rng.normal(size=k + toxicity.GRADES - 1)
+        _, grad = toxicity.likelihood(p, r, local, v, y, 1e-3)
+        for i in range(len(p)):
+            step = np.zeros(len(p))
+            step[i] = 1e-6
+            slope = (toxicity.likelihood(p + step, r, local, v, y, 1e-3)[0] - toxicity.likelihood(p - step, r, local, v, y, 1e-3)[0]) / 2e-6
+            assert slope == pytest.approx(grad[i], abs=1e-5)
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Scores of a fitted model, word by word in plain Python."""
+    df, labels = labelled(spark, 200)
+    model = toxicity.train(df, labels)
+    rows = {r.doc_id: r.text for r in df.limit(25).collect()} | {900: "vileword, VILEWORD! rottenone " * 3, 901: "", 902: None}
+    asked = spark.createDataFrame([*rows.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(asked, model).collect()}
+    for i, t in rows.items():
+        places = {}
+        for w in re.findall("[0-9a-z]+", (t or "").lower()):
+            raw = pa.array([w])
+            for h in flat.stem_hashes(*flat.flatten(raw), toxicity.STEMS, toxicity.BETWEEN)[0].tolist():
+                places[h >> (64 - toxicity.BITS)] = places.get(h >> (64 - toxicity.BITS), 0) + 1
+        s = sum(model.weights[x] * (1 + math.log(c)) for x, c in places.items())
+        above = [1 / (1 + math.exp(b - s)) for b in model.thresholds.tolist()]
+        assert got[i].p_above == pytest.approx(above) and got[i].expected_severity == pytest.approx(sum(above)) and got[i].toxic == (above[0] >= model.cut)
+
+
+def test_quality_posteriors_by_hand(spark):
+    """Host and path means without the document itself, shrunk, in plain Python from p_document."""
+    df, labels = labelled(spark, 150)
+    df = df.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "en").when(F.col("doc_id") % 3 == 1, "de")).withColumn("source", F.when(F.col("doc_id") == 7, "alone").otherwise(F.col("source")))
+    rows = quality.judge(df, labels).collect()
+    n = len(rows)
+    mean = (sum(r.p_document for r in rows) + 0.5) / (n + 1)
+
+    def strength(groups, parent):
+        got = [(len(g), sum(g), m) for g, m in zip(groups, parent, strict=True)]
+        v, m_, w = sum(c * (s / c - m) ** 2 for c, s, m in got), sum(c * m * (1 - m) for c, _, m in got), sum(m * (1 - m) for _, _, m in got)
+        return min(max(m_ / n / max((v - w) / n, 1e-9) - 1, 1.0), 1e6)
+
+    hosts, paths = {}, {}
+    for r in rows:
+        hosts.setdefault(r.host, []).append(r.p_document)
+        paths.setdefault((r.host, r.path), []).append(r.p_document)
+    k = strength(hosts.values(), [mean] * len(hosts))
+    whole = {h: (sum(g) + k * mean) / (len(g) + k) for h, g in hosts.items()}
+    k2 = strength(paths.values(), [whole[h] for h, _ in paths])
+    for r in rows:
+        h, g = hosts[r.host], paths[r.host, r.path]
+        host = (sum(h) - r.p_document + k * mean) / (len(h) - 1 + k)
+        path = (sum(g) - r.p_document + k2 * host) / (len(g) - 1 + k2)
+        odds = math.log(r.p_document / (1 - r.p_document)) + math.log(path / (1 - path)) - math.log(mean / (1 - mean))
+        assert (r.host_mean, r.path_mean) == (pytest.approx(host), pytest.approx(path)) and r.posterior == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-6)
+        assert r.kept == (r.posterior >= 0.5)
+
+
+def test_warc_records_by_another_parser(spark):
+    """Records read back line by line: links, lengths and digests."""
+    import base64
+    import html.parser
+
+    class Visible(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.said, self.hidden, self.links = [], 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style")
+            self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            self.said += [] if self.hidden else data.split()
+
+    rng = random.Random(12)
+    parts = ["<p>one two</p>", "<a href='http://x/1'>link</a>", "<script>var a = 1;</script>", "<b>bold</b>", "<br/>", "&amp; more", "<style>p {}</style>", "text"]
+    pages = [(i, f"http://h/{i}", "<html lang='de'><head><title>T &amp; t</title></head><body>" + " ".join(rng.choice(parts) for _ in range(12)) + "</body></html>") for i in range(30)]
+    made = warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()
+    sha = lambda raw: "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    assert len(made) == 60
+    for r in made:
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        first, *lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        block = rest[: int(fields["Content-Length"])]
+        page = pages[r.source_id][2]
+        assert first == "WARC/1.0" and rest == block + b"\r\n\r\n" and block.decode() == r.block and sha(bytes(r.record)) == r.record_digest
+        assert (fields["WARC-Type"], fields["WARC-Refers-To"], fields["WARC-Target-URI"]) == (r.warc_type, r.refers_to, pages[r.source_id][1])
+        assert (fields["WARC-Block-Digest"], fields["WARC-Payload-Digest"]) == (sha(block), sha(page.encode()))
+        assert fields["X-Source-Content-Type"] == "text/html; charset=utf-8"
+        seen = Visible()
+        seen.feed(page)
+        if r.warc_type == "conversion":
+            assert r.block.split() == seen.said
+        else:
+            meta = [x.split(": ", 1) for x in r.block.split("\r\n")[:-1]]
+            assert meta[:3] == [["title", "T & t"], ["language", "de"], ["charset", "utf-8"]] and [v for k, v in meta if k == "outlink"] == [*dict.fromkeys(seen.links)]
+    assert len({r.record_id for r in made}) == 60
+
+
+def brute_tiling(doc, item, seed):
+    """Words of the item under marks: the longest unmarked common run, the first in document and item, again and again."""
+    d, m, total = [False] * len(doc), [False] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for x in range(len(doc)):
+            for y in range(len(item)):
+                n = 0
+                while x + n < len(doc) and y + n < len(item) and doc[x + n] == item[y + n] and not d[x + n] and not m[y + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, x, y)
+        n, x, y = best
+        if n < seed:
+            return total
+        d[x : x + n], m[y : y + n] = [True] * n, [True] * n
+        total += n
+
+
+def test_tiling_against_plain_search():
+    rng = random.Random(14)
+    for _ in range(150):
+        item = [rng.choice("abcde") for _ in range(rng.randrange(8, 30))]
+        cut = rng.randrange(len(item))
+        doc = [rng.choice("abcde") for _ in range(rng.randrange(0, 12))] + item[cut:] + ["z"] * rng.randrange(2) + item[:cut]
+        words, _ = tiling._words(pa.array([" ".join(doc)]))
+        got = tiling.Items([1], [" ".join(item)], 4).coverage(words)
+        assert got.get(0, 0.0) == brute_tiling(doc, item, 4) / len(item)
+
+
+def test_jaccard_with_more_copies_than_are_shipped(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(jaccard, "HOT_GROUPS", 1)
+    rng = random.Random(23)
+    base = [words(rng, 40, 10**6) for _ in range(3)]
+    rows = [(i, base[0]) for i in range(40)] + [(40 + i, base[1]) for i in range(5)] + [(50, base[0] + " x"), (51, base[1] + " y"), (52, base[2])]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
+def test_urls_long_and_repeated(spark):
+    long = "https://Sub.Example.NET/en/" + "x/" * 500_000
+    rows = [(1, long), (1, long), (2, None), (2, "http://" + "a." * 100_000 + "net")]
+    got = sorted((r.page_id, r.rule or "", r.verdict, len(r.host), len(r.path)) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert got == [(1, "example.net/en/", "allow", 15, 1_000_004)] * 2 + [(2, "", "allow", 0, 0), (2, "", "allow", 200_003, 0)]
