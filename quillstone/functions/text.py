@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 INDEX_LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".java": "java", ".cpp": "cpp", ".c": "c", ".cs": "csharp", ".go": "go", ".rs": "rust", ".php": "php", ".rb": "ruby"}
 # The further ones known when a single file is analysed.
 FILE_LANGUAGES = INDEX_LANGUAGES | {".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".html": "html", ".css": "css", ".scss": "scss", ".sass": "sass", ".less": "less", ".sql": "sql", ".md": "markdown", ".json": "json", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".ini": "ini", ".cfg": "config", ".conf": "config"}
+# Those that are inspected, and those that a session tells apart.
+INSPECT_LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript"}
+SESSION_LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".cpp": "cpp", ".c": "c", ".rs": "rust", ".go": "go", ".rb": "ruby", ".php": "php", ".md": "markdown", ".yml": "yaml", ".yaml": "yaml", ".json": "json", ".xml": "xml", ".html": "html", ".css": "css"}
 # Technology by extension.
 TECHNOLOGIES = {".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".jsx": "React", ".tsx": "React with TypeScript", ".java": "Java", ".cpp": "C++", ".c": "C", ".cs": "C#", ".go": "Go", ".rs": "Rust", ".php": "PHP", ".rb": "Ruby", ".swift": "Swift", ".kt": "Kotlin"}
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\u0085\\u2028\\u2029]"
@@ -63,14 +66,11 @@ def strip(s: Column) -> Column:
 
 
 def count_lines(parts: Column, *starts: str) -> Column:
-    """Lines that, stripped, begin with one of ``starts``."""
-    def hit(x: Column) -> Column:
-        out = F.lit(False)
-        for s in starts:
-            out = out | F.startswith(strip(x), F.lit(s))
-        return out
-
-    return F.size(F.filter(parts, hit)).cast("bigint")
+    """Lines that, stripped, begin with one of ``starts``. Lines aren't copied: one pattern looks at their heads; a start that ends in a space
+    needs something after it, else it would be stripped."""
+    plain = lambda w: "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in w)
+    pattern = "|".join(plain(w) + ("\\s*\\S" if w.endswith(" ") else "") for w in starts)
+    return F.size(F.filter(parts, lambda x: x.rlike(f"^\\s*(?:{pattern})"))).cast("bigint")
 
 
 def imports(text: Column, language: Column) -> Column:
@@ -81,6 +81,11 @@ def imports(text: Column, language: Column) -> Column:
     return F.when(language == "python", python).when(language.isin("javascript", "typescript"), script).otherwise(F.array().cast("array<string>"))
 
 
+def language_of(path: Column, languages: dict[str, str]) -> Column:
+    """Language of a path by its suffix, whatever the case, else unknown."""
+    return lookup(languages, F.lower(suffix(path)), "unknown")
+
+
 def entity_id(kind: Column | str, *parts: Column) -> Column:
     """Hex md5 of kind:part:..."""
     return F.md5(F.concat_ws(":", F.lit(kind) if isinstance(kind, str) else kind, *parts))

@@ -39,6 +39,9 @@ PLAN_STEPS = [
 ]
 # Keywords that a question is searched by.
 KEYWORDS = ["authentication", "auth", "login", "token", "jwt", "password", "database", "db", "model", "table", "user", "endpoint", "api", "router", "middleware", "configuration", "config", "entry point", "registration", "fastapi", "sqlalchemy", "pydantic", "create", "get", "post", "put", "delete", "handle", "work"]
+# Labels of what a step or an action found, by word, first match wins.
+RESULT_LABELS = [(["classes", "functions"], "Code structure insight: "), (["files"], "File organization insight: ")]
+FINDING_LABELS = [("patterns", "Code organization insight: "), ("frameworks", "Technology stack insight: "), ("files", "Project structure insight: ")]
 CONFIDENCE = {"testing": 0.8, "setup": 0.7, "usage": 0.6, "configuration": 0.6, "deployment": 0.5, "general": 0.3}
 
 
@@ -76,7 +79,7 @@ def should_stop(confidence: Column, success: Column, insights: Column, areas: Co
 
 
 def lessons(focus: Column, confidence: Column, success: Column, insights: Column) -> Column:
-    """What a cycle teaches, as an array of sentences."""
+    """What a cycle teaches, as an array of sentences, which are fixed values."""
     say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
     return F.array_compact(F.array(
         F.when(confidence > 0.8, say("High confidence in ", focus, " exploration")).when(confidence < 0.3, say("Low confidence in ", focus, " - needs deeper exploration")),
@@ -100,13 +103,19 @@ def plan_steps(question: Column) -> Column:
     return _listed(question, PLAN_STEPS, 8)
 
 
-def plan_insight(result: Column) -> Column:
-    return F.when(F.contains(result, F.lit("classes")) | F.contains(result, F.lit("functions")), F.concat(F.lit("Code structure insight: "), result)).when(F.contains(result, F.lit("files")), F.concat(F.lit("File organization insight: "), result))
+def plan_insight(result: Column, labels: list = RESULT_LABELS) -> Column:
+    """What a step found with the label of its first word, or null."""
+    out = F.when(F.lit(False), F.lit(""))
+    for words, label in labels:
+        out = out.when(any_of(result, words), F.concat(F.lit(label), result))
+    return out
 
 
 def finding_insight(finding: Column) -> Column:
-    for word, label in reversed([("patterns", "Code organization"), ("frameworks", "Technology stack"), ("files", "Project structure")]):
-        out = F.when(F.contains(finding, F.lit(word)), F.concat(F.lit(f"{label} insight: "), finding)).otherwise(out if word != "files" else F.lit(None).cast("string"))
+    """What an action found with the label of its first word, or null."""
+    out = F.when(F.lit(False), F.lit(""))
+    for word, label in FINDING_LABELS:
+        out = out.when(F.contains(finding, F.lit(word)), F.concat(F.lit(label), finding))
     return out
 
 

@@ -13,6 +13,7 @@ from ..functions.text import strip
 
 # What is looked for.
 COMMANDS = ["(?im)```(?:bash|shell|sh)\\\\n([^`]+)```", "(?im)`([^`]*(?:pip|python|pytest|npm|yarn)[^`]*)`", "(?im)^\\\\s*\\\\$\\\\s*(.+)$", "(?im)^\\\\s*([a-z-]+(?:\\\\s+[a-z0-9._-]+)+)\\\\s*$"]
+FRAMEWORKS = ["pytest", "unittest", "fastapi", "django"]
 EXAMPLE = "(?s)```(?:python|py)?\\\\n([^`]+)```"
 
 
@@ -66,3 +67,8 @@ def install_instructions(content: Column) -> Column:
         return F.struct((s["inside"] | enter).alias("inside"), (s["over"] | leave).alias("over"), F.when(take, F.concat(s["found"], F.array(line))).otherwise(s["found"]).alias("found"))
 
     return F.aggregate(lines, start, step, lambda s: s["found"])
+
+
+def names_frameworks(content: Column, words: list[str] = FRAMEWORKS) -> list[tuple[str, Column]]:
+    """Each framework and whether a text names it."""
+    return [(w, F.contains(content, F.lit(w))) for w in words]

@@ -99,8 +99,8 @@ def keyword_search(spark, d):
 @query("select conv_id, turn, case when contains(text, 'the') then 'Code structure insight: ' || text when contains(text, 'an') then 'File organization insight: ' || text end as insight from conversations where contains(text, 'the') or contains(text, 'an')")
 def label_findings(spark, d):
     said = table(spark, d, "conversations")
-    made = F.when(F.contains("text", F.lit("the")), F.concat(F.lit("Code structure insight: "), "text")).when(F.contains("text", F.lit("an")), F.concat(F.lit("File organization insight: "), "text"))
-    return said.select("conv_id", "turn", made.alias("insight")).where("insight is not null")
+    words = [([w], label) for w, (_, label) in zip(("the", "an"), A.RESULT_LABELS, strict=True)]  # words that the turns hold
+    return said.select("conv_id", "turn", A.plan_insight(F.col("text"), words).alias("insight")).where("insight is not null")
 
 
 @query("select conv_id, round(least(1.0, count(*) * 0.1::double + count(*) filter (role = 'user') * 0.05::double), 6) as confidence from conversations group by conv_id")

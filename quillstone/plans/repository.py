@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph
+from ..operators.project import MARKERS, size_advice
+from ..sources.knowledge import matching
 from .base import FILES, PAGE_FILES, files, page_files, table
 from .catalog import query
 
@@ -14,10 +16,6 @@ NAME, EXT = "regexp_extract(path, '([^/]*)$', 1)", "regexp_extract(regexp_extrac
 IMPORTANT = ["main", "index", "app", "server", "client", "core", "base"]
 CONFIG = ["config", "settings", "env", "package.json", "requirements.txt", "setup.py"]
 EXTENSIONS = [".py", ".js", ".ts", ".java", ".cpp", ".c", ".cs", ".go", ".rs"]
-# What a marker file says, later ones outweigh earlier ones; and folders or files that set a flag.
-MARKERS = [("package.json", "package_manager", "npm"), ("requirements.txt", "package_manager", "pip"), ("Pipfile", "package_manager", "pipenv"), ("poetry.lock", "package_manager", "poetry"), ("Cargo.toml", "package_manager", "cargo"), ("pom.xml", "build_system", "maven"), ("build.gradle", "build_system", "gradle"), ("Makefile", "build_system", "make"), ("CMakeLists.txt", "build_system", "cmake"), ("setup.py", "build_system", "setuptools"), ("pyproject.toml", "build_system", "modern_python")]
-FLAGS = [("has_tests", ["tests", "test", "__tests__", "spec"]), ("has_docs", ["docs", "documentation", "doc"]), ("has_config", ["config.py", "settings.py", ".env", "config.json", "config.yaml"])]
-
 
 def _any(col: str, words) -> str:
     return "(" + " or ".join(f"contains({col}, '{w}')" for w in words) + ")"
@@ -75,8 +73,8 @@ def relationship_upsert(spark, d):
 
 @query("select doc_id, source from documents where contains(lower(text), 'license') or contains(lower(source), 'license')")
 def search_text(spark, d):
-    low = F.lit("license")
-    return table(spark, d, "documents").where(F.contains(F.lower("text"), low) | F.contains(F.lower("source"), low)).select("doc_id", "source")
+    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("name"), F.col("source").alias("path"), F.col("text").alias("content"))
+    return matching(docs, "license").select("doc_id", F.col("path").alias("source"))
 
 
 @query("select doc_id, source from documents where (contains(lower(source), 'src1') or contains(lower(substr(text, 1, 1000)), 'license')) and lang = 'en' order by doc_id limit 50")
@@ -139,7 +137,7 @@ def project_structure(spark, d):
   select source, [case when n < 50 then 'Small project: Start with main entry points and core modules' when n < 500 then 'Medium project: Focus on directory structure and key components' else 'Large project: Begin with documentation and configuration files' end][1] as suggestion from x""")
 def suggestions(spark, d):
     n = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("source", F.when(F.col("n") < 50, "Small project: Start with main entry points and core modules").when(F.col("n") < 500, "Medium project: Focus on directory structure and key components").otherwise("Large project: Begin with documentation and configuration files").alias("suggestion"))
+    return n.select("source", size_advice(F.col("n")).alias("suggestion"))
 
 
 @query(f"with {PAGE_FILES} select regexp_extract(path, '^([^/]*)', 1) as folder, count(*) as files, count(distinct regexp_extract(path, '^[^/]*/([^/]*)/', 1)) as subfolders from page_files group by 1")

@@ -67,13 +67,10 @@ def entity_id_md5(spark, d):
     return table(spark, d, "documents").select(T.entity_id("file", F.col("source"), F.col("doc_id").cast("string")).alias("id"), "doc_id")
 
 
-_LANG = {f".{x}": y for x, y in (("py", "python"), ("js", "javascript"), ("rs", "rust"), ("html", "html"))}
-
-
 @query("select page_id, case lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1)) when '.html' then 'html' when '.py' then 'python' else 'unknown' end as language from pages")
 def detect_language(spark, d):
     path = F.regexp_replace("url", "[?#].*$", "")
-    return table(spark, d, "pages").select("page_id", T.lookup(T.FILE_LANGUAGES, F.lower(T.suffix(path)), "unknown").alias("language"))
+    return table(spark, d, "pages").select("page_id", T.language_of(path, T.FILE_LANGUAGES).alias("language"))
 
 
 @query("select count(*) filter (contains(lower(p_name), 'green')) as test_files, count(*) filter (regexp_matches(lower(p_name), 'red|blue')) as config_files from part")
@@ -85,7 +82,7 @@ def count_test_files(spark, d):
 @query("with f as (select unnest(['license', 'password', 'copyright', '@']) as framework) select framework from f where exists (select 1 from documents where contains(text, framework))")
 def frameworks(spark, d):
     words = ["license", "password", "copyright", "@"]
-    seen = table(spark, d, "documents").agg(*[F.max(F.contains("text", F.lit(w))).alias(f"c{i}") for i, w in enumerate(words)])
+    seen = table(spark, d, "documents").agg(*[F.max(hit).alias(f"c{i}") for i, (_, hit) in enumerate(D.names_frameworks(F.col("text"), words))])
     return seen.select(F.explode(F.array_compact(F.array(*[F.when(F.col(f"c{i}"), F.lit(w)) for i, w in enumerate(words)]))).alias("framework"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lookup
+from ..operators import prompts
 from .base import QUESTIONS, questions, table
 from .catalog import query
 
@@ -39,7 +40,7 @@ def trace_duration(spark, d):
 
 @query(f"with {QUESTIONS} select conv_id, 'Mock response to: ' || substr(question, 1, 100) || '...' as content, 75 as total_tokens from questions")
 def mock_llm(spark, d):
-    return questions(spark, d).select("conv_id", F.concat(F.lit("Mock response to: "), F.substring("question", 1, 100), F.lit("...")).alias("content"), F.lit(75).alias("total_tokens"))
+    return prompts.ask(questions(spark, d), prompts.model("mock")).select("conv_id", F.col("answer").alias("content"), F.lit(prompts.MOCK_TOKENS["total_tokens"]).alias("total_tokens"))
 
 
 @query("select doc_id, 'Explain what this ' || lang || ' code does:' || chr(10) || chr(10) || '```' || lang || chr(10) || text || chr(10) || '```' as prompt from documents")
