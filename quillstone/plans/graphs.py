@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import embedding
 from ..operators import graph
-from ..sources.knowledge import statistics
+from ..sources.knowledge import create, statistics
 from .base import GRAPH, graph_edges, graph_entities, table
 from .catalog import query
 
@@ -49,7 +51,11 @@ def related_entities(spark, d):
 
 @query(f"with {GRAPH} select id, name, type, path from ents")
 def kb_roundtrip(spark, d):
-    return graph.cut(graph_entities(spark, d))
+    kb = create(spark, "text", f"{graph.shared(spark)}/kb-{uuid.uuid4().hex}")
+    none = {name: F.lit(None).cast(kind) for name, kind in (("content", "string"), ("language", "string"), ("size", "bigint"), ("created_at", "timestamp_ntz"), ("metadata", "map<string,string>"))}
+    kb.add(graph_entities(spark, d).withColumns({"ord": F.xxhash64("id")} | none))
+    kb.save()
+    return create(spark, "text", kb.path).entities.select("id", "name", "type", "path")
 
 
 @query(f"""with {GRAPH}, deg as (select id, count(*) as degree from (select source_id as id from edges union all select target_id from edges) group by id)

@@ -1,32 +1,49 @@
-"""The knowledge base: two tables, entities and relationships, kept as Parquet, with JSON for exchange."""
+"""The knowledge base: tables of entities and relationships, kept as Parquet, with JSON for exchange; with vectors where asked for.
+
+A saved state is a version, a folder of its own; the file CURRENT names the version that counts and is replaced by a rename. A save that fails
+midway leaves the version before it, and tables of one version always belong together.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..functions import embedding
+from ..operators import vectors
 
 ENTITIES = "ord bigint, id string, name string, type string, path string, content string, language string, size bigint, created_at timestamp_ntz, metadata map<string,string>"
 RELATIONSHIPS = "ord bigint, id string, source_id string, target_id string, relationship_type string, strength double, metadata map<string,string>"
-KINDS = {"text", "graph", "vector"}
+EMBEDDINGS = "ord bigint, id string, type string, language string, vector array<double>"
+KINDS = {"text", "graph", "neo4j", "vector"}
 
 
 class KnowledgeBase:
     """Entities and relationships at a path. Additions replace earlier rows of the same id but keep their place."""
 
+    TABLES = {"entities": ENTITIES, "relationships": RELATIONSHIPS}
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.load()
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return self.spark.createDataFrame([], schema)
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _current(self) -> dict:
+        p, fs = self._at(f"{self.path}/CURRENT")
+        return json.loads("\n".join(r.value for r in self.spark.read.text(str(p)).collect())) if fs.exists(p) else {"version": None, "mark": None}
 
     def load(self) -> None:
-        self.entities, self.relationships = self._read("entities", ENTITIES), self._read("relationships", RELATIONSHIPS)
+        now = self._current()
+        self.version, self.mark = now["version"], now["mark"]
+        for name, schema in self.TABLES.items():
+            own = self.spark.read.schema(schema).parquet(f"{self.path}/{self.version}/{name}") if self.version else self.spark.createDataFrame([], schema)
+            setattr(self, name, own)
 
     @staticmethod
     def _merged(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -35,7 +52,7 @@ class KnowledgeBase:
         late = F.struct("__new", "ord")
         first = F.min(F.struct("__new", "ord")).alias("f")
         out = both.groupBy("id").agg(F.max_by(F.struct(*value), late).alias("v"), first)
-        return out.select(F.col("f.ord").alias("ord"), "id", *[F.col(f"v.{c}").alias(c) for c in value]).select(*old.columns)
+        return out.select(F.col("f.ord").alias("ord"), "id", *[F.col(f"v.{c}") for c in value]).select(old.columns)
 
     def add(self, entities: DataFrame | None = None, relationships: DataFrame | None = None) -> None:
         if entities is not None:
@@ -43,33 +60,95 @@ class KnowledgeBase:
         if relationships is not None:
             self.relationships = self._merged(self.relationships, relationships)
 
-    def save(self) -> None:
-        for name, df in (("entities", self.entities), ("relationships", self.relationships)):
-            graph.cut(df).write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def save(self, mark: str | None = None) -> None:
+        """Write a version and make it the one that counts. ``mark`` goes with it, for callers that must not do a thing twice."""
+        version = f"v-{uuid.uuid4().hex}"
+        for name in self.TABLES:
+            getattr(self, name).write.parquet(f"{self.path}/{version}/{name}")
+        jvm = self.spark._jvm
+        new, fs = self._at(f"{self.path}/CURRENT-{version}")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps({"version": version, "mark": mark or self.mark}), "utf-8"))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(new), fs.makeQualified(self._at(f"{self.path}/CURRENT")[0]), how)
+        before = self.version
         self.load()
+        for found in fs.listStatus(self._at(self.path)[0]):  # the version before stays, as others may still read it
+            name = found.getPath().getName()
+            if name.startswith("v-") and name not in (version, before):
+                fs.delete(found.getPath(), True)
 
     def clear(self) -> None:
-        for name in ("entities", "relationships"):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = self._at(self.path)
+        for found in fs.listStatus(p) if fs.exists(p) else ():
+            if found.getPath().getName().startswith(("v-", "CURRENT")):
+                fs.delete(found.getPath(), True)
         self.load()
 
     def export_json(self, path: str) -> None:
         self.entities.write.mode("overwrite").json(f"{path}/entities")
         self.relationships.write.mode("overwrite").json(f"{path}/relationships")
 
-    def search(self, text: str, kind: str | None = None) -> DataFrame:
+    def search(self, text: str, kind: str | None = None, limit: int | None = None) -> DataFrame:
         """Entities whose name, path or content contains ``text``, whatever the case, in order."""
-        low = F.lit(text.lower())
-        hit = F.contains(F.lower("name"), low) | F.contains(F.lower("path"), low) | F.contains(F.lower("content"), low)
-        out = self.entities.where(hit)
-        return (out.where(F.col("type") == kind) if kind else out).orderBy("ord")
+        out = matching(self.entities, text)
+        out = (out.where(F.col("type") == kind) if kind else out).orderBy("ord", "id")
+        return out.limit(limit) if limit else out
 
     def statistics(self) -> DataFrame:
         """(kind, name, n): totals, entities by type, relationships by type."""
         return statistics(self.entities, self.relationships)
 
 
+class GraphKnowledgeBase(KnowledgeBase):
+    """The same tables; search is limited and a type holds for matches of the content only, as graph stores of this kind answer."""
+
+    def search(self, text: str, kind: str | None = None, limit: int | None = 50) -> DataFrame:
+        low, own = F.lit(text.lower()), F.col("type") == kind if kind else F.lit(True)
+        hit = F.contains(F.lower("name"), low) | F.contains(F.lower("path"), low) | (F.contains(F.lower("content"), low) & own)
+        out = self.entities.where(hit).orderBy("ord", "id")
+        return out.limit(limit) if limit else out
+
+
+class VectorKnowledgeBase(KnowledgeBase):
+    """Entities get a vector when they are added; search is by meaning, as far as the embedding has one."""
+
+    TABLES = KnowledgeBase.TABLES | {"embeddings": EMBEDDINGS}
+
+    def add(self, entities: DataFrame | None = None, relationships: DataFrame | None = None) -> None:
+        super().add(entities, relationships)
+        if entities is not None:
+            self.embeddings = self._merged(self.embeddings, embedded(entities))
+
+    def search(self, text: str, kind: str | None = None, limit: int | None = 10) -> DataFrame:
+        """The entities nearest to ``text`` with their score; for a blank text the first of the type, if one is given, else none."""
+        limit = limit or 10
+        if not text.strip():
+            return self.entities.where(F.col("type") == kind if kind else F.lit(False)).orderBy("ord", "id").limit(limit)
+        near = vectors.nearest(self.embeddings, vectors.query_vector(self.spark, text), limit, keep=F.col("type") == kind if kind else None)
+        return self.entities.join(F.broadcast(near.select("id", "score")), "id").orderBy(F.desc("score"), "id")
+
+    def similar(self, entity_id: str, limit: int = 5) -> DataFrame:
+        """(id, score) of the entities nearest to one of them; nothing if it has no vector."""
+        own = self.embeddings.where(F.col("id") == entity_id).select(F.col("vector").alias("q"))
+        return vectors.nearest(self.embeddings, own, limit, keep=F.col("id") != entity_id).select("id", "score")
+
+
+def matching(entities: DataFrame, text: str) -> DataFrame:
+    """Entities whose name, path or content contains ``text``, whatever the case."""
+    low = F.lit(text.lower())
+    return entities.where(F.contains(F.lower("name"), low) | F.contains(F.lower("path"), low) | F.contains(F.lower("content"), low))
+
+
+def embedded(entities: DataFrame) -> DataFrame:
+    """(ord, id, type, language, vector) of entities."""
+    text = embedding.entity_text(*[F.coalesce(F.col(c), F.lit("")) for c in ("type", "name", "language", "path", "content")], F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    return entities.select("ord", "id", "type", "language", embedding.hash_embedding(text).alias("vector"))
+
+
 def statistics(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     one = entities.groupBy("type").count().select(F.lit("entity_type").alias("kind"), F.col("type").alias("name"), F.col("count").alias("n"))
     two = relationships.groupBy("relationship_type").count().select(F.lit("relationship_type").alias("kind"), F.col("relationship_type").alias("name"), F.col("count").alias("n"))
@@ -79,7 +158,7 @@ def statistics(entities: DataFrame, relationships: DataFrame) -> DataFrame:
 
 
 def create(spark: SparkSession, kind: str, path: str) -> KnowledgeBase:
-    """All kinds are the same tables; an unknown kind is an error."""
+    """The graph store is kept in the same tables as the others; an unknown kind is an error."""
     if kind not in KINDS:
         raise ValueError(f"unsupported knowledge base: {kind}")
-    return KnowledgeBase(spark, path)
+    return {"vector": VectorKnowledgeBase, "graph": GraphKnowledgeBase, "neo4j": GraphKnowledgeBase}.get(kind, KnowledgeBase)(spark, path)

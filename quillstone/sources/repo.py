@@ -1,7 +1,8 @@
 """A source repository as a table: ``spark.read.format("repository").option("path", dir).load()``.
 
-Files are listed depth first, directories before files and then by path; unreadable folders are skipped. Each top-level
-entry is one input partition, so that large trees are read by many tasks. Options: path, recursive (true), content (true), excludedDirs,
+Files are listed depth first, directories before files and then by path; unreadable folders are skipped. The driver lists the upper
+levels only, as many as give SPREAD entries (three at most), and deals them to as many input partitions at most, so that large trees are read by many
+tasks even if they hang on one folder. Options: path, recursive (true), content (true), excludedDirs,
 excludedExtensions (comma-separated), maxBytes (no limit).
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 # What is left out unless the options say otherwise.
 EXCLUDED_DIRS = [".git", "__pycache__", "node_modules", ".venv", "venv"]
 EXCLUDED_EXTENSIONS = [".pyc", ".pyo", ".pyd", ".so", ".dll", ".exe"]
+SPREAD, LEVELS = 64, 3
 SCHEMA = "path string, name string, size long, modified_time double, is_directory boolean, extension string, content string"
 
 
@@ -30,9 +32,11 @@ class RepositorySource(DataSource):
         return RepositoryReader(self.options)
 
 
-class Entry(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
+class Entries(InputPartition):
+    """Paths in order, and whether what is below them is read too."""
+
+    def __init__(self, entries: list[tuple[str, bool]]):
+        self.entries = entries
 
 
 class RepositoryReader(DataSourceReader):
@@ -62,7 +66,14 @@ class RepositoryReader(DataSourceReader):
         return sorted(found)
 
     def partitions(self) -> list[InputPartition]:
-        return [Entry(path, not is_file and self.recursive) for is_file, path in self._listed("")]
+        found = lambda folder: [(path, not is_file and self.recursive) for is_file, path in self._listed(folder)]
+        entries = found("")
+        for _ in range(LEVELS):
+            if len(entries) >= SPREAD or not any(deep for _, deep in entries):
+                break
+            entries = [x for path, deep in entries for x in ([(path, False), *found(path)] if deep else [(path, False)])]
+        size = -(-len(entries) // SPREAD) or 1
+        return [Entries(entries[i : i + size]) for i in range(0, len(entries), size)] or [Entries([])]
 
     def _row(self, path: str) -> tuple | None:
         full = os.path.join(self.root, path)
@@ -82,16 +93,17 @@ class RepositoryReader(DataSourceReader):
         name = os.path.basename(path)
         return path, name, info.st_size, info.st_mtime, folder, "" if folder else os.path.splitext(name)[1], text
 
-    def read(self, partition: Entry) -> Iterator[tuple]:
-        todo = [partition.path]
-        while todo:
-            path = todo.pop()
-            row = self._row(path)
-            if row is None:
-                continue
-            yield row
-            if row[4] and partition.deep:
-                todo += [p for _, p in reversed(self._listed(path))]
+    def read(self, partition: Entries) -> Iterator[tuple]:
+        for first, deep in partition.entries:
+            todo = [first]
+            while todo:
+                path = todo.pop()
+                row = self._row(path)
+                if row is None:
+                    continue
+                yield row
+                if row[4] and deep:
+                    todo += [p for _, p in reversed(self._listed(path))]
 
 
 def register(spark) -> None:

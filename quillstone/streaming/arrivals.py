@@ -11,10 +11,12 @@ from ..sources.knowledge import KnowledgeBase
 def index_arrivals(spark: SparkSession, folder: str, schema: str, kb: KnowledgeBase, checkpoint: str):
     """Take entity rows (Parquet, of ``schema``) that arrive in ``folder`` into ``kb``, all that is there now. Returns the ended query."""
 
-    def take(batch: DataFrame, _number: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
         kb.load()
-        kb.add(batch)
-        kb.save()
+        mark = f"{checkpoint}#{number}"
+        if kb.mark != mark:  # else it was saved before the run broke off
+            kb.add(batch)
+            kb.save(mark)
 
     query = spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
