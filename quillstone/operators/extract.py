@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 BLOCK_LINES = 50
+# Patterns of lines.
 _CLASS, _DEF = re.compile(r"class\s+(\w+)"), re.compile(r"def\s+(\w+)")
 _JS_NAME = re.compile(r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=)")
 _JS_IMPORTS = [re.compile(p) for p in (r"require\(['\"]([^'\"]+)['\"]\)", r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", r"import\s+['\"]([^'\"]+)['\"]")]
@@ -193,3 +194,78 @@ def inspections(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "classes", "functions", "complexity", "line_count", "dependencies", "issues"])
 
     return files.select("path", "content", "language").mapInPandas(run, schema)
+
+
+ITEM = "path string, kind string, name string, line long, module string, alias string, args array<string>, bases array<string>, decorators array<string>"
+_FROM, _REQUIRE = re.compile(r"from\s+['\"]([^'\"]+)['\"]"), re.compile(r"require\(['\"]([^'\"]+)['\"]\)")
+
+
+def _shown(nodes: list) -> list[str]:
+    """Names as they stand, other expressions as source."""
+    return [n.id if isinstance(n, ast.Name) else ast.unparse(n) for n in nodes]
+
+
+class Items(ast.NodeVisitor):
+    """Classes, functions and imports of a module, outer ones first. What stands in a try is not looked at, as its visitor stops there."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+
+    def _put(self, kind: str, line: int, **values) -> None:
+        self.rows.append({"kind": kind, "line": line} | values)
+
+    def visit_ClassDef(self, node: ast.ClassDef) -> None:
+        self._put("class", node.lineno, name=node.name, bases=_shown(node.bases), decorators=_shown(node.decorator_list))
+        self.generic_visit(node)
+
+    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
+        self._put("function", node.lineno, name=node.name, args=[a.arg for a in node.args.args], decorators=_shown(node.decorator_list))
+        self.generic_visit(node)
+
+    def visit_Import(self, node: ast.Import) -> None:
+        for a in node.names:
+            self._put("import", node.lineno, module=a.name, alias=a.asname)
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+        for a in node.names if node.module else ():
+            self._put("from_import", node.lineno, module=node.module, name=a.name, alias=a.asname)
+
+
+def python_items(content: str) -> list[dict]:
+    """None if the text does not parse."""
+    try:
+        tree = ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    found = Items()
+    found.visit(tree)
+    return found.rows
+
+
+def script_items(content: str) -> list[dict]:
+    """Imports, classes and functions of JavaScript or TypeScript, line by line."""
+    rows = []
+    for i, raw in enumerate(content.splitlines(), 1):
+        s = raw.strip()
+        if s.startswith("import ") or "require(" in s:
+            rows += [{"kind": kind, "line": i, "module": m[1]} for kind, m in (("es6_import", _FROM.search(s)), ("commonjs_require", _REQUIRE.search(s))) if m]
+        if s.startswith("class ") and (m := _CLASS.match(s)):
+            rows.append({"kind": "class", "line": i, "name": m[1]})
+        if (s.startswith("function ") or "=>" in s) and (m := _JS_NAME.search(s)):
+            rows.append({"kind": "function", "line": i, "name": m[1] or m[2]})
+    return rows
+
+
+def items(files: DataFrame) -> DataFrame:
+    """(path, content, language) to what an inspection lists: classes, functions and imports, with their lines and details."""
+    names = ["kind", "name", "line", "module", "alias", "args", "bases", "decorators"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content, language in zip(b["path"], b["content"], b["language"], strict=True):
+                found = python_items(content or "") if language == "python" else script_items(content or "") if language in ("javascript", "typescript") else []
+                rows += [(path, *(r.get(n) for n in names)) for r in found]
+            yield pd.DataFrame(rows, columns=["path", *names], dtype=object)
+
+    return files.select("path", "content", "language").mapInPandas(run, ITEM)

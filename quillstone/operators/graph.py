@@ -15,18 +15,35 @@ from pyspark.sql import functions as F
 # Levels of entity types.
 C4 = {"context": ["project"], "containers": ["application", "service", "module"], "components": ["package", "namespace", "directory"], "code": ["file", "class", "function"]}
 CYCLE_TYPES = ["imports", "calls", "uses"]
+FRONTIER = 200_000  # ids that are broadcast
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write and reread in the folder of spark.checkpoint.dir (a temporary one where that is unset)."""
-    spark = df.sparkSession
+def shared(spark) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a folder of this process if all tasks run in it, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/quillstone/graph-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quillstone"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write and reread in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a cut() that nothing reads any more."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def c4_level(kind) -> F.Column:
@@ -89,10 +106,13 @@ def cycles(edges: DataFrame, size: int, kinds: list[str] = CYCLE_TYPES) -> DataF
 def distances(edges: DataFrame, start: DataFrame, max_depth: int, until: str | None = None) -> DataFrame:
     """(id, distance, parent) of what is reached from the ids of ``start`` in at most ``max_depth`` steps, both directions. Stops early
     when nothing is new or ``until`` is reached."""
-    near = cut(both_ways(edges))
     seen = frontier = cut(start.select("id", F.lit(0).cast("bigint").alias("distance"), F.lit(None).cast("string").alias("parent")))
+    ends = edges.select("source_id", "target_id").where("source_id <> target_id")
     for depth in range(1, max_depth + 1):
-        new = frontier.join(near, frontier["id"] == near["a"]).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+        here = frontier.select("id")
+        here = F.broadcast(here) if frontier.count() <= FRONTIER else here  # a small frontier goes to the edges, which stay where they are
+        new = ends.join(here, ends["source_id"] == here["id"]).select(F.col("target_id").alias("to"), "id").unionByName(ends.join(here, ends["target_id"] == here["id"]).select(F.col("source_id").alias("to"), "id"))
+        new = new.groupBy(F.col("to").alias("id")).agg(F.min("id").alias("parent"))
         new = new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).cast("bigint").alias("distance"), "parent")
         frontier = cut(new)
         if not frontier.limit(1).count():
@@ -124,22 +144,34 @@ def neighborhood(edges: DataFrame, entities: DataFrame, centre: str, depth: int
     return others.select("id", "distance").join(entities.select("id", "name", "type"), "id")
 
 
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Point the neighbours of each node that are larger (``large``), or those that are smaller, at its least neighbour."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    met = both.join(least, "u")
+    if large:
+        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return out.where("u <> v").distinct()
+
+
 def components(edges: DataFrame, entities: DataFrame, min_size: int = 1) -> DataFrame:
-    """(id, component, size): components of the undirected graph with at least ``min_size`` entities, named by their least id."""
-    near = cut(both_ways(valid_edges(edges, entities)))
-    label = cut(entities.select("id", F.col("id").alias("component")).distinct())
+    """(id, component, size): components of the undirected graph with at least ``min_size`` entities, named by their least id. Large and small
+    stars in turn on the edges only, until a round changes nothing; the tables of a round go when the next one is written."""
+    ends = valid_edges(edges, entities).where("source_id <> target_id")
+    now, state = cut(ends.select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).distinct()), None
     while True:
-        best = near.join(label, near["b"] == label["id"]).groupBy(F.col("a").alias("n")).agg(F.min("component").alias("m"))
-        hooked = label.join(best, label["id"] == best["n"], "left").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
-        hooked = cut(hooked)
-        # one jump along the labels, which halves the depth of chains
-        up = hooked.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        nxt = cut(hooked.join(up, "component", "left").select("id", F.least("component", "top").alias("component"), "was"))
-        if not nxt.where("component <> was").limit(1).count():
+        nxt = cut(_star(_star(now, True), False))
+        drop(now)
+        now = nxt
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if mark == state:
             break
-        label = nxt.select("id", "component")
-    sizes = nxt.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
-    return nxt.select("id", "component").join(sizes, "component").select("id", "component", "size")
+        state = mark
+    label = entities.select("id").distinct().join(now.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
+    return label.join(sizes, "component").select("id", "component", "size")
 
 
 def similar_by_edges(edges: DataFrame, entities: DataFrame, entity_id: str, threshold: float = 0.7, limit: int = 10, kind: str = "similar") -> DataFrame:
@@ -148,11 +180,33 @@ def similar_by_edges(edges: DataFrame, entities: DataFrame, entity_id: str, thre
 
 
 def greedy_clusters(edges: DataFrame, entities: DataFrame, min_size: int = 3) -> DataFrame:
-    """(seed, members): the neighbourhoods of one or two steps with at least ``min_size`` entities, seed included."""
-    near = both_ways(valid_edges(edges, entities))
-    two = near.unionByName(near.join(near.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))).distinct()
-    out = two.groupBy(F.col("a").alias("seed")).agg(F.array_sort(F.array_distinct(F.concat(F.collect_set("b"), F.array(F.first("a"))))).alias("members"))
-    return out.where(F.size("members") >= min_size)
+    """(cluster, id, size): entities in the order of their ids; one that is not taken yet and has at least ``min_size`` walks of one or two edges
+    takes what is not taken within two steps. Clusters under ``min_size`` are left out, though what they took stays taken.
+
+    Seeds are the entities with enough walks that no earlier seed reaches, so a round settles all that come before their undecided
+    neighbours at once; the rest belongs to its least seed.
+    """
+    valid = valid_edges(edges, entities)
+    ends = valid.where("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    ends = cut(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    degree = ends.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("d"))
+    able = ends.join(degree, "b").groupBy(F.col("a").alias("id")).agg(F.sum("d").alias("walks")).where(F.col("walks") >= min_size).select("id")
+    one = ends.distinct()
+    near = cut(one.unionByName(one.join(one.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))).where("a <> b").distinct())
+    open_, seeds = cut(able), None
+    rivals = near.join(able.withColumnRenamed("id", "a"), "a", "left_semi").join(able.withColumnRenamed("id", "b"), "b", "left_semi").where("b < a")
+    while open_.limit(1).count():
+        waits = rivals.join(open_.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id"))
+        now = cut(open_.join(waits, "id", "left_anti"))
+        seeds = now if seeds is None else seeds.unionByName(now)
+        taken = near.join(now.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
+        open_ = cut(open_.join(now.unionByName(taken), "id", "left_anti"))
+    if seeds is None:
+        return edges.sparkSession.createDataFrame([], "cluster string, id string, size long")
+    members = near.join(seeds.withColumnRenamed("id", "a"), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("cluster")).join(seeds, "id", "left_anti")
+    all_ = cut(seeds.select("id", F.col("id").alias("cluster")).unionByName(members.select("id", "cluster")))
+    sizes = all_.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
+    return all_.join(sizes, "cluster").select("cluster", "id", "size")
 
 
 def upsert(rows: DataFrame, key: list[str], order: list[str], value: list[str]) -> DataFrame:

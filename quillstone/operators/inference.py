@@ -62,14 +62,34 @@ def same_package(files: DataFrame) -> DataFrame:
     return met.select(F.concat_ws("_", F.lit("same_package"), "source_id", "target_id").alias("id"), "source_id", "target_id", F.lit("same_package").alias("relationship_type"), "strength")
 
 
+def _segments(n, k):
+    """(i, start, size) of ``k`` segments of a text of length ``n``, the longer ones last; starts count from 0."""
+    base = F.floor(n / k).cast("int")
+    short = k - (n - base * k)
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(i.alias("i"), (i * base + F.greatest(i - short, F.lit(0))).alias("start"), (base + F.when(i >= short, 1).otherwise(0)).alias("size")))
+
+
 def similar_names(entities: DataFrame, threshold: float = 0.7, kinds: list[str] = ("function", "class")) -> DataFrame:
-    """Pairs of (ord, id, name, type) of one type with edit similarity above ``threshold``. Equal names meet by key; others only if their lengths
-    allow it: each name meets lengths from its own to its own / threshold, as an equality on (type, length)."""
-    own = entities.where(F.col("type").isin(list(kinds))).withColumn("n", F.length("name"))
-    longest = F.floor(F.col("n") / F.lit(threshold)).cast("int")
-    a = own.select("type", F.col("ord").alias("ao"), F.col("id").alias("ai"), F.col("name").alias("an"), F.col("n").alias("na"), F.explode(F.sequence(F.col("n"), F.greatest(longest, F.col("n")))).alias("nb"))
-    b = own.select("type", F.col("ord").alias("bo"), F.col("id").alias("bi"), F.col("name").alias("bn"), F.col("n").alias("nb"))
-    met = a.join(b, ["type", "nb"]).where("(na < nb and ao <> bo) or (na = nb and ao < bo)")
+    """Pairs of (ord, id, name, type) of one type with edit similarity above ``threshold``.
+
+    A longer name of length m allows e = floor((1 - threshold) m) edits. Cut the shorter one into e + 1 segments: one of them stands in the longer name
+    unchanged, shifted by so few places that there are at most e + 1 starts to try. So names meet by equality on (type, length, e, segment number,
+    segment text), and only those that share a segment are compared. Names that are empty meet each other only.
+    """
+    own = entities.where(F.col("type").isin(list(kinds))).select("type", "ord", "id", F.coalesce("name", F.lit("")).alias("name"), F.lower(F.coalesce("name", F.lit(""))).alias("low")).withColumn("n", F.length("low"))
+    edits = lambda m: F.floor(m * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
+    longest = F.greatest(F.floor(F.col("n") / F.lit(threshold) + F.lit(1e-9)).cast("int"), F.col("n"))
+    short = own.withColumn("e", F.explode(F.array_distinct(F.transform(F.sequence(F.col("n"), longest), edits))))
+    short = short.select("type", F.col("n").alias("na"), "e", F.col("ord").alias("ao"), F.col("id").alias("ai"), F.col("name").alias("an"), "low", F.explode(_segments(F.col("n"), F.col("e") + 1)).alias("s"))
+    a = short.select("type", "na", "e", "ao", "ai", "an", F.col("s.i").alias("i"), F.expr("substring(low, s.start + 1, s.size)").alias("part"))
+    least = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int")
+    long = own.withColumn("e", edits(F.col("n"))).withColumn("na", F.explode(F.sequence(least, F.col("n"))))
+    long = long.select("*", F.explode(_segments(F.col("na"), F.col("e") + 1)).alias("s")).withColumn("more", F.col("n") - F.col("na"))
+    first = F.greatest(F.lit(0), F.col("s.start") - F.floor((F.col("e") - F.col("more")) / 2)).cast("int")
+    last = F.least(F.col("n") - F.col("s.size"), F.col("s.start") + F.floor((F.col("e") + F.col("more")) / 2)).cast("int")
+    long = long.where((F.col("e") >= F.col("more")) & (first <= last)).select("*", F.explode(F.sequence(first, last)).alias("at"))
+    b = long.select("type", "na", "e", F.col("s.i").alias("i"), F.expr("substring(low, at + 1, s.size)").alias("part"), F.col("n").alias("nb"), F.col("ord").alias("bo"), F.col("id").alias("bi"), F.col("name").alias("bn")).distinct()
+    met = a.join(b, ["type", "na", "e", "i", "part"]).where("(na < nb and ao <> bo) or (na = nb and ao < bo)").select("ao", "ai", "an", "bo", "bi", "bn").distinct()
     met = met.withColumn("strength", name_similarity(F.col("an"), F.col("bn"))).where(F.col("strength") > threshold)
     first = F.col("ao") < F.col("bo")
     met = met.select(F.when(first, F.col("ai")).otherwise(F.col("bi")).alias("source_id"), F.when(first, F.col("bi")).otherwise(F.col("ai")).alias("target_id"), "strength")

@@ -57,3 +57,18 @@ class Config:
 
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps(self.to_dict(), indent=1), encoding="utf-8")
+
+
+# Names of the variable that holds a service's key, in this order.
+KEY_NAMES = ["{upper}_API_KEY", "{upper}_KEY", "{own}_API_KEY", "{own}_KEY", "OPENAI_API_KEY", "API_KEY"]
+
+
+def setting(key: str, own: dict[str, str], default: str | None = None) -> str | None:
+    """A variable of the environment, else of ``own`` settings."""
+    return os.environ.get(key, own.get(key, default))
+
+
+def service_key(service: str, own: dict[str, str]) -> str | None:
+    """The first of a service's key variables that is set."""
+    found = (setting(name.format(upper=service.upper(), own=service), own) for name in KEY_NAMES)
+    return next((x for x in found if x), None)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import repo
-from ..sources.knowledge import KnowledgeBase
+from ..sources.knowledge import KnowledgeBase, create
 from .config import Config
 from .repository import CONFIG, EXTENSIONS, IMPORTANT
 from .samples import index
@@ -25,6 +25,30 @@ def ranked(files: DataFrame) -> DataFrame:
     return files.join(F.broadcast(important), "path", "left").withColumn("rank", F.coalesce("r0", rank)).where("rank is not null").drop("r0")
 
 
+def repository_list(spark: SparkSession, path: str) -> DataFrame:
+    """(repository): the lines of a text file that aren't blank or comments."""
+    lines = spark.read.text(path).select("value", T.strip(F.col("value")).alias("repository"))
+    return lines.where((F.col("repository") != "") & ~F.startswith("value", F.lit("#"))).select("repository")
+
+
+def index_batch(spark: SparkSession, paths: list[str], root: str, config: Config | None = None, kind: str = "text") -> DataFrame:
+    """Index repositories one after the other, each by all tasks, into a knowledge base below ``root``: (repository, status, files, entities,
+    relationships, error). One that fails is a row and doesn't stop the others."""
+    done = []
+    for i, path in enumerate(paths):
+        try:
+            made = index_repository(spark, path, create(spark, kind, f"{root.rstrip('/')}/{i}"), config)
+            done.append((path, "ok", made["files"], made["entities"], made["relationships"], "; ".join(made["errors"]) or None))
+        except Exception as e:  # noqa: BLE001  whatever it is, it is said
+            done.append((path, "failed", 0, 0, 0, str(e)))
+    return spark.createDataFrame(done, "repository string, status string, files long, entities long, relationships long, error string")
+
+
+def batch_totals(done: DataFrame) -> DataFrame:
+    """One row: total_repos, successful, failed."""
+    return done.agg(F.count(F.lit(1)).alias("total_repos"), F.count_if(F.col("status") == "ok").alias("successful"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
 def index_repository(spark: SparkSession, path: str, kb: KnowledgeBase, config: Config | None = None) -> dict:
     """Counts of what was indexed, and as errors how many files the limits of ``config`` left out; the strategies that plan are not implemented and say so."""
     config = config or Config()
@@ -53,6 +77,6 @@ def index_repository(spark: SparkSession, path: str, kb: KnowledgeBase, config:
     chosen = read("true").join(chosen, "path").withColumn("language", T.lookup(T.INDEX_LANGUAGES, F.lower("extension"), "unknown"))
     entities, edges = index(chosen.select("ord", "path", "content", "language"), config.prefix)
     none = F.create_map().cast("map<string,string>")
-    kb.add(entities.withColumn("created_at", F.lit(None).cast("timestamp_ntz")).withColumn("metadata", none), edges.withColumn("ord", F.monotonically_increasing_id()).withColumn("metadata", none))
+    kb.add(entities.withColumn("created_at", F.lit(None).cast("timestamp_ntz")).withColumn("metadata", none), edges.withColumn("ord", F.xxhash64("id")).withColumn("metadata", none))
     kb.save()
     return {"files": kb.entities.where("type = 'file'").count(), "entities": kb.entities.count(), "relationships": kb.relationships.count(), "errors": errors}
