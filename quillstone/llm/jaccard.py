@@ -72,8 +72,9 @@ def tile_keys(grams: np.ndarray, common: np.ndarray, num: int, den: int) -> np.n
 
 
 def bitmap(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Parity of the shingles that fall on each bit; over four bits for each difference that a link allows."""
-    size = max(128, 1 << (4 * (2 * len(grams)) * (den - num) // (den + num)).bit_length())
+    """Parity of the shingles that fall on each bit; over eight bits for each difference that a link allows, and for small sets more, as the
+    counts of few bits say little."""
+    size = max(1024, 1 << (8 * (2 * len(grams)) * (den - num) // (den + num)).bit_length())
     odd = np.bincount((flat.mix(grams + U(77)) & U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
