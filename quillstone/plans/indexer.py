@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import graph
 from ..sources import repo
 from ..sources.knowledge import KnowledgeBase, create
 from .config import Config
@@ -75,7 +76,8 @@ def index_repository(spark: SparkSession, path: str, kb: KnowledgeBase, config:
             errors.append(f"{over} files beyond the first {most} (max_exploration_depth) left out")
         chosen = chosen.where(F.col("ord") < most)
     chosen = read("true").join(chosen, "path").withColumn("language", T.lookup(T.INDEX_LANGUAGES, F.lower("extension"), "unknown"))
-    entities, edges = index(chosen.select("ord", "path", "content", "language"), config.prefix)
+    source = graph.cut(chosen.select("ord", "path", "content", "language"))  # the tree is read once
+    entities, edges = index(source, config.prefix)
     none = F.create_map().cast("map<string,string>")
     kb.add(entities.withColumn("created_at", F.lit(None).cast("timestamp_ntz")).withColumn("metadata", none), edges.withColumn("ord", F.xxhash64("id")).withColumn("metadata", none))
     kb.save()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import INDEX_LANGUAGES, base_name, lookup, suffix
-from ..operators import extract, inference
+from ..operators import extract, graph, inference
 
 A = 'import os\nfrom b import Base, helper\n\nclass Child(Base):\n    def run(self):\n        try:\n            helper()\n        except ValueError:\n            raise Oops("x")\n\n@helper\ndef top():\n    return Child().run()\n\nasync def later():\n    top()\n'
 B = "class Base:\n    pass\n\ndef helper(fn=None):\n    return fn\n\nclass Oops(Exception):\n    pass\n"
@@ -31,10 +31,9 @@ def index(source: DataFrame, prefix: int | None = None) -> tuple[DataFrame, Data
     parts = extract.entities(source).join(source.select("path", F.col("ord").alias("file_ord")), "path")
     parts = parts.select((F.col("file_ord") * stride + F.col("line")).alias("ord"), F.md5(F.concat_ws(":", "type", "path", "name")).alias("id"), "name", "type", "path", "content", "language", "size")
     first = parts.groupBy("id").agg(F.min("ord").alias("ord"), F.max_by(F.struct("name", "type", "path", "content", "language", "size"), "ord").alias("v"))
-    entities = whole.unionByName(first.select("ord", "id", "v.*"))
+    entities = graph.cut(whole.unionByName(first.select("ord", "id", "v.*")))  # read by each of the joins below
     read = source if prefix is None else source.withColumn("content", F.substring("content", 1, prefix))
-    facts = extract.facts(read)
-    at = facts.select("path", "kind", "a", "b", "line")
+    at = graph.cut(extract.facts(read)).select("path", "kind", "a", "b", "line")
     of_file = at.where("kind = 'import'").select(F.md5(F.concat(F.lit("file:"), F.col("path"))).alias("source_id"), F.col("a").alias("symbol"))
     named = lambda kind: at.where(F.col("kind") == kind).drop("kind")
     edges = [
