@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, lengths, pieces, quality, suffixes, tiling, toxicity, urls, warc
+from . import asof, exact, jaccard, lengths, pieces, quality, suffixes, tiling, toxicity, urls, warc
 
 
 def tokenizer(name: str) -> str:
@@ -63,10 +63,22 @@ def op10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(made))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_urls, op4_quality, op5_warc, op6_exact, op7_pieces, op8_tiling, op9_jaccard, op10_lengths)}
+def op12_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.match_clicks(_read(spark, sf_dir, "clicks"), _read(spark, sf_dir, "sales"), hours=72)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_urls, op4_quality, op5_warc, op6_exact, op7_pieces, op8_tiling, op9_jaccard, op10_lengths, op12_asof)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BAD = " or ".join(f"contains('.' || host, '.{x}')" for x in urls.DEFAULT_BLOCKED)
+_DAY = 86_400_000_000
+
+
+def _crc32(x: str) -> str:
+    """The checksum bit by bit: -1 stands for a shift."""
+    steps = f"[4294967295] || flatten(list_transform(string_split(cast({x} as varchar), ''), lambda d: [cast(ascii(d) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"4294967295 - list_reduce({steps}, lambda c, b: case when b >= 0 then xor(c, b) else xor(c >> 1, 3988292384 * (c & 1)) end)"
+
 
 ORACLES = {
     "op3_urls": f"""
@@ -83,4 +95,15 @@ ORACLES = {
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept,
                sha256(coalesce(text, '')) as text_sha256, cast(strlen(coalesce(text, '')) as bigint) as n_bytes
         from documents window same as (partition by coalesce(text, ''))""",
+    "op12_asof": f"""
+        with points as (select click_id, min(client_id) as client_id, epoch_us(min(ts)) as t, {_crc32("click_id")} as h from clicks group by click_id),
+        asked as (select click_id, client_id, case when h % 2 = 1 then t - t % {_DAY} else t end as ts_us from points),
+        one as (select client_id, sale_id, priority, cast(floor(100 * total + 0.5) as bigint) as total_cents, epoch_us(sold_at) as t, {_crc32("sale_id")} as h from sales
+                where client_id is not null and sold_at is not null),
+        own as (select *, case when h % 2 = 1 then t - t % {_DAY} else t end as moment from one),
+        orders as (select client_id, moment, priority, sale_id, total_cents from own union all select client_id, moment, 6 - priority, -1 - sale_id, total_cents from own where h % 3 <> 0),
+        runs as (select *, count(*) over (partition by client_id, moment) as n_tied, row_number() over (partition by client_id, moment order by priority desc nulls last, sale_id nulls last) as place from orders),
+        met as (select a.*, r.sale_id, r.moment, r.total_cents, r.n_tied from asked a asof left join (select * from runs where place = 1) r on a.client_id = r.client_id and a.ts_us >= r.moment)
+        select click_id, client_id, ts_us, case when ok then sale_id end as sale_id, case when ok then ts_us - moment end as lag_us, case when ok then total_cents end as total_cents,
+               case when ok then n_tied else 0 end as n_tied from (select *, coalesce(ts_us - moment <= {72 * 3_600_000_000}, false) as ok from met)""",
 }
