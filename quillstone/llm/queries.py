@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import asof, exact, jaccard, lengths, pieces, quality, suffixes, tiling, toxicity, urls, warc
+from . import asof, exact, jaccard, lengths, phrases, pieces, quality, suffixes, tiling, toxicity, urls, warc
 
 
 def tokenizer(name: str) -> str:
@@ -67,7 +67,11 @@ def op12_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.match_clicks(_read(spark, sf_dir, "clicks"), _read(spark, sf_dir, "sales"), hours=72)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_urls, op4_quality, op5_warc, op6_exact, op7_pieces, op8_tiling, op9_jaccard, op10_lengths, op12_asof)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"), least=100, top=2_000)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_urls, op4_quality, op5_warc, op6_exact, op7_pieces, op8_tiling, op9_jaccard, op10_lengths, op12_asof, op13_phrases)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BAD = " or ".join(f"contains('.' || host, '.{x}')" for x in urls.DEFAULT_BLOCKED)
@@ -106,4 +110,19 @@ ORACLES = {
         met as (select a.*, r.sale_id, r.moment, r.total_cents, r.n_tied from asked a asof left join (select * from runs where place = 1) r on a.client_id = r.client_id and a.ts_us >= r.moment)
         select click_id, client_id, ts_us, case when ok then sale_id end as sale_id, case when ok then ts_us - moment end as lag_us, case when ok then total_cents end as total_cents,
                case when ok then n_tied else 0 end as n_tied from (select *, coalesce(ts_us - moment <= {72 * 3_600_000_000}, false) as ok from met)""",
+    "op13_phrases": f"""
+        with pieces as (select coalesce(lang, 'und') as lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\n\\x0B\\x0C\\r]')) as piece from documents),
+        spoken as (select row_number() over () as p, lang, regexp_extract_all(piece, '[^ \\t]+') as w from pieces),
+        total as (select lang, sum(len(w)) as n from spoken group by lang),
+        starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from spoken),
+        grams as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from starts, (select unnest(range(1, 6)) as k) where i + k - 1 <= len(w)),
+        f as (select lang, k, phrase, count(*) as a from grams group by lang, k, phrase having count(*) >= 100),
+        cuts as (select f.lang, f.k, f.phrase, f.a, unnest(range(1, f.k)) as j, string_split(f.phrase, ' ') as w from f where f.k > 1),
+        scored as (select c.lang, c.k, c.phrase, c.a, c.j, x.a as l, y.a as r, t.n, (1000::hugeint * c.a::hugeint * t.n::hugeint) // (x.a::hugeint * y.a::hugeint) as score
+                   from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : c.j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.j + 1 :], ' ') join total t on t.lang = c.lang),
+        worst as (select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+        inside as (select f.lang, f.a, unnest([array_to_string(string_split(f.phrase, ' ')[1 : f.k - 1], ' '), array_to_string(string_split(f.phrase, ' ')[2 :], ' ')]) as phrase from f where f.k > 2),
+        best as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from worst w
+                 where not exists (select 1 from inside i where i.lang = w.lang and i.phrase = w.phrase and i.a = w.a))
+        select lang, cast(rank as bigint) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from best where rank <= 2000""",
 }
