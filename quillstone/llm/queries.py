@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import asof, exact, jaccard, lengths, phrases, pieces, quality, suffixes, tiling, toxicity, urls, warc
+from . import asof, exact, hmm, jaccard, lengths, phrases, pieces, quality, suffixes, tiling, toxicity, urls, warc
 
 
 def tokenizer(name: str) -> str:
@@ -63,6 +63,10 @@ def op10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(made))
 
 
+def op11_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_read(spark, sf_dir, "documents"))
+
+
 def op12_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.match_clicks(_read(spark, sf_dir, "clicks"), _read(spark, sf_dir, "sales"), hours=72)
 
@@ -71,7 +75,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_read(spark, sf_dir, "documents"), least=100, top=2_000)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_urls, op4_quality, op5_warc, op6_exact, op7_pieces, op8_tiling, op9_jaccard, op10_lengths, op12_asof, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_urls, op4_quality, op5_warc, op6_exact, op7_pieces, op8_tiling, op9_jaccard, op10_lengths, op11_hmm, op12_asof, op13_phrases)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BAD = " or ".join(f"contains('.' || host, '.{x}')" for x in urls.DEFAULT_BLOCKED)
