@@ -26,10 +26,8 @@ RELEVANT = {
     "deployment": ["docker", "deploy", "ci", "workflow", "action"],
 }
 KINDS = [*RELEVANT, "general"]
-# Items that an answer quotes. Sections and deployment files have no limit of their own; an answer lists LISTED of them and
-# relevant() has all.
-LISTED = 1_000
-QUOTED = {"testing": 3, "setup": 5, "usage": 2, "configuration": LISTED, "deployment": LISTED}
+# Items that an answer quotes. Configuration sections and deployment files have no limit.
+QUOTED = {"testing": 3, "setup": 5, "usage": 2}
 # The sentences of answers. Their line breaks are the two characters backslash and n, but within code.
 BREAK = "\\n"
 DEPENDENCIES = "1. **Install test dependencies:**\n   ```bash\n   pip install -r requirements-tests.txt\n   ```"
@@ -107,8 +105,9 @@ def type_lines(entities: DataFrame, by: list[str] = ()) -> DataFrame:
     return lines.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), BREAK).alias("summary"))
 
 
-def reports(entities: DataFrame, by: list[str] = ()) -> DataFrame:
-    """One row for each kind (of each group of ``by``): kind, answer, confidence, n_files, n_commands."""
+def reports(entities: DataFrame, by: list[str] = (), listed: int | None = None) -> DataFrame:
+    """One row for each kind (of each group of ``by``): kind, answer, confidence, n_files, n_commands. ``listed``: so many configuration sections or deployment
+    files at most, for answers that must stay short; relevant() has the files in any case."""
     by = list(by)
     rows = relevant(entities, by)
     rows = rows.withColumns({"items": _items(), "commands": F.when(F.col("kind").isin("testing", "setup"), D.commands(F.col("content"))).otherwise(F.array().cast("array<string>"))})
@@ -119,9 +118,11 @@ def reports(entities: DataFrame, by: list[str] = ()) -> DataFrame:
         F.greatest(says("commands", "pytest"), says("items", "pytest")).alias("pytest"), says("items", "coverage").alias("coverage"),
     )
     quoted = rows.select(*by, "kind", "ord", "id", F.posexplode("items").alias("pos", "item"))
-    quoted = quoted.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "kind").orderBy("ord", "id", "pos"))).where(F.col("rank") <= LISTED)
-    most = F.create_map(*[F.lit(x) for pair in QUOTED.items() for x in pair])
-    quoted = quoted.where(F.col("rank") <= F.try_element_at(most, F.col("kind"))).groupBy(*by, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("quoted"))
+    limits = QUOTED if listed is None else QUOTED | {"configuration": listed, "deployment": listed}
+    first = quoted.where(F.col("kind").isin(list(limits))).withColumn("rank", F.row_number().over(Window.partitionBy(*by, "kind").orderBy("ord", "id", "pos"))).where(F.col("rank") <= max(limits.values()))
+    most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    quoted = first.where(F.col("rank") <= F.try_element_at(most, F.col("kind"))).drop("rank").unionByName(quoted.where(~F.col("kind").isin(list(limits))))
+    quoted = quoted.groupBy(*by, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "pos", "item"))), lambda x: x["item"]).alias("quoted"))
     spark = entities.sparkSession
     all_ = spark.createDataFrame([(k,) for k in KINDS], "kind string")
     if by:

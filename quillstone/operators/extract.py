@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .scratch import bounded
+
 BLOCK_LINES = 50
 # Patterns of lines.
+_FROM, _REQUIRE = re.compile(r"from\s+['\"]([^'\"]+)['\"]"), re.compile(r"require\(['\"]([^'\"]+)['\"]\)")
 _CLASS, _DEF = re.compile(r"class\s+(\w+)"), re.compile(r"def\s+(\w+)")
 _JS_NAME = re.compile(r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=)")
 _JS_IMPORTS = [re.compile(p) for p in (r"require\(['\"]([^'\"]+)['\"]\)", r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", r"import\s+['\"]([^'\"]+)['\"]")]
@@ -52,75 +56,58 @@ def _name(node: ast.AST) -> str | None:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
 
 
-class Facts(ast.NodeVisitor):
-    """Imports, calls, bases, decorators and exceptions of a module, with the innermost function or class as their place."""
-
-    def __init__(self):
-        self.rows: list[tuple[str, str, str, int, str]] = []
-        self.function: str | None = None
-        self.klass: str | None = None
-
-    def visit_Import(self, node: ast.Import) -> None:
-        self.rows += [("import", a.name, a.asname or "", node.lineno, "direct") for a in node.names]
-
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        self.rows += [("import", a.name, a.asname or "", node.lineno, f"from {'.' * node.level}{node.module or ''}") for a in node.names]
-
-    def _decorated(self, node) -> None:
-        for d in node.decorator_list:
-            name = _name(d.func if isinstance(d, ast.Call) else d)
-            if name:
-                self.rows.append(("decorator", node.name, name, node.lineno, ""))
-
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        for b in node.bases:
-            if name := _name(b):
-                self.rows.append(("inherit", node.name, name, node.lineno, "multiple" if len(node.bases) > 1 else "single"))
-        self._decorated(node)
-        before, self.klass = self.klass, node.name
-        self.generic_visit(node)
-        self.klass = before
-
-    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
-        self._decorated(node)
-        before, self.function = self.function, node.name
-        self.generic_visit(node)
-        self.function = before
-
-    def visit_Call(self, node: ast.Call) -> None:
-        caller = self.function or self.klass or "module"
-        if isinstance(node.func, ast.Name):
-            self.rows.append(("call", caller, node.func.id, node.lineno, "function"))
-        elif isinstance(node.func, ast.Attribute):
-            self.rows.append(("call", caller, node.func.attr, node.lineno, "method"))
-        self.generic_visit(node)
-
-    def visit_Try(self, node: ast.Try) -> None:
-        for handler in node.handlers if self.function else []:
-            if handler.type is not None and (name := _name(handler.type)):
-                self.rows.append(("exception", self.function, name, node.lineno, "catch"))
-        self.generic_visit(node)
-
-    def visit_Raise(self, node: ast.Raise) -> None:
-        if self.function and node.exc is not None and (name := _name(node.exc.func if isinstance(node.exc, ast.Call) else node.exc)):
-            self.rows.append(("exception", self.function, name, node.lineno, "raise"))
-        self.generic_visit(node)
+def _parsed(content: str) -> ast.AST | None:
+    """The tree of a text, or None if the parser does not take it: for its syntax, or as it nests too deep for the parser."""
+    try:
+        return ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def _walk(tree: ast.AST) -> Iterator[tuple[ast.AST, str | None, str | None]]:
+    """Nodes in the order of the text with the innermost function and class around each. A stack of its own, so depth is no limit; what is
+    imported has nothing below it."""
+    todo: list[tuple[ast.AST, str | None, str | None]] = [(tree, None, None)]
+    while todo:
+        node, function, klass = todo.pop()
+        yield node, function, klass
+        if isinstance(node, ast.FunctionDef):
+            function = node.name
+        elif isinstance(node, ast.ClassDef):
+            klass = node.name
+        todo += [(x, function, klass) for x in reversed(list(ast.iter_child_nodes(node)))]
 
 
 def python_facts(content: str) -> list[tuple[str, str, str, int, str]]:
-    """(kind, a, b, line, detail); none if the text does not parse."""
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    visitor = Facts()
-    visitor.visit(tree)
-    return visitor.rows
+    """(kind, a, b, line, detail) of imports, calls, bases, decorators and exceptions, with the innermost function or class as their place; none if the
+    text does not parse."""
+    tree, rows = _parsed(content), []
+    for node, function, klass in _walk(tree) if tree is not None else ():
+        if isinstance(node, ast.Import):
+            rows += [("import", a.name, a.asname or "", node.lineno, "direct") for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            rows += [("import", a.name, a.asname or "", node.lineno, f"from {'.' * node.level}{node.module or ''}") for a in node.names]
+        elif isinstance(node, ast.Call):
+            kind = "function" if isinstance(node.func, ast.Name) else "method"
+            if name := _name(node.func):
+                rows.append(("call", function or klass or "module", name, node.lineno, kind))
+        elif isinstance(node, ast.Try) and function:
+            rows += [("exception", function, name, node.lineno, "catch") for h in node.handlers if h.type is not None and (name := _name(h.type))]
+        elif isinstance(node, ast.Raise) and function and node.exc is not None:
+            if name := _name(node.exc.func if isinstance(node.exc, ast.Call) else node.exc):
+                rows.append(("exception", function, name, node.lineno, "raise"))
+        if isinstance(node, ast.ClassDef):
+            rows += [("inherit", node.name, name, node.lineno, "multiple" if len(node.bases) > 1 else "single") for b in node.bases if (name := _name(b))]
+        if isinstance(node, ast.ClassDef | ast.FunctionDef):
+            named = [_name(d.func if isinstance(d, ast.Call) else d) for d in node.decorator_list]
+            rows += [("decorator", node.name, name, node.lineno, "") for name in named if name]
+    return rows
 
 
 def javascript_facts(content: str) -> list[tuple[str, str, str, int, str]]:
     """Imports pattern by pattern, then calls, whose caller is unknown."""
-    at = lambda m: content.count("\n", 0, m.start()) + 1
+    ends = [m.start() for m in re.finditer("\n", content)]
+    at = lambda m: bisect.bisect_left(ends, m.start()) + 1
     rows = [("import", m[1], "", at(m), "direct") for p in _JS_IMPORTS for m in p.finditer(content)]
     return rows + [("call", "", m[1], at(m), "function") for m in _JS_CALL.finditer(content)]
 
@@ -129,7 +116,7 @@ def inspect_python(content: str) -> dict:
     """Counts of a parsed text. A branch inside a function counts twice, as the function's own complexity and as a branch; ``with`` counts in functions only."""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return {"classes": 0, "functions": 0, "complexity": 0, "line_count": 0, "dependencies": [], "issues": [f"syntax error: {e}"]}
     branches = (ast.If, ast.While, ast.For, ast.Try)
     complexity = classes = functions = 0
@@ -160,7 +147,7 @@ def entities(files: DataFrame) -> DataFrame:
                     rows += [(path, name, type_, kind, line, text, len(text)) for name, type_, line, text in line_entities(content or "", kind)]
             yield pd.DataFrame(rows, columns=["path", "name", "type", "language", "line", "content", "size"])
 
-    return files.select("path", "content", "language").mapInPandas(run, ENTITY)
+    return bounded(files.select("path", "content", "language")).mapInPandas(run, ENTITY)
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -174,7 +161,7 @@ def facts(files: DataFrame) -> DataFrame:
                 rows += [(path, *r) for r in found]
             yield pd.DataFrame(rows, columns=["path", "kind", "a", "b", "line", "detail"])
 
-    return files.select("path", "content", "language").mapInPandas(run, FACT)
+    return bounded(files.select("path", "content", "language")).mapInPandas(run, FACT)
 
 
 def inspections(files: DataFrame) -> DataFrame:
@@ -193,53 +180,40 @@ def inspections(files: DataFrame) -> DataFrame:
                 rows.append({"path": path, "classes": sum(e[1] == "class" for e in own), "functions": sum(e[1] == "function" for e in own), "complexity": 0, "line_count": len(text.splitlines()), "dependencies": [], "issues": []})
             yield pd.DataFrame(rows, columns=["path", "classes", "functions", "complexity", "line_count", "dependencies", "issues"])
 
-    return files.select("path", "content", "language").mapInPandas(run, schema)
+    return bounded(files.select("path", "content", "language")).mapInPandas(run, schema)
 
 
 ITEM = "path string, kind string, name string, line long, module string, alias string, args array<string>, bases array<string>, decorators array<string>"
-_FROM, _REQUIRE = re.compile(r"from\s+['\"]([^'\"]+)['\"]"), re.compile(r"require\(['\"]([^'\"]+)['\"]\)")
 
 
 def _shown(nodes: list) -> list[str]:
-    """Names as they stand, other expressions as source."""
-    return [n.id if isinstance(n, ast.Name) else ast.unparse(n) for n in nodes]
-
-
-class Items(ast.NodeVisitor):
-    """Classes, functions and imports of a module, outer ones first. What stands in a try is not looked at, as its visitor stops there."""
-
-    def __init__(self):
-        self.rows: list[dict] = []
-
-    def _put(self, kind: str, line: int, **values) -> None:
-        self.rows.append({"kind": kind, "line": line} | values)
-
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        self._put("class", node.lineno, name=node.name, bases=_shown(node.bases), decorators=_shown(node.decorator_list))
-        self.generic_visit(node)
-
-    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
-        self._put("function", node.lineno, name=node.name, args=[a.arg for a in node.args.args], decorators=_shown(node.decorator_list))
-        self.generic_visit(node)
-
-    def visit_Import(self, node: ast.Import) -> None:
-        for a in node.names:
-            self._put("import", node.lineno, module=a.name, alias=a.asname)
-
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        for a in node.names if node.module else ():
-            self._put("from_import", node.lineno, module=node.module, name=a.name, alias=a.asname)
+    """Names as they stand, other expressions as source, or ``...`` where that nests too deep."""
+    out = []
+    for n in nodes:
+        try:
+            out.append(n.id if isinstance(n, ast.Name) else ast.unparse(n))
+        except RecursionError:
+            out.append("...")
+    return out
 
 
 def python_items(content: str) -> list[dict]:
-    """None if the text does not parse."""
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    found = Items()
-    found.visit(tree)
-    return found.rows
+    """Classes, functions and imports of a module in the order of the text, outer ones first; none if the text does not parse."""
+    tree = _parsed(content)
+    rows: list[dict] = []
+    todo: list[ast.AST] = [] if tree is None else [tree]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, ast.ClassDef):
+            rows.append({"kind": "class", "line": node.lineno, "name": node.name, "bases": _shown(node.bases), "decorators": _shown(node.decorator_list)})
+        elif isinstance(node, ast.FunctionDef):
+            rows.append({"kind": "function", "line": node.lineno, "name": node.name, "args": [a.arg for a in node.args.args], "decorators": _shown(node.decorator_list)})
+        elif isinstance(node, ast.Import):
+            rows += [{"kind": "import", "line": node.lineno, "module": a.name, "alias": a.asname} for a in node.names]
+        elif isinstance(node, ast.ImportFrom) and node.module:
+            rows += [{"kind": "from_import", "line": node.lineno, "module": node.module, "name": a.name, "alias": a.asname} for a in node.names]
+        todo += reversed(list(ast.iter_child_nodes(node)))
+    return rows
 
 
 def script_items(content: str) -> list[dict]:
@@ -268,4 +242,4 @@ def items(files: DataFrame) -> DataFrame:
                 rows += [(path, *(r.get(n) for n in names)) for r in found]
             yield pd.DataFrame(rows, columns=["path", *names], dtype=object)
 
-    return files.select("path", "content", "language").mapInPandas(run, ITEM)
+    return bounded(files.select("path", "content", "language")).mapInPandas(run, ITEM)

@@ -6,46 +6,17 @@ counts comes to the driver.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import cut, drop, shared, small  # noqa: F401
+
 # Levels of entity types.
 C4 = {"context": ["project"], "containers": ["application", "service", "module"], "components": ["package", "namespace", "directory"], "code": ["file", "class", "function"]}
 CYCLE_TYPES = ["imports", "calls", "uses"]
 FRONTIER = 200_000  # ids that are broadcast
 
 
-def shared(spark) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, a folder of this process if all tasks run in it, else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        base = tempfile.mkdtemp(prefix="quillstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quillstone"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write and reread in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a cut() that nothing reads any more."""
-    spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def c4_level(kind) -> F.Column:
     out = F.when(F.lit(False), F.lit(""))
     for level, kinds in C4.items():
@@ -103,36 +74,80 @@ def cycles(edges: DataFrame, size: int, kinds: list[str] = CYCLE_TYPES) -> DataF
     return out.join(closing, [f"e{size}", "e1"], "left_semi").select(*[f"e{n}" for n in range(1, size + 1)])
 
 
-def distances(edges: DataFrame, start: DataFrame, max_depth: int, until: str | None = None) -> DataFrame:
+def _ends(edges: DataFrame) -> DataFrame:
+    """(a, b) both ways, written once, as each step of a walk reads it."""
+    ends = edges.where("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    return cut(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
+
+
+def _step(ends: DataFrame, frontier: DataFrame, by: list[str]) -> DataFrame:
+    """(by, id, parent): what is one edge beyond ``frontier`` (by, id), with its least neighbour there."""
+    here = frontier.select(*by, F.col("id").alias("parent"))
+    here = F.broadcast(here) if frontier.count() <= FRONTIER else here  # a small frontier goes to the edges, which stay where they are
+    return ends.join(here, F.col("a") == F.col("parent")).groupBy(*by, F.col("b").alias("id")).agg(F.min("parent").alias("parent"))
+
+
+def distances(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(id, distance, parent) of what is reached from the ids of ``start`` in at most ``max_depth`` steps, both directions. Stops early
-    when nothing is new or ``until`` is reached."""
+    when nothing is new."""
     seen = frontier = cut(start.select("id", F.lit(0).cast("bigint").alias("distance"), F.lit(None).cast("string").alias("parent")))
-    ends = edges.select("source_id", "target_id").where("source_id <> target_id")
+    ends = _ends(edges)
     for depth in range(1, max_depth + 1):
-        here = frontier.select("id")
-        here = F.broadcast(here) if frontier.count() <= FRONTIER else here  # a small frontier goes to the edges, which stay where they are
-        new = ends.join(here, ends["source_id"] == here["id"]).select(F.col("target_id").alias("to"), "id").unionByName(ends.join(here, ends["target_id"] == here["id"]).select(F.col("source_id").alias("to"), "id"))
-        new = new.groupBy(F.col("to").alias("id")).agg(F.min("id").alias("parent"))
-        new = new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).cast("bigint").alias("distance"), "parent")
-        frontier = cut(new)
+        new = _step(ends, frontier, []).join(seen.select("id"), "id", "left_anti")
+        frontier = cut(new.select("id", F.lit(depth).cast("bigint").alias("distance"), "parent"))
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)
-        if until is not None and frontier.where(F.col("id") == until).limit(1).count():
-            break
     return seen
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(source, target, step, id): a shortest path of each distinct pair (source, target) with one of at most ``max_depth`` edges; ids need not be entities.
+
+    All pairs walk together, from both ends in turn, so a side goes half the way only: labels (pair, id) with the step that reached them. A pair is met
+    when a label of one side is one of the other; of the places where the sides meet the least id counts, and from there the path goes back by least parents on either
+    side. A pair that is met, or has a side without anything new, walks no further. The edges are written once.
+    """
+    asked = cut(pairs.where("source is not null and target is not null").select("source", "target").distinct().withColumn("pair", F.struct("source", "target")), "pairs")
+    ends, zero = _ends(edges), F.lit(0).cast("int")
+    seen = {x: cut(asked.select("pair", F.col(x).alias("id"), zero.alias("depth"), F.lit(None).cast("string").alias("parent"))) for x in ("source", "target")}
+    frontier, met, at = dict(seen), None, {"source": 0, "target": 0}
+
+    def meetings() -> DataFrame:
+        both = seen["source"].select("pair", "id", F.col("depth").alias("s")).join(seen["target"].select("pair", "id", F.col("depth").alias("t")), ["pair", "id"])
+        return both.groupBy("pair").agg(F.min(F.struct((F.col("s") + F.col("t")).alias("n"), "id", "s", "t")).alias("m"))
+
+    for step in range(max_depth + 1):
+        met = cut(meetings())
+        if step == max_depth:
+            break
+        side = "source" if step % 2 == 0 else "target"
+        at[side] += 1
+        open_ = frontier[side].join(met.select("pair"), "pair", "left_anti")
+        new = _step(ends, open_, ["pair"]).join(seen[side].select("pair", "id"), ["pair", "id"], "left_anti")
+        frontier[side] = cut(new.select("pair", "id", F.lit(at[side]).alias("depth"), "parent"))
+        if not frontier[side].limit(1).count():
+            met = cut(meetings())
+            break
+        seen[side] = seen[side].unionByName(frontier[side])
+    here = met.select("pair", F.col("m.s").alias("s"), F.col("m.id").alias("id"))
+    places = [here.select("pair", F.col("s").alias("step"), "id")]
+    for side, turn in (("source", -1), ("target", 1)):
+        now = here.select("pair", F.col("s").alias("step"), "id")
+        for _ in range(at[side]):
+            now = now.join(seen[side].select("pair", "id", "parent"), ["pair", "id"]).where("parent is not null").select("pair", (F.col("step") + turn).alias("step"), F.col("parent").alias("id"))
+            places.append(now)
+    out = places[0]
+    for p in places[1:]:
+        out = out.unionByName(p)
+    return out.select("pair.source", "pair.target", F.col("step").cast("bigint").alias("step"), "id")
+
+
 def shortest_path(edges: DataFrame, entities: DataFrame, source: str, target: str, max_depth: int = 5) -> DataFrame:
-    """(step, id) of a shortest path, by least parent on ties; no row if there is none or an end is missing."""
-    found = distances(edges, entities.where(F.col("id") == source).select("id"), max_depth, target)
-    here = found.join(entities.select("id"), "id", "left_semi")
-    path, at = [], here.where(F.col("id") == target).first()
-    while at is not None:  # at most max_depth + 1 single rows
-        path.append(at["id"])
-        at = here.where(F.col("id") == at["parent"]).first() if at["parent"] is not None else None
-    spark = edges.sparkSession
-    return spark.createDataFrame([(i, x) for i, x in enumerate(reversed(path))], "step long, id string")
+    """(step, id) of a shortest path between two entities; no row if there is none or an end is no entity. It may pass ids that
+    are no entities, which are left out of the rows: the steps then have gaps."""
+    ends = entities.where(F.col("id") == source).select(F.col("id").alias("source")).join(entities.where(F.col("id") == target).select(F.col("id").alias("target"))).distinct()
+    return shortest_paths(edges, ends, max_depth).select("step", "id").join(entities.select("id"), "id", "left_semi").select("step", "id")
 
 
 def neighborhood(edges: DataFrame, entities: DataFrame, centre: str, depth: int = 2, include_centre: bool = True) -> DataFrame:

@@ -29,9 +29,10 @@ def improve(code: Column, language: Column) -> Column:
     return _about(IMPROVE, code, language)
 
 
-def summaries_context(files: DataFrame, by: list[str], path: str = "path", summary: str = "summary", most: int = 1_000) -> DataFrame:
-    """(by, context) for ARCHITECTURE: a line for each of the first ``most`` files by path, as many as a prompt takes."""
-    first = files.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(path))).where(F.col("rank") <= most)
+def summaries_context(files: DataFrame, by: list[str], path: str = "path", summary: str = "summary", most: int | None = None) -> DataFrame:
+    """(by, context) for ARCHITECTURE: a line for each file by path, or for the first ``most`` where a prompt takes no more."""
+    first = files.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(path)))
+    first = first if most is None else first.where(F.col("rank") <= most)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("\n"), path, F.lit(": "), summary).alias("l")))), lambda x: x["l"])
     return first.groupBy(*by).agg(F.concat(F.lit(SUMMARIES), F.array_join(lines, "")).alias("context"))
 
