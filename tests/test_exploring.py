@@ -179,7 +179,7 @@ def test_saved_versions(spark, tmp_path):
         kb.add(spark.createDataFrame([row(i, "class" if i else "function", "Needle" if i < 2 else "hay")], knowledge.ENTITIES))
         kb.save(f"m{i}")
     assert knowledge.create(spark, "text", str(tmp_path / "kb")).mark == "m2"
-    assert len([p for p in (tmp_path / "kb").iterdir() if p.name.startswith("v-")]) == 2
+    assert len(list((tmp_path / "kb" / "versions").glob("*.json"))) == 3
     assert [r.id for r in kb.search("needle", "class").collect()] == ["id1"] and kb.search("NAME", "nothing").count() == 3  # the type holds for contents only
     kb.clear()
     assert kb.entities.count() == 0 and kb.version is None
