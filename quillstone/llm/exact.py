@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, cut, named, place, small
+from .store import BROADCAST_ROWS, cut, packed, place, small, unpacked
 
 LOG = "digest string, n_bytes long, id long, locator long, batch int"
 CHUNK = 256  # copies that are compared with one copy of the text that stays
@@ -112,11 +112,9 @@ def last_stay(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``docs`` without the rows that deduplicate() drops; of rows alike in id and text the one whose columns are greatest as JSON stays."""
     made = deduplicate(docs, id_col, text_col)
     gone = made.groupBy(id_col, "text_sha256").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n")).where("not any_kept or n > 1")
-    gone = gone.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("any_kept").alias("__one"))
-    gone = small(cut(gone, "gone"))
+    gone = small(cut(gone.select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha"), F.col("any_kept").alias("one")), "gone"))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    met = docs.withColumn("__at", sha).join(gone, docs[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__sha")), "left")
-    own = [named(c) for c in docs.columns]
-    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)])
-    repeated = met.where("__one").groupBy("__id", "__sha").agg(F.max_by(row, F.to_json(row)).alias("row"))
-    return met.where("__one is null").select(*own).unionByName(repeated.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), sha.alias("sha"), packed(docs).alias("row"))
+    met = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left")
+    repeated = met.where("one").groupBy("gone_id", "gone_sha").agg(F.max_by("row", F.to_json("row")).alias("row"))
+    return unpacked(met.where("one is null").select("row").unionByName(repeated.select("row")), docs.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import flat
 from .components import components
 from .flat import U
-from .store import BROADCAST_ROWS, cut, drop, keyed, mapped, small
+from .store import BROADCAST_ROWS, cut, drop, keyed, mapped, packed, small, unpacked
 
 SAMPLE = 8_192  # classes, at most about so many, whose shingles are counted for the order
 COMMON = 2  # sampled classes that make a shingle common
@@ -362,6 +362,6 @@ def nearest_stay(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with the document of least id of each component; documents without a shingle stay. Rows that share an id stay or go together."""
     groups = join_classes(docs, id_col, text_col, k, num, den)
     stays = F.col(id_col).eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)
-    gone = groups.groupBy(F.col(id_col).alias("__gone")).agg(F.max(stays).alias("__stays")).where("not __stays").select("__gone")
-    gone = small(cut(gone, "gone"))
-    return docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = groups.groupBy(F.col(id_col).alias("gone_id")).agg(F.max(stays).alias("any_stays")).where("not any_stays").select("gone_id")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), packed(docs).alias("row"))
+    return unpacked(rows.join(small(cut(gone, "gone")), F.col("id").eqNullSafe(F.col("gone_id")), "left_anti"), docs.columns)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import flat
 from .store import cut, mapped, named, small
@@ -115,8 +116,7 @@ def _logits(shipped):
 def with_logit(rows: DataFrame, model: Classifier) -> DataFrame:
     """``rows`` (with a column text) and their classifier log-odds."""
     shipped = rows.sparkSession.sparkContext.broadcast(model)  # a few dozen numbers
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return mapped(rows, _logits(shipped), f"{schema}, logit double")
+    return mapped(rows, _logits(shipped), StructType([*rows.schema.fields, StructField("logit", DoubleType())]))
 
 
 def _strength(means: DataFrame, parent: str) -> float:

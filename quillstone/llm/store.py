@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side is broadcast only when it is known to have at most so many rows of a few bytes each.
 BROADCAST_ROWS = 500_000
@@ -34,6 +35,16 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def packed(df: DataFrame):
+    """All columns of ``df`` in one struct, whatever their names."""
+    return F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(df.columns)], F.lit(0).alias("one"))
+
+
+def unpacked(df: DataFrame, names: list[str], row: str = "row") -> DataFrame:
+    """The columns of a packed() row again."""
+    return df.select(*[F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def named(name: str):
     """A column by its plain name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -58,7 +69,7 @@ def _at(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+def mapped(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` in batches bounded by bytes, so that long texts don't widen what a task holds."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(key, None) is None:

@@ -9,7 +9,8 @@ The benchmark is the query set: it is cut into blocks of at most BLOCK_BYTES of
 task in turn. Documents go through once per block, whole. With one block nothing about them leaves their task but the verdict; with more
 their rows are numbered and written first, and the verdicts on a row meet by its number.
 
-Edge cases: null and empty texts match nothing; a very long text goes through whole; a seed that repeats in a document and in an item meets each of its places; an item of fewer than ``seed`` words can't match; ids that repeat are
+Edge cases: null and empty texts match nothing; a very long text goes through whole; a seed that repeats in a document and in an item meets each of its places, which
+for texts that repeat themselves are never listed but searched by length, with equal marks; other columns aren't read; an empty table of documents gives an empty result; an item of fewer than ``seed`` words can't match; ids that repeat are
 judged row by row, and repeated item ids each on their own text; an empty benchmark leaves all documents clean.
 """
 
@@ -23,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from . import flat
 from .store import cut, mapped, named
@@ -31,6 +33,7 @@ SEED = 5
 COVERAGE = 0.5
 BLOCK_BYTES = 4 << 20
 BITS = 22
+PAIRS = 1 << 18  # places of a document and items that are listed at once; beyond that matches are searched for by length
 BETWEEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
@@ -91,6 +94,62 @@ class Items:
                 j = k + 1
         return total
 
+    def longest_first(self, words: np.ndarray, item: int) -> int:
+        """As tile(), in memory that grows with the texts and not with the places at which they agree: the greatest length of a common window without marks is
+        found by bisection over Karp-Rabin hashes; windows of that length are marked in order, then those of the next."""
+        own = self.words[self.off[item] : self.off[item + 1]]
+        up, down = flat.powers(0, max(len(words), len(own)) + 1)
+        texts = []
+        for w in (words, own):
+            g = flat.grams(w, self.seed)
+            texts.append([np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * up[: len(g)])]), np.zeros(len(w), bool)])
+
+        def windows(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+            """Places and hashes of the windows of ``size`` words without a mark."""
+            sums, marked = texts[which]
+            k, n = size - self.seed + 1, len(marked) - size + 1
+            before = np.concatenate([[0], np.cumsum(marked)])
+            at = np.flatnonzero(before[size:] == before[:n])
+            return at, flat.mix((sums[at + k] - sums[at]) * down[at])
+
+        def longest_free(marked: np.ndarray) -> int:
+            edges = np.flatnonzero(np.concatenate([[True], marked, [True]]))
+            return int(np.diff(edges).max()) - 1
+
+        total, top = 0, min(len(words), len(own))
+        while True:
+            low, high = self.seed - 1, min(top, *(longest_free(t[1]) for t in texts))
+            while low < high:  # common windows of some length hold ones of any lesser length
+                size = (low + high + 1) // 2
+                found = np.isin(windows(0, size)[1], windows(1, size)[1]).any()
+                low, high = (size, high) if found else (low, size - 1)
+            if low < self.seed:
+                return total
+            (x, hx), (y, hy) = windows(0, low), windows(1, low)
+            order = np.argsort(hy, kind="stable")
+            y, hy = y[order], hy[order]
+            group = np.searchsorted(hy, hx)
+            near = np.flatnonzero(hy[np.minimum(group, len(hy) - 1)] == hx)
+            x, group = x[near], group[near]  # the first place of the item with that hash
+            last = np.searchsorted(hy, hy[group], "right")
+            alive, at = np.ones(len(y), bool), 0
+            while at < len(x):
+                left = np.concatenate([[0], np.cumsum(alive)])
+                more = np.flatnonzero(left[last[at:]] > left[group[at:]])
+                if not len(more):
+                    break
+                at += int(more[0])
+                pick = group[at] + int(np.flatnonzero(alive[group[at] : last[at]])[0])
+                a, c = int(x[at]), int(y[pick])
+                if np.array_equal(words[a : a + low], own[c : c + low]):
+                    texts[0][1][a : a + low] = texts[1][1][c : c + low] = True
+                    total += low
+                    alive &= (y <= c - low) | (y >= c + low)
+                    at = int(np.searchsorted(x, a + low))
+                else:
+                    alive[pick] = False
+            top = low - 1
+
     def coverage(self, words: np.ndarray) -> dict[int, float]:
         """Coverage of each item that shares a seed with the document."""
         g = flat.grams(words, self.seed)
@@ -99,6 +158,14 @@ class Items:
             return {}
         lo, hi = np.searchsorted(self.keys, g[at], "left"), np.searchsorted(self.keys, g[at], "right")
         many = hi - lo
+        if int(many.sum()) > PAIRS:
+            lo, first = np.unique(lo[many > 0], return_index=True)
+            hi = hi[many > 0][first]
+            here = np.zeros(len(self.keys) + 1, np.int64)
+            here[lo] += 1
+            here[hi] -= 1
+            items = np.unique(self.item[self.place[np.cumsum(here[:-1]) > 0]])
+            return {i: self.longest_first(words, i) / int(self.off[i + 1] - self.off[i]) for i in items.tolist()}
         at = np.repeat(at, many)
         if not len(at):
             return {}
@@ -151,25 +218,26 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: id, contaminated, n_items, item_id and coverage of the best covered item (least id on ties), found
     (all items covered by ``least`` or more). ``carry``: columns of docs to keep."""
     spark = docs.sparkSession
-    now = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.struct(F.monotonically_increasing_id().alias("__row"), *[F.col(c) for c in carry]).alias("kept_row"))
+    now = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.struct(F.monotonically_increasing_id().alias("n"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("kept_row"))
     kind = "array<struct<item_id: long, coverage: double>>"
+    found_type = ArrayType(StructType([StructField("item_id", LongType()), StructField("coverage", DoubleType())]))
     out, (n, blocks) = None, _blocks(benchmark, item_col, "text")
     if n > 1:  # the rows of several blocks of items meet again by their number, so it is written
         now = cut(now, "rows")
     for ids, texts in blocks:
         shipped = spark.sparkContext.broadcast((ids, texts))
-        schema = f"id long, found {kind}, kept_row {now.schema['kept_row'].dataType.simpleString()}"
+        schema = StructType([StructField("id", LongType()), StructField("found", found_type), StructField("kept_row", now.schema["kept_row"].dataType)])
         part = mapped(now, _judge(shipped, seed, least), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = now.select("id", F.expr(f"cast(array() as {kind})").alias("found"), "kept_row")
     if n > 1:
-        out = out.groupBy(F.col("kept_row.__row").alias("row")).agg(F.first("id").alias("id"), F.flatten(F.collect_list("found")).alias("found"), F.first("kept_row").alias("kept_row"))
+        out = out.groupBy(F.col("kept_row.n").alias("row")).agg(F.first("id").alias("id"), F.flatten(F.collect_list("found")).alias("found"), F.first("kept_row").alias("kept_row"))
     best = F.array_sort(F.transform("found", lambda x: F.struct((-x["coverage"]).alias("c"), x["item_id"].alias("i"))))
     best = F.try_element_at(best, F.lit(1))
     return out.select(
         F.col("id").alias(id_col), (F.size("found") > 0).alias("contaminated"), F.size("found").cast("bigint").alias("n_items"),
-        best["i"].alias("item_id"), (-best["c"]).alias("coverage"), "found", *[F.col(f"kept_row.{c}").alias(c) for c in carry],
+        best["i"].alias("item_id"), (-best["c"]).alias("coverage"), "found", *[F.col(f"kept_row.c{i}").alias(c) for i, c in enumerate(carry)],
     )
 
 

@@ -5,6 +5,9 @@ WARC-Refers-To and carry its target URI, date and payload digest; its HTTP heade
 record holds the text of the page; the metadata record the title, language, charset, outlinks and the digest
 of the conversion. Record ids are derived from the source's id, so a task that runs again makes the same records.
 
+Header names count whatever their case, and folded lines are joined. Chunked, gzip and deflate payloads are undone for text and metadata, while the payload digest is that of
+the bytes as they came; of a payload in another coding, or broken, the conversion is empty and the metadata says why.
+
 Edge cases: null html or http is an empty payload with an empty conversion; null url is an empty target; a null id is its own value;
 repeated rows give repeated records; markup that never closes is dropped to its end for script, style and comments, else taken as
 text; very long pages, of tags that never close too, take time in proportion to their length; header bytes that are no UTF-8 stay as they are in the
@@ -18,6 +21,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +32,7 @@ from . import flat
 from .store import mapped
 
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
+MAX_BODY = 1 << 30  # bytes that a payload may inflate to
 DATE = "1970-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -102,14 +107,66 @@ def plain_text(page: str) -> str:
 
 
 def split_http(message: bytes) -> tuple[list[tuple[str, str]], bytes]:
-    """Header fields in their order and payload. A message without a header is all payload."""
+    """Header fields in their order, folded lines joined, and payload. A message without a header is all payload."""
     if not message.startswith(b"HTTP/"):
         return [], message
     head, _, payload = message.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogateescape").split("\r\n")[1:]
+    lines: list[str] = []
+    for x in head.decode("utf-8", "surrogateescape").split("\r\n")[1:]:
+        if x[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + x.strip()
+        else:
+            lines.append(x)
     return [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines) if k.strip()], payload
 
 
+def field(headers: list[tuple[str, str]], name: str) -> str:
+    """The values of a header field, whatever the case of its name, joined by commas."""
+    return ", ".join(v for k, v in headers if k.lower() == name)
+
+
+def _unchunked(raw: bytes) -> bytes:
+    """What the chunks of a transfer hold."""
+    out, at = [], 0
+    while True:
+        end = raw.find(b"\r\n", at)
+        size = int(raw[at:end].split(b";")[0].strip() or b"x", 16) if end >= 0 else -1
+        if size < 0 or len(raw) < end + 2 + size:
+            raise ValueError("chunks end early")
+        if not size:
+            return b"".join(out)
+        out.append(raw[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def _inflated(raw: bytes, bits: int) -> bytes:
+    made = zlib.decompressobj(bits)
+    out = made.decompress(raw, MAX_BODY)
+    if made.unconsumed_tail:
+        raise ValueError("larger than MAX_BODY")
+    if not made.eof:
+        raise ValueError("ends early")
+    return out
+
+
+def body(headers: list[tuple[str, str]], payload: bytes) -> tuple[bytes, str]:
+    """The payload without its transfer and content codings, and why there is no body where one can't be undone. Crawlers often undo them and keep the
+    header; a payload that isn't coded as its header says is taken as it is."""
+    try:
+        if "chunked" in field(headers, "transfer-encoding").lower() and re.match(rb"[0-9a-fA-F]+[ \t]*(;[^\r\n]*)?\r\n", payload):
+            payload = _unchunked(payload)
+        for coding in reversed([x.strip().lower() for x in field(headers, "content-encoding").split(",") if x.strip()]):
+            if coding in ("gzip", "x-gzip"):
+                payload = _inflated(payload, 31) if payload[:2] == b"\x1f\x8b" else payload
+            elif coding == "deflate":
+                payload = _inflated(payload, 15) if payload[:1] == b"\x78" else payload
+            elif coding != "identity":
+                return b"", f"content encoding {coding}"
+    except (ValueError, zlib.error) as e:
+        return b"", f"broken coding: {e}"
+    return payload, ""
+
+
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     """A WARC/1.0 record."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
@@ -139,13 +196,15 @@ def _shown(value: str) -> str:
 def derive_one(source: str, uri: str, date: str, message: bytes) -> list[dict]:
     """The conversion and the metadata record of one response."""
     headers, payload = split_http(message)
-    charset = _CHARSET.search(dict(headers).get("Content-Type", ""))
+    charset = _CHARSET.search(field(headers, "content-type"))
+    plain, why = body(headers, payload)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = plain.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = plain.decode("utf-8", "replace")
     text = plain_text(page).encode()
     lines = [("title", _clean(title_of(page))), ("language", language_of(page)), ("charset", charset[1] if charset else "utf-8"), ("conversion-digest", digest(text))]
+    lines += [("conversion-error", why)] if why else []
     meta = "".join(f"{k}: {v}\r\n" for k, v in lines + [("outlink", x) for x in links_of(page)]).encode()
     out = []
     ids = {t: f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'{source} {t}')}>" for t in ("conversion", "metadata")}
