@@ -228,14 +228,6 @@ def languages_of_files(spark, d):
     return project_files(spark, d).select("ord", *[T.language_of(F.col("path"), m).alias(n) for n, m in maps])
 
 
-@query()
-def inspect_items(spark, d):
-    """Classes, functions and imports of the small corpus."""
-    from . import samples
-
-    return extract.items(samples.files(spark))
-
-
 def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
