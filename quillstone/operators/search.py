@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 BLOCK_BYTES = 4 << 20
 
@@ -46,7 +47,7 @@ def matches(questions: DataFrame, texts: DataFrame, text_col: str, keep: list[st
     own = asked.select("phrase").distinct()
     blocks = -(-(own.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0) // BLOCK_BYTES) or 1
     rows = texts.select(F.lower(text_col).alias("text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", phrase string"
+    schema = StructType([*rows.schema.fields[1:], StructField("phrase", StringType())])
     found = None
     for part in range(blocks):
         block = [r.phrase for r in own.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == part).collect()]  # some BLOCK_BYTES

@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import asking, code, exploring, graphs, inferring, repository, texts, tracing  # noqa: E402, F401
+from . import asking, code, exploring, graphs, groups, inferring, repository, texts, tracing  # noqa: E402, F401

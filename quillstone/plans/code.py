@@ -11,7 +11,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import INDEX_LANGUAGES, base_name, lookup, suffix
+from ..functions.text import INDEX_LANGUAGES, base_name, imports, lookup, suffix
 from ..operators import extract, inference
 from ..operators.scratch import cut
 from .base import table
@@ -115,6 +115,13 @@ def code_facts(spark, d):
     return extract.facts(code_files(spark, d))
 
 
+@query(f"""with {CODE} select path, row_number() over (partition by path order by i) as nth, a as name from code where k = 0 or (k = 1 and python)""")
+def code_imports(spark, d):
+    """What the lines of each file import."""
+    made = code_files(spark, d).select("path", F.posexplode(imports(F.col("content"), F.col("language"))).alias("at", "name"))
+    return made.select("path", (F.col("at") + 1).cast("long").alias("nth"), "name")
+
+
 _INSPECTED = f"""with {CODE}, sums as (select path, count(*) filter (k = 2) as c, count(*) filter (k in (3, 4) or (k = 2 and python)) as f, count(*) filter (k = 3 and python) as branches from code group by path),
   roots as (select path, string_agg(a, ',' order by i) as needs from (select path, a, min(i) as i from py where k in (0, 1) group by path, a) group by path)
   select path, coalesce(c, 0) as classes, coalesce(f, 0) as functions, cast(2 * coalesce(branches, 0) as bigint) as complexity, cast(case when python then 0 else 2 * len(ls) end as bigint) as line_count,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers
 from ..operators import asking as A
-from ..operators import extract, graph, project, prompts, search, sessions, vectors
+from ..operators import graph, project, prompts, search, sessions, vectors
 from .asking import KIND, _classes, _lists
 from .base import GRAPH, QUESTIONS, graph_edges, graph_entities, questions, table
 from .catalog import query
