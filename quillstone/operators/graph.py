@@ -62,16 +62,33 @@ def hubs(edges: DataFrame, entities: DataFrame, over: int = 5, limit: int | None
 
 
 def cycles(edges: DataFrame, size: int, kinds: list[str] = CYCLE_TYPES) -> DataFrame:
-    """Directed closed walks of ``size`` (2 to 4) different entities, once each, least id first: e1, e2, ..."""
+    """Directed closed walks of ``size`` (2 to 4) different entities, once each, least id first: e1, e2, ...
+
+    Entities have an order by their number of edges, then id. A walk of three or four is looked for from the greatest of its entities only, over steps to lesser
+    ones, so what is in between grows with the edges times the lesser degree of their ends, and a hub costs its edges and no pairs of them: of three, two
+    steps are closed by an edge; of four, two steps out meet two steps back at the entity opposite.
+    """
     step = edges.where(F.col("relationship_type").isin(kinds)).select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).where("s <> t").distinct()
-    out = step.select(F.col("s").alias("e1"), F.col("t").alias("e2")).where("e1 < e2")
-    for n in range(3, size + 1):
-        nxt = step.select(F.col("s").alias(f"e{n - 1}"), F.col("t").alias(f"e{n}"))
-        out = out.join(nxt, f"e{n - 1}").where(f"e{n} > e1")
-        for m in range(2, n - 1):
-            out = out.where(f"e{n} <> e{m}")
-    closing = step.select(F.col("s").alias(f"e{size}"), F.col("t").alias("e1"))
-    return out.join(closing, [f"e{size}", "e1"], "left_semi").select(*[f"e{n}" for n in range(1, size + 1)])
+    if size == 2:
+        back = step.select(F.col("t").alias("e1"), F.col("s").alias("e2"))
+        return step.select(F.col("s").alias("e1"), F.col("t").alias("e2")).where("e1 < e2").join(back, ["e1", "e2"], "left_semi")
+    if size not in (3, 4):
+        raise ValueError("cycles of 2, 3 or 4")
+    step = cut(step, "steps")
+    degree = small(cut(step.select(F.explode(F.array("s", "t")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d")), "degrees"))
+    ranked = step.join(degree.toDF("s", "ds"), "s").join(degree.toDF("t", "dt"), "t")
+    ranked = cut(ranked.select(F.struct(F.col("ds").alias("d"), F.col("s").alias("id")).alias("s"), F.struct(F.col("dt").alias("d"), F.col("t").alias("id")).alias("t")), "ranked")
+    first = ranked.where("t < s").select(F.col("s").alias("top"), F.col("t").alias("x"))
+    out = first.join(ranked.select(F.col("s").alias("x"), F.col("t").alias("y")), "x").where("y < top")
+    if size == 3:
+        found = out.join(ranked.select(F.col("s").alias("y"), F.col("t").alias("top")), ["y", "top"], "left_semi").select(F.array("top.id", "x.id", "y.id").alias("e"))
+    else:
+        last = ranked.where("s < t").select(F.col("t").alias("top"), F.col("s").alias("z"))
+        home = last.join(ranked.select(F.col("t").alias("z"), F.col("s").alias("y")), "z").where("y < top")
+        found = out.join(home, ["top", "y"]).where("x <> z").select(F.array("top.id", "x.id", "y.id", "z.id").alias("e"))
+    at = F.array_position("e", F.array_min("e"))
+    turned = found.select(F.concat(F.slice("e", at, F.lit(size)), F.slice("e", F.lit(1), at - 1)).alias("e"))
+    return turned.select(*[F.col("e")[i].alias(f"e{i + 1}") for i in range(size)])
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -194,32 +211,36 @@ def similar_by_edges(edges: DataFrame, entities: DataFrame, entity_id: str, thre
     return related(edges, entities, entity_id, kind).where(F.col("strength") >= threshold).select("other_id", "strength").orderBy(F.desc("strength"), "other_id").limit(limit)
 
 
+def _least_within(ends: DataFrame, values: DataFrame, steps: int) -> DataFrame:
+    """(id, x): the least x among an id and what is ``steps`` edges away at most. Values go from neighbour to neighbour, so a hub costs its edges and no pairs of them."""
+    for _ in range(steps):
+        far = ends.join(values.select(F.col("id").alias("b"), "x"), "b").groupBy(F.col("a").alias("id")).agg(F.min("x").alias("x"))
+        values = cut(far.unionByName(values).groupBy("id").agg(F.min("x").alias("x")), "least")
+    return values
+
+
 def greedy_clusters(edges: DataFrame, entities: DataFrame, min_size: int = 3) -> DataFrame:
     """(cluster, id, size): entities in the order of their ids; one that is not taken yet and has at least ``min_size`` walks of one or two edges
     takes what is not taken within two steps. Clusters under ``min_size`` are left out, though what they took stays taken.
 
-    Seeds are the entities with enough walks that no earlier seed reaches, so a round settles all that come before their undecided
-    neighbours at once; the rest belongs to its least seed.
+    Seeds are the entities with enough walks that no earlier seed reaches: the lexicographically first independent set of the square of the graph. In a round those
+    that are the least undecided within two steps become seeds, and what they reach is decided. The rest belongs to its least seed. The square is never made.
     """
     valid = valid_edges(edges, entities)
     ends = valid.where("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    ends = cut(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ends = cut(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))), "walks")
     degree = ends.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("d"))
-    able = ends.join(degree, "b").groupBy(F.col("a").alias("id")).agg(F.sum("d").alias("walks")).where(F.col("walks") >= min_size).select("id")
-    one = ends.distinct()
-    near = cut(one.unionByName(one.join(one.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))).where("a <> b").distinct())
-    open_, seeds = cut(able), None
-    rivals = near.join(able.withColumnRenamed("id", "a"), "a", "left_semi").join(able.withColumnRenamed("id", "b"), "b", "left_semi").where("b < a")
+    open_ = cut(ends.join(degree, "b").groupBy(F.col("a").alias("id")).agg(F.sum("d").alias("walks")).where(F.col("walks") >= min_size).select("id"), "open")
+    one, seeds = cut(ends.distinct(), "ends"), None
+    own = lambda df: df.select("id", F.col("id").alias("x"))
     while open_.limit(1).count():
-        waits = rivals.join(open_.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id"))
-        now = cut(open_.join(waits, "id", "left_anti"))
+        least = _least_within(one, own(open_), 2)
+        now = cut(open_.join(least.where("id = x").select("id"), "id", "left_semi"), "seeds")
+        open_ = cut(open_.join(_least_within(one, own(now), 2).select("id"), "id", "left_anti"), "open")
         seeds = now if seeds is None else seeds.unionByName(now)
-        taken = near.join(now.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
-        open_ = cut(open_.join(now.unionByName(taken), "id", "left_anti"))
     if seeds is None:
         return edges.sparkSession.createDataFrame([], "cluster string, id string, size long")
-    members = near.join(seeds.withColumnRenamed("id", "a"), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("cluster")).join(seeds, "id", "left_anti")
-    all_ = cut(seeds.select("id", F.col("id").alias("cluster")).unionByName(members.select("id", "cluster")))
+    all_ = _least_within(one, own(seeds), 2).select(F.col("x").alias("cluster"), "id")
     sizes = all_.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     return all_.join(sizes, "cluster").select("cluster", "id", "size")
 

@@ -132,3 +132,44 @@ def test_scope_leaves_nothing(spark):
         graph.components(spark.createDataFrame([("a", "b")], "source_id string, target_id string"), spark.createDataFrame([("a",), ("b",)], "id string")).collect()
         assert set(os.listdir(folder)) > before
     assert set(os.listdir(folder)) == before
+
+
+@pytest.mark.parametrize("hub", [False, True])
+def test_cycles_and_clusters(spark, hub):
+    rng = random.Random(12)
+    plain = [(f"n{rng.randrange(14):02}", f"n{rng.randrange(14):02}") for _ in range(60)]
+    if hub:  # every one of many points at it and from it, without closing a walk of three
+        plain += [("n00", f"x{i:03}") for i in range(300)] + [(f"x{i:03}", "n00") for i in range(300)]
+    step = {(a, b) for a, b in plain if a != b}
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in plain] + [("n01", "n02", "other"), ("n01", "gone", "calls")], "source_id string, target_id string, relationship_type string")
+    after = {}
+    for a, b in step:
+        after.setdefault(a, set()).add(b)
+    for size in (2, 3, 4) if not hub else (2, 3):
+        walks = [(a,) for a in after]
+        for _ in range(size - 1):
+            walks = [(*w, b) for w in walks for b in after.get(w[-1], ()) if b > w[0] and b not in w]
+        want = {w for w in walks if w[0] in after.get(w[-1], ())}
+        got = [tuple(r) for r in graph.cycles(edges, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    names = sorted({x for p in plain for x in p})
+    near = {n: set() for n in names}
+    count = {n: 0 for n in names}
+    known = [(a, b) for a, b in [*plain, ("n01", "n02")] if a != b]
+    for a, b in known:
+        near[a].add(b)
+        near[b].add(a)
+    degree = {n: sum((a == n) + (b == n) for a, b in known) for n in names}
+    for a, b in known:
+        count[a] += degree[b]
+        count[b] += degree[a]
+    taken, want = set(), {}
+    for n in names:
+        if n in taken or count[n] < 3:
+            continue
+        reach = (near[n] | {y for x in near[n] for y in near[x]} | {n}) - taken
+        taken |= reach
+        if len(reach) >= 3:
+            want |= {x: (n, len(reach)) for x in reach}
+    entities = spark.createDataFrame([(n,) for n in names], "id string")
+    assert {r.id: (r.cluster, r.size) for r in graph.greedy_clusters(edges, entities).collect()} == want
