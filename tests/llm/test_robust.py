@@ -94,3 +94,24 @@ def test_what_cannot_be_undone_is_said(head, payload):
 def test_folded_fields_are_one():
     headers, _ = warc.split_http(message("A: 1\r\n  2\r\n\t3\r\nB: x", b""))
     assert headers == [("A", "1 2 3"), ("B", "x")]
+
+
+def test_bytes_tell_rows_of_one_digest_apart(spark):
+    one = exact.ExactDedup(spark, digest=lambda text: exact.sha256(text).substr(1, 1))
+    rng, rows, last = random.Random(3), [], {}
+    for batch in range(3):
+        new = [(100 * batch + i, f"{rng.randrange(40):02}") for i in range(60)]
+        one.append(spark.createDataFrame(new, "doc_id long, text string").repartition(3))
+        one.process()
+        rows += new
+        for i, t in new:
+            last[t] = max(i, last.get(t, -1))
+        sizes = {t: sum(t == x for _, x in rows) for t in last}
+        got = {r.id: (r.keep_id, r.group_size, r.kept) for r in one.decisions().collect()}
+        assert got == {i: (last[t], sizes[t], last[t] == i) for i, t in rows}
+
+
+def test_no_python_in_exact_dedup(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    plan = exact.deduplicate(docs)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
