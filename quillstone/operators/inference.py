@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import name_similarity
+from .scratch import cut
 
+LONG = 48  # characters of names up to which segments are cheap
 EDGE = ["id", "source_id", "target_id", "relationship_type", "strength"]
 
 
@@ -69,28 +72,70 @@ def _segments(n, k):
     return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(i.alias("i"), (i * base + F.greatest(i - short, F.lit(0))).alias("start"), (base + F.when(i >= short, 1).otherwise(0)).alias("size")))
 
 
-def similar_names(entities: DataFrame, threshold: float = 0.7, kinds: list[str] = ("function", "class")) -> DataFrame:
-    """Pairs of (ord, id, name, type) of one type with edit similarity above ``threshold``.
+def _by_segments(own: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) candidates among names (type, low, n) of which the longer has LONG characters at most.
 
     A longer name of length m allows e = floor((1 - threshold) m) edits. Cut the shorter one into e + 1 segments: one of them stands in the longer name
     unchanged, shifted by so few places that there are at most e + 1 starts to try. So names meet by equality on (type, length, e, segment number,
-    segment text), and only those that share a segment are compared. Names that are empty meet each other only.
+    segment text), and only those that share a segment are compared.
     """
-    own = entities.where(F.col("type").isin(list(kinds))).select("type", "ord", "id", F.coalesce("name", F.lit("")).alias("name"), F.lower(F.coalesce("name", F.lit(""))).alias("low")).withColumn("n", F.length("low"))
     edits = lambda m: F.floor(m * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
-    longest = F.greatest(F.floor(F.col("n") / F.lit(threshold) + F.lit(1e-9)).cast("int"), F.col("n"))
-    short = own.withColumn("e", F.explode(F.array_distinct(F.transform(F.sequence(F.col("n"), longest), edits))))
-    short = short.select("type", F.col("n").alias("na"), "e", F.col("ord").alias("ao"), F.col("id").alias("ai"), F.col("name").alias("an"), "low", F.explode(_segments(F.col("n"), F.col("e") + 1)).alias("s"))
-    a = short.select("type", "na", "e", "ao", "ai", "an", F.col("s.i").alias("i"), F.expr("substring(low, s.start + 1, s.size)").alias("part"))
+    longest = F.least(F.lit(LONG), F.greatest(F.floor(F.col("n") / F.lit(threshold) + F.lit(1e-9)).cast("int"), F.col("n")))
+    short = own.where(F.col("n") <= LONG).withColumn("e", F.explode(F.array_distinct(F.transform(F.sequence(F.col("n"), longest), edits))))
+    short = short.select("type", F.col("n").alias("na"), "e", F.col("low").alias("a"), F.explode(_segments(F.col("n"), F.col("e") + 1)).alias("s"))
+    a = short.select("type", "na", "e", "a", F.col("s.i").alias("i"), F.expr("substring(a, s.start + 1, s.size)").alias("part"))
     least = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int")
-    long = own.withColumn("e", edits(F.col("n"))).withColumn("na", F.explode(F.sequence(least, F.col("n"))))
+    long = own.where(F.col("n") <= LONG).withColumn("e", edits(F.col("n"))).withColumn("na", F.explode(F.sequence(least, F.col("n"))))
     long = long.select("*", F.explode(_segments(F.col("na"), F.col("e") + 1)).alias("s")).withColumn("more", F.col("n") - F.col("na"))
     first = F.greatest(F.lit(0), F.col("s.start") - F.floor((F.col("e") - F.col("more")) / 2)).cast("int")
     last = F.least(F.col("n") - F.col("s.size"), F.col("s.start") + F.floor((F.col("e") + F.col("more")) / 2)).cast("int")
     long = long.where((F.col("e") >= F.col("more")) & (first <= last)).select("*", F.explode(F.sequence(first, last)).alias("at"))
-    b = long.select("type", "na", "e", F.col("s.i").alias("i"), F.expr("substring(low, at + 1, s.size)").alias("part"), F.col("n").alias("nb"), F.col("ord").alias("bo"), F.col("id").alias("bi"), F.col("name").alias("bn")).distinct()
-    met = a.join(b, ["type", "na", "e", "i", "part"]).where("(na < nb and ao <> bo) or (na = nb and ao < bo)").select("ao", "ai", "an", "bo", "bi", "bn").distinct()
-    met = met.withColumn("strength", name_similarity(F.col("an"), F.col("bn"))).where(F.col("strength") > threshold)
+    b = long.select("type", "na", "e", F.col("s.i").alias("i"), F.expr("substring(low, at + 1, s.size)").alias("part"), F.col("n").alias("nb"), F.col("low").alias("b")).distinct()
+    return a.join(b, ["type", "na", "e", "i", "part"]).where("na < nb or (na = nb and a < b)").select("type", "a", "b").distinct()
+
+
+def _by_rare_pairs(own: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) candidates among names of which the longer has more than LONG characters, by rows that grow with the length of a name.
+
+    An edit changes two of a name's pairs of neighbouring characters at most, so two names e edits apart share all but 2 e of the longer one's. With pairs in one order for all names, rare
+    ones first, each name's first 2 e + 1 (and one for the rounding of e at the next length) hold one that they share; it stands e places apart at most.
+    """
+    some = own.where(F.col("n") > F.floor(F.lit(LONG * threshold))).withColumn("e", F.floor(F.col("n") / F.lit(threshold) * F.lit(1 - threshold) + F.lit(1e-9)).cast("int"))
+    chars = some.select("type", "low", "n", "e", F.split("low", "").alias("c"))
+    pairs = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.concat(F.element_at("c", i), F.element_at("c", i + 1)))
+    each = chars.select("type", "low", "n", "e", F.posexplode(pairs).alias("at", "pair"))
+    each = each.withColumn("nth", F.row_number().over(Window.partitionBy("type", "low", "pair").orderBy("at")))
+    counts = each.groupBy("type", "pair", "nth").agg(F.count(F.lit(1)).alias("seen"))
+    rare = each.join(counts, ["type", "pair", "nth"]).withColumn("rank", F.row_number().over(Window.partitionBy("type", "low").orderBy("seen", "pair", "nth")))
+    rare = rare.where(F.col("rank") <= 2 * F.floor(F.col("n") * F.lit(1 - threshold) + F.lit(1e-9)) + 3).select("type", "low", "n", "e", "at", "pair", "nth")
+    other = rare.select("type", "pair", "nth", F.col("low").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"))
+    met = rare.withColumnRenamed("low", "a").join(other, ["type", "pair", "nth"]).where((F.col("nb") > LONG) & ((F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("a") < F.col("b")))))
+    return met.where((F.col("n") >= F.col("nb") * F.lit(threshold)) & (F.abs(F.col("at") - F.col("bt")) <= F.col("e"))).select("type", "a", "b").distinct()
+
+
+def similar_classes(entities: DataFrame, threshold: float = 0.7, kinds: list[str] = ("function", "class")) -> tuple[DataFrame, DataFrame]:
+    """Names that are alike, without pairs of entities: (type, low, members) for each name in lower case, and (type, a, b, strength, pairs) for each two different ones
+    with edit similarity above ``threshold``: ``pairs`` is how many pairs of entities they stand for. The members of a name are alike by definition."""
+    own = entities.where(F.col("type").isin(list(kinds))).select("type", F.lower(F.coalesce("name", F.lit(""))).alias("low"))
+    classes = cut(own.groupBy("type", "low").agg(F.count(F.lit(1)).alias("members")).withColumn("n", F.length("low")), "names")
+    met = _by_segments(classes, threshold)
+    if classes.where(F.col("n") > LONG).limit(1).count():
+        met = met.unionByName(_by_rare_pairs(classes, threshold))
+    most = F.floor(F.greatest(F.length("a"), F.length("b")) * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
+    met = met.where(F.levenshtein("a", "b") <= most).withColumn("strength", name_similarity(F.col("a"), F.col("b"))).where(F.col("strength") > threshold)
+    count = lambda x: classes.select("type", F.col("low").alias(x), F.col("members").alias(f"{x}_members"))
+    met = met.join(count("a"), ["type", "a"]).join(count("b"), ["type", "b"])
+    return classes.select("type", "low", "members"), met.select("type", "a", "b", "strength", (F.col("a_members") * F.col("b_members")).alias("pairs"))
+
+
+def similar_names(entities: DataFrame, threshold: float = 0.7, kinds: list[str] = ("function", "class")) -> DataFrame:
+    """Pairs of (ord, id, name, type) of one type with edit similarity above ``threshold``: those of similar_classes(), with their entities. Names that are empty are alike."""
+    own = entities.where(F.col("type").isin(list(kinds))).select("type", "ord", "id", F.lower(F.coalesce("name", F.lit(""))).alias("low"))
+    _, near = similar_classes(entities, threshold, kinds)
+    side = lambda x, key: own.select("type", F.col("low").alias(key), F.col("ord").alias(f"{x}o"), F.col("id").alias(f"{x}i"))
+    unlike = near.select("type", "a", "b", "strength").join(side("a", "a"), ["type", "a"]).join(side("b", "b"), ["type", "b"]).where("ao <> bo").select("ao", "ai", "bo", "bi", "strength")
+    alike = side("a", "low").join(side("b", "low"), ["type", "low"]).where("ao < bo").select("ao", "ai", "bo", "bi", F.lit(1.0).alias("strength"))
+    met = unlike.unionByName(alike)
     first = F.col("ao") < F.col("bo")
     met = met.select(F.when(first, F.col("ai")).otherwise(F.col("bi")).alias("source_id"), F.when(first, F.col("bi")).otherwise(F.col("ai")).alias("target_id"), "strength")
     return met.select(F.concat_ws("_", F.lit("similar"), "source_id", "target_id").alias("id"), "source_id", "target_id", F.lit("similar").alias("relationship_type"), "strength")

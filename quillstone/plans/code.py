@@ -185,3 +185,12 @@ def _of(kind: str):
 
 for _kind in EDGES:
     _of(_kind)
+
+
+@query(f"""with {CODE}, c as (select type, lower(name) as low, count(*) as members from parts group by 1, 2)
+  select a.type, a.low as a, b.low as b, 1.0 - levenshtein(a.low, b.low) / cast(greatest(length(a.low), length(b.low)) as double) as strength, a.members * b.members as pairs
+  from c a join c b on a.type = b.type and (length(a.low) < length(b.low) or (length(a.low) = length(b.low) and a.low < b.low)) and length(a.low) >= 0.69 * length(b.low)
+  where 1.0 - levenshtein(a.low, b.low) / cast(greatest(length(a.low), length(b.low)) as double) > 0.7""")
+def code_similar_names(spark, d):
+    """Names of classes and functions that are alike, with how many pairs of them there are."""
+    return inference.similar_classes(extract.entities(code_files(spark, d)))[1]

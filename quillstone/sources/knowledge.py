@@ -21,7 +21,10 @@ from . import grams
 ENTITIES = "ord bigint, id string, name string, type string, path string, content string, language string, size bigint, created_at timestamp_ntz, metadata map<string,string>"
 RELATIONSHIPS = "ord bigint, id string, source_id string, target_id string, relationship_type string, strength double, metadata map<string,string>"
 EMBEDDINGS = "ord bigint, id string, type string, language string, vector array<double>"
-KINDS = {"text", "graph", "neo4j", "vector"}
+FILES = "ord bigint, id string, size bigint, modified double"
+FACTS = "ord bigint, id string, path string, kind string, a string, b string, line bigint"
+SPOTS = "ord bigint, id string, path string, line bigint"
+KINDS = {"text", "graph", "neo4j", "vector", "source"}
 
 
 BUCKETS, DELTAS, TRIES = 16, 64, 20
@@ -121,6 +124,14 @@ class KnowledgeBase:
     def _bucket():
         return F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
 
+    def put(self, name: str, rows: DataFrame) -> None:
+        """Add rows to any of the tables."""
+        self._added.setdefault(name, []).append(rows)
+
+    def take(self, name: str, ids: DataFrame) -> None:
+        """Remove ids (id) from any of the tables."""
+        self._removed.setdefault(name, []).append(ids)
+
     @property
     def entities(self) -> DataFrame:
         return self._table("entities")
@@ -293,6 +304,24 @@ class VectorKnowledgeBase(KnowledgeBase):
         return vectors.nearest(self.embeddings, own, limit, keep=F.col("id") != entity_id).select("id", "score")
 
 
+class SourceKnowledgeBase(KnowledgeBase):
+    """With what a repository was indexed from: its files as they were seen, and the facts and tokens of each, so that a later run reads changed files only."""
+
+    TABLES = KnowledgeBase.TABLES | {"files": FILES, "facts": FACTS, "spots": SPOTS}
+
+    @property
+    def files(self) -> DataFrame:
+        return self._table("files")
+
+    @property
+    def facts(self) -> DataFrame:
+        return self._table("facts")
+
+    @property
+    def spots(self) -> DataFrame:
+        return self._table("spots")
+
+
 def matching(entities: DataFrame, text: str) -> DataFrame:
     """Entities whose name, path or content contains ``text``, whatever the case."""
     low = F.lit(text.lower())
@@ -317,4 +346,4 @@ def create(spark: SparkSession, kind: str, path: str) -> KnowledgeBase:
     """The graph store is kept in the same tables as the others; an unknown kind is an error."""
     if kind not in KINDS:
         raise ValueError(f"unsupported knowledge base: {kind}")
-    return {"vector": VectorKnowledgeBase, "graph": GraphKnowledgeBase, "neo4j": GraphKnowledgeBase}.get(kind, KnowledgeBase)(spark, path)
+    return {"vector": VectorKnowledgeBase, "source": SourceKnowledgeBase, "graph": GraphKnowledgeBase, "neo4j": GraphKnowledgeBase}.get(kind, KnowledgeBase)(spark, path)

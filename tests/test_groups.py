@@ -6,7 +6,7 @@ from collections import deque
 import numpy as np
 import pytest
 
-from quillstone.operators import cells, extract, graph, hyper, scratch
+from quillstone.operators import cells, extract, graph, hyper, inference, scratch
 
 
 @pytest.fixture(scope="module")
@@ -173,3 +173,47 @@ def test_cycles_and_clusters(spark, hub):
             want |= {x: (n, len(reach)) for x in reach}
     entities = spark.createDataFrame([(n,) for n in names], "id string")
     assert {r.id: (r.cluster, r.size) for r in graph.greedy_clusters(edges, entities).collect()} == want
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("long", [48, 9])
+def test_similar_names(spark, monkeypatch, long):
+    monkeypatch.setattr(inference, "LONG", long)
+    rng = random.Random(15)
+    base = ["".join(rng.choice("abcd_XY") for _ in range(n)) for n in (1, 2, 3, 4, 5, 7, 8, 10, 11, 13, 14, 17, 20, 26, 33, 40, 46, 49, 52, 60, 70, 120)]
+
+    def changed(s):
+        s = list(s)
+        for _ in range(rng.randrange(0, max(1, int(0.36 * len(s))) + 1)):
+            at = rng.randrange(len(s) + 1)
+            s[at : at + rng.randrange(2)] = rng.choice(["", "z", "A"])
+        return "".join(s)
+
+    names = [changed(b) for b in base for _ in range(6)] + ["", None, "é" * 60, "É" * 59 + "x"]
+    rows = [(i, f"e{i}", n, rng.choice(["function", "function", "class", "file"])) for i, n in enumerate(names)]
+    entities = spark.createDataFrame(rows, "ord long, id string, name string, type string")
+    got = {(r.source_id, r.target_id): round(r.strength, 9) for r in inference.similar_names(entities).collect()}
+    want = {}
+    for i, a, n, k in rows:
+        for j, b, m, q in rows:
+            if i < j and k == q != "file":
+                x, y = (n or "").lower(), (m or "").lower()
+                s = 1.0 if not x and not y else 1 - edits(x, y) / max(len(x), len(y))
+                if s > 0.7 + 1e-12:
+                    want[a, b] = round(s, 9)
+    assert got == want
+    classes, near = inference.similar_classes(entities)
+    assert sum(r.members * (r.members - 1) // 2 for r in classes.collect()) + sum(r.pairs for r in near.collect()) == len(want)
+
+
+def test_rows_of_a_long_name_are_few(spark):
+    names = spark.createDataFrame([("function", "ab" * 100 + "c" * i, 200 + i, 1) for i in range(2)], "type string, low string, n int, members long")
+    assert inference._by_rare_pairs(names, 0.7).count() == 1
