@@ -36,10 +36,11 @@ SHARD = 16 << 20
 CLASSES = 1 << 14  # class 0 is the end, CLASSES that of unseen words
 STATES, ROUNDS, START_ROUNDS = 8, 4, 25
 SAMPLE, SAMPLE_TOKENS = 2_000, 2_000
-BATCH = 1 << 20  # tokens of texts that go through the recursions together
+BATCH = 1 << 19  # tokens of texts that go through the recursions together
+GATHERED = 1 << 23  # tokens of texts that are put in order of length first
 BLOCK = 256  # classes of a block of counts
 PRIOR = 50.0
-ONCE = 1 << 20  # added to the class of a word that training texts have once
+ONCE = 1 << 15  # added to the class of a word that training texts have once; both fit two bytes
 END = " "  # no word
 READ = "shard long, uid long, held boolean, ids binary, word string, n long"
 CODED = "uid long, held boolean, n_tokens long, n_known long, base double, shares double, classes binary"
@@ -56,6 +57,16 @@ class Model:
         return len(self.start)
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """Numbers as their low two bytes, then their high ones, which are mostly zero."""
+    return (ids & 0xFFFF).astype(np.uint16).tobytes() + (ids >> 16).astype(np.uint16).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    both = np.frombuffer(raw, np.uint16).astype(np.int64)
+    return both[: len(both) // 2] | both[len(both) // 2 :] << 16
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of texts and of words, shard by shard."""
     shard = TaskContext.get().partitionId() << 24
@@ -70,10 +81,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.searchsorted(starts, off)
         held_out = np.asarray(table.column("held"))
         row = np.repeat(np.arange(len(off) - 1), np.diff(at))
+        order = np.argsort(-np.bincount(ids, minlength=len(unique)), kind="stable")  # frequent words get small numbers, which compress
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids, first = place[ids], first[order]
         counts = np.bincount(ids[~held_out[row]], minlength=len(unique)).astype(np.int64)
-        end = np.int32(len(unique))
-        ids = ids.astype(np.int32)
-        packed = [np.append(ids[a:b], end).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        packed = [_planes(np.append(ids[a:b], len(unique))) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         n = table.num_rows
         none = lambda k, kind: pa.nulls(k, kind)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), flat.column(table, "uid"), flat.column(table, "held"), pa.array(packed, pa.binary()), none(n, pa.string()), none(n, pa.int64())], names)
@@ -102,15 +115,15 @@ def _coded(n_all: int, n_words: int, sums: np.ndarray):
     names = [x.split()[0] for x in CODED.split(", ")]
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        local, c, g = (np.asarray(words.column(x)) for x in ("local", "c", "g"))
+        local, both = (np.asarray(words.column(x)) for x in ("local", "both"))
         count, group = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
-        count[local], group[local] = c, g
+        count[local], group[local] = both // CLASSES, both % CLASSES
         base = np.log10((count + 1) / (n_all + n_words + 1))
         share = np.where(count > 0, np.log10((count + 1) / np.maximum(sums[group], 1)), 0.0)
-        code = (np.where(count > 0, group, CLASSES) + np.where(count == 1, ONCE, 0)).astype(np.int32)
+        code = (np.where(count > 0, group, CLASSES) + np.where(count == 1, ONCE, 0)).astype(np.uint16)
         out = []
         for raw in texts.column("ids").to_pylist():
-            ids = np.frombuffer(raw, np.int32)
+            ids = _numbers(raw)
             out.append((len(ids), int((count[ids] > 0).sum()), float(base[ids].sum()), float(share[ids].sum()), code[ids].tobytes()))
         rest = list(zip(*out, strict=True)) if out else [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
@@ -123,46 +136,50 @@ class Texts:
     """Classes of some texts, longest first, by place: all first tokens, then all second ones, and so on."""
 
     def __init__(self, raw: list[bytes]):
-        size = np.array([len(x) // 4 for x in raw], np.int64)
+        size = np.array([len(x) // 2 for x in raw], np.int64)
         self.order = np.argsort(-size, kind="stable")
-        codes = np.concatenate([np.frombuffer(raw[i], np.int32) for i in self.order]).astype(np.int64)
+        codes = np.concatenate([np.frombuffer(raw[i], np.uint16) for i in self.order])
         size = size[self.order]
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
         at = np.arange(len(codes)) - np.repeat(first, size)  # a token's place in its text
         codes = codes[np.argsort(at, kind="stable")]
-        self.codes, self.once = codes & (ONCE - 1), codes >= ONCE
+        self.codes, self.once = (codes & (ONCE - 1)).astype(np.int64), codes >= ONCE
         self.open = np.bincount(at)  # texts that have a token at each place
         self.off = np.concatenate([[0], np.cumsum(self.open)])
 
-    def forward(self, model: Model, keep: np.ndarray | None = None, scales: np.ndarray | None = None) -> np.ndarray:
-        """log10 p of each text's classes, in the order given to the class. ``keep``, ``scales``: get the scaled forward rows of all tokens."""
-        total, now = np.zeros(len(self.order)), None
-        for t, n in enumerate(self.open.tolist()):
-            a, b = self.off[t], self.off[t + 1]
-            now = model.emit[self.codes[a:b]] * (model.start if t == 0 else now[:n] @ model.step)
-            s = now.sum(1)
-            now /= s[:, None]
-            total[:n] += np.log10(s)
+    def forward(self, model: Model, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 p of each text's classes, in the order given to the class, and the scale of each token. ``keep``: gets the scaled forward rows of all tokens."""
+        scales, now, one = np.empty(len(self.codes)), np.empty((0, model.states)), np.ones(model.states)
+        for t, (a, b) in enumerate(zip(self.off[:-1].tolist(), self.off[1:].tolist(), strict=True)):
+            here = np.take(model.emit, self.codes[a:b], 0)
+            here *= now[: b - a] @ model.step if t else model.start
+            s = here @ one
+            here *= (1 / s)[:, None]
+            scales[a:b], now = s, here
             if keep is not None:
-                keep[a:b], scales[a:b] = now, s
-        out = np.zeros(len(total))
-        out[self.order] = total
-        return out
+                keep[a:b] = here
+        text = np.arange(len(self.codes)) - np.repeat(self.off[:-1], self.open)
+        out = np.empty(len(self.order))
+        out[self.order] = np.bincount(text, np.log10(scales), len(self.order))
+        return out, scales
 
     def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, steps, classes by state, and words seen once by state."""
         k = model.states
-        rows, scales = np.zeros((len(self.codes), k)), np.zeros(len(self.codes))
-        self.forward(model, rows, scales)
+        rows = np.empty((len(self.codes), k))
+        _, scales = self.forward(model, rows)
+        scales, turned = 1 / scales, np.ascontiguousarray(model.step.T)
         steps, back = np.zeros((k, k)), np.ones((0, k))
-        for t in range(len(self.open) - 1, -1, -1):
-            a, b = self.off[t], self.off[t + 1]
-            here = np.ones((b - a, k))
-            if len(back):
-                here[: len(back)] = back @ model.step.T
-                steps += rows[a : a + len(back)].T @ back
-            back = model.emit[self.codes[a:b]] * here / scales[a:b, None]
-            rows[a:b] *= here
+        for a, b in zip(self.off[-2::-1].tolist(), self.off[:0:-1].tolist(), strict=True):
+            now = np.take(model.emit, self.codes[a:b], 0)
+            now *= scales[a:b, None]
+            n = len(back)
+            if n:
+                steps += rows[a : a + n].T @ back
+                after = back @ turned
+                now[:n] *= after
+                rows[a : a + n] *= after
+            back = now
         emits = np.stack([np.bincount(self.codes, rows[:, s], CLASSES + 1) for s in range(k)], 1)
         return rows[: self.open[0]].sum(0), steps * model.step, emits, rows[self.once].sum(0)
 
@@ -178,15 +195,28 @@ def improved(start: np.ndarray, steps: np.ndarray, emits: np.ndarray, once: np.n
 
 
 def _in_batches(rows: Iterator[tuple], size_of) -> Iterator[list]:
+    """Rows of some BATCH tokens, of alike length, so that few steps of a recursion have few texts."""
     held, n = [], 0
+
+    def parts(held: list) -> Iterator[list]:
+        held.sort(key=size_of, reverse=True)
+        part, n = [], 0
+        for r in held:
+            part.append(r)
+            n += size_of(r)
+            if n >= BATCH:
+                yield part
+                part, n = [], 0
+        if part:
+            yield part
+
     for r in rows:
         held.append(r)
         n += size_of(r)
-        if n >= BATCH:
-            yield held
+        if n >= GATHERED:
+            yield from parts(held)
             held, n = [], 0
-    if held:
-        yield held
+    yield from parts(held)
 
 
 def _pack(start, steps, emits, once) -> Iterator[tuple[int, bytes]]:
@@ -199,7 +229,7 @@ def _pack(start, steps, emits, once) -> Iterator[tuple[int, bytes]]:
 def _expected(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = shipped.value, None
-        for held in _in_batches((x for b in batches for x in flat.column(b, "classes").to_pylist()), lambda x: len(x) // 4):
+        for held in _in_batches((x for b in batches for x in flat.column(b, "classes").to_pylist()), lambda x: len(x) // 2):
             got = Texts(held).expected(model)
             total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
         if total is not None:
@@ -240,7 +270,7 @@ def begin(raw: list[bytes], prior: np.ndarray, states: int, rounds: int = START_
     rng = np.random.Generator(np.random.PCG64(7))
     emits = np.concatenate([prior[:, None] * np.exp(rng.normal(0, 1, (CLASSES, states))), np.zeros((1, states))]) * 1000
     model = improved(np.ones(states), np.ones((states, states)) + 20 * states * np.eye(states), emits, np.ones(states), prior)
-    texts = [Texts(b) for b in _in_batches(iter(raw), lambda x: len(x) // 4)]
+    texts = [Texts(b) for b in _in_batches(iter(raw), lambda x: len(x) // 2)]
     for _ in range(rounds if raw else 0):
         got = [t.expected(model) for t in texts]
         model = improved(*(sum(x) for x in zip(*got, strict=True)), prior)
@@ -253,7 +283,7 @@ def _scored(shipped):
         rows = (r for b in batches for r in zip(*(flat.column(b, x).to_pylist() for x in names), strict=True))
         for held in _in_batches(rows, lambda r: r[2]):
             uid, out, n, known, base, shares, raw = zip(*held, strict=True)
-            score = Texts(list(raw)).forward(shipped.value) + np.array(shares)
+            score = Texts(list(raw)).forward(shipped.value)[0] + np.array(shares)
             yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(out, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score)], ["uid", "held", "n_tokens", "n_known", "base", "score"])
 
     return run
@@ -276,7 +306,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sums = np.zeros(CLASSES)
     for r in by_class:
         sums[r.g] = r.s
-    met = words.select("shard", "uid", "word").join(counts, "word").select(F.col("shard").alias("of"), F.col("uid").alias("local"), "c", "g")
+    met = words.select("shard", "uid", "word").join(counts, "word").select(F.col("shard").alias("of"), F.col("uid").alias("local"), (F.col("c") * CLASSES + F.col("g")).alias("both"))
     texts = read.where("word is null").select("shard", "uid", "held", "ids")
     coded = cut(texts.groupBy("shard").cogroup(met.groupBy("of")).applyInArrow(_coded(n_all, n_words, sums), CODED), "coded")
     return coded, n_all, sums / max(sums.sum(), 1)
@@ -284,7 +314,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def train(coded: DataFrame, prior: np.ndarray, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE) -> Model:
     training = coded.where("not held")
-    some = training.where(F.col("n_tokens") <= SAMPLE_TOKENS).select("classes", F.xxhash64("uid").alias("h"), "uid").orderBy("h", "uid", "classes").limit(sample).collect()
+    short = training.where(F.col("n_tokens") <= SAMPLE_TOKENS).select("classes", F.xxhash64("uid").alias("h"))
+    first = short.select("h").orderBy("h").limit(sample).collect()  # hashes only, as each task sends so many
+    some = short.where(F.col("h") <= first[-1].h).orderBy("h", "classes").limit(sample).collect() if first else []
     model = begin([bytes(r.classes) for r in some], prior, states)
     for _ in range(rounds):
         model = baum_welch(training, model, prior)
