@@ -133,7 +133,11 @@ def examine_files(spark, d):
     return sessions.examined(project_files(spark, d))
 
 
-@query()
+@query(f"""with {PROJECT}, f as (select path, string_split(path, '/') as p, {_EXT} in ({', '.join(repr(x) for x in sessions.KEY_SUFFIXES)}) as key from project),
+  areas as (select distinct p[1] as area from f where len(p) > 1), direct as (select p[1] as area, p[2] as file, key from f where len(p) = 2),
+  n as (select area, count(*) as files from direct group by area), i as (select area, count(*) as dirs from (select distinct p[1] as area, p[2] as dir from f where len(p) > 2) group by area),
+  k as (select area, string_agg(file, ', ' order by file) as keys from (select area, file from direct where key qualify row_number() over (partition by area order by file) <= {sessions.KEY_FILES}) group by area)
+  select area, 'Directory ' || area || ': ' || coalesce(files, 0) || ' files, ' || coalesce(dirs, 0) || ' directories. Key files: ' || coalesce(keys, '') as result from areas left join n using (area) left join i using (area) left join k using (area)""")
 def directory_contents(spark, d):
     return sessions.contents(project_files(spark, d))
 

@@ -74,7 +74,8 @@ def mask_secrets(spark, d):
     return table(spark, d, "events").select("event_id", F.when(secret, F.repeat(F.lit("*"), F.least(F.length("props"), F.lit(8)))).otherwise(F.col("props")).alias("value"))
 
 
-@query()
+@query("""with l as (select doc_id, trim(x) as line from (select doc_id, unnest(string_split(text, chr(10))) as x from documents))
+  select doc_id, trim(split_part(line, '=', 1)) as key, regexp_replace(trim(regexp_replace(line, '^[^=]*=', '')), '^["'']|["'']$', '', 'g') as value from l where contains(line, '=') and not starts_with(line, '#')""")
 def env_parse(spark, d):
     """KEY=VALUE lines of the texts: no comments, quotes removed."""
     line = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
