@@ -1,8 +1,6 @@
 """Nearest vectors by inner product, exact. Rows have an id, any further columns, and a vector as an array of numbers.
 
-One query vector is a one-row side that travels to the vectors. A set of queries goes in blocks of BLOCK rows at most, so that what is shipped
-is bounded by BLOCK times the dimension; each task keeps the best k of what it has read for each query, so a block emits k rows
-a query and task, never a pair of all vectors.
+One query vector is a one-row side that travels to the vectors. A set of queries meets the vectors by cells.
 
 Edge cases: scores are rounded to 5 digits and ties go by id; null vectors are no result and no query; a query never finds itself by id;
 an empty table gives an empty result.
@@ -10,17 +8,11 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import embedding
-from .graph import top_per
-
-BLOCK, STEP, DIGITS = 2_048, 1_024, 5
+from .cells import DIGITS, Cells
 
 
 def scored(rows: DataFrame, query: DataFrame, vector: str = "vector") -> DataFrame:
@@ -38,47 +30,7 @@ def nearest(rows: DataFrame, query: DataFrame, k: int, id_col: str = "id", vecto
     return scored(rows if keep is None else rows.where(keep), query, vector).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def _best(shipped, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shipped.value
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        floor = np.full(len(ids), -np.inf)
-        for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            rows = b.column(1)
-            values = np.asarray(rows.flatten(), float).reshape(len(own), -1) if len(own) else np.zeros((0, 1))
-            for at in range(0, len(own), STEP):
-                score = np.round(values[at : at + STEP] @ q.T, DIGITS)
-                for i in np.flatnonzero((score >= floor).any(0)).tolist():
-                    hit = np.flatnonzero((score[:, i] >= floor[i]) & (own[at : at + STEP] != ids[i]))
-                    if len(hit) > k:  # the best by score, then by id
-                        hit = hit[np.lexsort((own[at + hit], -score[hit, i]))[:k]]
-                    best[i] = sorted([*best[i], *zip((-score[hit, i]).tolist(), own[at + hit].tolist(), strict=True)])[:k]
-                    if len(best[i]) == k:
-                        floor[i] = -best[i][-1][0]
-        rows = [(int(x), y, -s) for x, found in zip(ids, best, strict=True) for s, y in found]
-        q_id, near, s = zip(*rows, strict=True) if rows else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(q_id, pa.int64()), pa.array(near, pa.int64()), pa.array(s, pa.float64())], ["query_id", "id", "score"])
-
-    return run
-
-
 def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vector: str = "vector") -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` best of ``rows`` for each of ``queries``, whole-number ids. With all rows as queries the work is
-    the square of their number, by definition; what moves is k rows a query and task."""
-    spark = rows.sparkSession
-    base = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vector"))
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vector"))
-    blocks = -(-asked.count() // BLOCK) or 1
-    found = None
-    for part in range(blocks):
-        got = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == part).toArrow()
-        if not got.num_rows:
-            continue
-        q = np.asarray(got.column(1).combine_chunks().flatten(), float).reshape(got.num_rows, -1)
-        shipped = spark.sparkContext.broadcast((got.column(0).to_numpy(), q))
-        own = base.mapInArrow(_best(shipped, k), "query_id long, id long, score double")
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, id long, score double")
-    return top_per(found, ["query_id"], [F.desc("score"), "id"], k)
+    """(query_id, id, score, rank): the ``k`` best of ``rows`` for each of ``queries``, whole-number ids, exact, by cells. With all rows as queries the work may grow to
+    the square of their number; what moves is k rows a query and share of a cell."""
+    return Cells(rows, id_col, vector).search(queries, k, id_col, vector)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import INDEX_LANGUAGES, base_name, imports, lookup, suffix
-from ..operators import extract, inference
+from ..operators import extract, inference, project
 from ..operators.scratch import cut
 from .base import table
 from .catalog import query
@@ -194,3 +194,14 @@ for _kind in EDGES:
 def code_similar_names(spark, d):
     """Names of classes and functions that are alike, with how many pairs of them there are."""
     return inference.similar_classes(extract.entities(code_files(spark, d)))[1]
+
+
+@query(f"""with {CODE}, s as (select path, count(*) filter (k in (0, 1)) as imports, string_agg(case when k = 2 then b else a end, ',' order by i) filter ((python and k in (2, 3, 4)) or (not python and k = 4)) as functions,
+  string_agg(a, ',' order by i) filter (k = 2) as classes from code group by path)
+  select path, case when python then 'python' else 'javascript' end as language, cast(2 * len(ls) as bigint) as line_count, coalesce(imports, 0) as imports, coalesce(functions, '') as functions, coalesce(classes, '') as classes,
+  cast(0 as bigint) as comment_lines, cast(0 as bigint) as blank_lines from raw left join s using (path)""")
+def code_analysis(spark, d):
+    """What the analysis of a file finds in each file's code."""
+    made = project.file_analysis(code_files(spark, d).drop("language"))
+    joined = lambda c: F.array_join(F.col(f"patterns.{c}"), ",").alias(c)
+    return made.select("path", "language", "line_count", F.size("patterns.imports").cast("long").alias("imports"), joined("functions"), joined("classes"), "patterns.comment_lines", "patterns.blank_lines")

@@ -54,7 +54,8 @@ def package_degrees(spark, d):
 def vector_knn_cells(spark, d):
     """The nearest vectors of those whose id is divisible by 100, exact, by cells."""
     rows = table(spark, d, "embeddings")
-    return cells.Cells(rows, "vec_id", "embedding").search(rows.where("vec_id % 100 = 0"), 5, "vec_id", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
+    made = cells.Cells(rows, "vec_id", "embedding", cells=64)  # more and smaller cells than by default
+    return made.search(rows.where("vec_id % 100 = 0"), 5, "vec_id", "embedding", probes=4).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"with p as (select unnest({PHRASES}) as phrase) select phrase, doc_id from p join documents on contains(lower(coalesce(text, '')), phrase)")

@@ -194,10 +194,9 @@ def test_arrivals_are_taken_once(spark, tmp_path):
     assert kb.entities.count() == 1 and kb.mark.endswith("#0")
 
 
-def test_nearest_of_each(spark, monkeypatch):
+def test_nearest_of_each(spark):
     import numpy as np
 
-    monkeypatch.setattr(vectors, "BLOCK", 16)
     x = np.random.default_rng(2).normal(size=(90, 8))
     x[40:50] = x[3]  # ties
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, vector array<double>").repartition(5)
