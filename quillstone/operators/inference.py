@@ -95,14 +95,13 @@ def same_package(files: DataFrame) -> DataFrame:
     """Pairs of (ord, id, path) whose paths share at least two leading parts; strength is shared parts / longer path. The pairs are
     the result, so it grows with the square of a package; the first two parts are the join key."""
     parts = files.withColumn("parts", F.filter(F.split("path", "/"), lambda x: (x != "") & (x != "."))).where(F.size("parts") > 1)
-    parts = parts.withColumn("package", F.slice("parts", 1, 2))
-    a = parts.select("package", F.col("ord").alias("ao"), F.col("id").alias("source_id"), F.col("parts").alias("ap"))
-    b = parts.select("package", F.col("ord").alias("bo"), F.col("id").alias("target_id"), F.col("parts").alias("bp"))
-    met = a.join(b, "package").where("ao < bo")
-    # padded to one length by zip_with; a missing part equals nothing
+    met = pairs_within(parts.select(F.slice("parts", 1, 2).alias("package"), "ord", "id", "parts"), "package")
+    met = met.select(F.col("source.id").alias("source_id"), F.col("target.id").alias("target_id"), F.col("source.parts").alias("ap"), F.col("target.parts").alias("bp"))
+    # padded to one length by zip_with, where the next parts don't tell; a missing part equals nothing
     differs = F.transform(F.zip_with("ap", "bp", lambda x, y: x.eqNullSafe(y) & x.isNotNull()), lambda x: x)
     at = F.array_position(differs, F.lit(False))
-    common = F.when(at == 0, F.size("ap")).otherwise(at - 1).cast("double")
+    other = lambda k: ~F.coalesce(F.get("ap", F.lit(k)) == F.get("bp", F.lit(k)), F.lit(False))
+    common = F.when(other(2), 2).when(other(3), 3).when(other(4), 4).when(at == 0, F.size("ap")).otherwise(at - 1).cast("double")
     met = met.withColumn("strength", common / F.greatest(F.size("ap"), F.size("bp")))
     return met.select(F.concat_ws("_", F.lit("same_package"), "source_id", "target_id").alias("id"), "source_id", "target_id", F.lit("same_package").alias("relationship_type"), "strength")
 

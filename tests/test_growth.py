@@ -15,3 +15,26 @@ def test_edges_of_basic_imports_are_not_shuffled(spark):
     # an id with two names that one source uses gives one edge
     two = inference.basic_imports(facts, one.union(spark.createDataFrame([("y", "p1")], "name string, id string")))
     assert sorted((r.source_id, r.target_id) for r in two.collect()) == sorted((r.source_id, r.target_id) for r in made.collect())
+
+
+def test_packages_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(inference, "BLOCK", 50)
+    monkeypatch.setattr(inference, "SHARE", 5000)
+    files = spark.range(300).select(F.col("id").alias("ord"), F.concat(F.lit("f"), "id").alias("id"), F.concat(F.lit("a/b/"), (F.col("id") % 3).cast("string"), F.lit("/"), F.col("id").cast("string")).alias("path"))
+    made = inference.same_package(files)
+    assert made.rdd.getNumPartitions() > 8
+    got = {(r.source_id, r.target_id): r.strength for r in made.collect()}
+    assert got == {(f"f{i}", f"f{j}"): 0.75 if i % 3 == j % 3 else 0.5 for i in range(300) for j in range(i + 1, 300)}
+
+
+def test_deep_packages(spark):
+    paths = ["a/b/c/d/e/f/g", "a/b/c/d/e/f/h", "a/b", "a/b/c", "a/c/d", "a/b/c/d/x/f/g", "a", "a//b/./z"]
+    made = inference.same_package(spark.createDataFrame([(i, str(i), p) for i, p in enumerate(paths)], "ord long, id string, path string"))
+    parts = [[x for x in p.split("/") if x not in ("", ".")] for p in paths]
+
+    def shared(a, b):
+        n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        return n / max(len(a), len(b)) if n > 1 else None
+
+    want = {(str(i), str(j)): shared(parts[i], parts[j]) for i in range(len(paths)) for j in range(i + 1, len(paths)) if shared(parts[i], parts[j])}
+    assert {(r.source_id, r.target_id): r.strength for r in made.collect()} == want
