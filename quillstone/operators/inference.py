@@ -113,8 +113,57 @@ def _segments(n, k):
     return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(i.alias("i"), (i * base + F.greatest(i - short, F.lit(0))).alias("start"), (base + F.when(i >= short, 1).otherwise(0)).alias("size")))
 
 
+def _edits(m: int, threshold: float) -> int:
+    """The most edits by which two names of at most ``m`` > 0 characters, one of them with as many, are still more alike than ``threshold``."""
+    e = math.floor(m * (1 - threshold) + 1e-9)
+    return e if 1.0 - e / m > threshold else e - 1
+
+
+def _near(met: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) that few enough edits lie between, once each; looked at before anything is shuffled."""
+    longest = F.greatest(F.length("a"), F.length("b"))
+    most = F.floor(longest * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
+    near = met.where((F.levenshtein("a", "b") <= most) & (F.lit(1.0) - F.levenshtein("a", "b") / longest > threshold))
+    return near.select("a", "b").distinct()
+
+
+def _short(threshold: float) -> int:
+    """Characters of names that have few shortened forms."""
+    few = [m for m in range(1, SHORT + 1) if math.comb(m, max(0, _edits(m, threshold))) <= VARIANTS]
+    return max([m for m in few if set(range(1, m + 1)) <= set(few)], default=0) if threshold >= 0.5 else 0
+
+
+def _by_variants(own: DataFrame, threshold: float, skip: int) -> DataFrame:
+    """(a, b) candidates among names (low, n) of which the longer has _short() characters at most; all begin with the same ``skip`` characters.
+
+    Between names of which the longer has m characters, e edits leave a text of m - e characters that both hold as a subsequence. So each name is shortened to that length in all ways, by at
+    most e characters, and those that have a form in common meet. What all names begin with is left alone.
+    """
+    top = _short(threshold)
+    some = own.where((F.col("n") > 0) & (F.col("n") <= top))
+    step = some.select("low", "n", F.expr(f"substring(low, {skip + 1})").alias("v"), (F.col("n") - skip).alias("at"))
+    left = {m: max(0, m - skip - max(0, _edits(m, threshold))) for m in range(max(1, skip), top + 1)}
+    sides: dict[str, DataFrame] = {}
+    for gone in range(max([m - skip - x for m, x in left.items()], default=-1) + 1):
+        if gone:
+            deeper = [n for n in left if n - skip - left[n] >= gone]
+            step = step.where(F.col("n").isin(deeper) & (F.col("at") > 0)).select("low", "n", "v", F.explode(F.sequence(F.lit(1), "at")).alias("p"))
+            step = step.select("low", "n", F.expr("concat(substring(v, 1, p - 1), substring(v, p + 1))").alias("v"), (F.col("p") - 1).alias("at"))
+        lengths = F.lit(None).cast("array<int>")
+        for n in left:
+            if ms := [m for m in left if m >= n and n - skip - left[m] == gone]:
+                lengths = F.when(F.col("n") == n, F.array(*map(F.lit, ms))).otherwise(lengths)
+        a = step.select("v", F.explode(lengths).alias("m"), "n", F.col("low").alias("a"))
+        b = step.where(F.col("n").isin([m for m in left if m - skip - left[m] == gone])).select("v", F.col("n").alias("m"), F.col("low").alias("b"))
+        for side, df in (("a", a), ("b", b)):
+            sides[side] = df if side not in sides else sides[side].unionByName(df)
+    if not sides:
+        return own.select(F.col("low").alias("a"), F.col("low").alias("b")).limit(0)
+    return sides["a"].join(sides["b"], ["v", "m"]).where("n < m or a < b").select("a", "b")
+
+
 def _by_segments(own: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) candidates among names (type, low, n) of which the longer has LONG characters at most.
+    """(a, b) candidates among names (low, n) of which the longer has LONG characters at most and more than _short().
 
     A longer name of length m allows e = floor((1 - threshold) m) edits. Cut the shorter one into e + 1 segments: one of them stands in the longer name
     unchanged, shifted by so few places that there are at most e + 1 starts to try. So names meet by equality on (type, length, e, segment number,
@@ -122,17 +171,19 @@ def _by_segments(own: DataFrame, threshold: float) -> DataFrame:
     """
     edits = lambda m: F.floor(m * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
     longest = F.least(F.lit(LONG), F.greatest(F.floor(F.col("n") / F.lit(threshold) + F.lit(1e-9)).cast("int"), F.col("n")))
-    short = own.where(F.col("n") <= LONG).withColumn("e", F.explode(F.array_distinct(F.transform(F.sequence(F.col("n"), longest), edits))))
-    short = short.select("type", F.col("n").alias("na"), "e", F.col("low").alias("a"), F.explode(_segments(F.col("n"), F.col("e") + 1)).alias("s"))
-    a = short.select("type", "na", "e", "a", F.col("s.i").alias("i"), F.expr("substring(a, s.start + 1, s.size)").alias("part"))
+    above = _short(threshold)
+    short = own.where(F.col("n") <= LONG).withColumn("longest", longest).where(F.col("longest") > above)
+    short = short.withColumn("e", F.explode(F.array_distinct(F.transform(F.sequence(F.greatest(F.col("n"), F.lit(above + 1)), F.col("longest")), edits))))
+    short = short.select(F.col("n").alias("na"), "e", F.col("low").alias("a"), F.explode(_segments(F.col("n"), F.col("e") + 1)).alias("s"))
+    a = short.select("na", "e", "a", F.col("s.i").alias("i"), F.expr("substring(a, s.start + 1, s.size)").alias("part"))
     least = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int")
-    long = own.where(F.col("n") <= LONG).withColumn("e", edits(F.col("n"))).withColumn("na", F.explode(F.sequence(least, F.col("n"))))
+    long = own.where((F.col("n") <= LONG) & (F.col("n") > above)).withColumn("e", edits(F.col("n"))).withColumn("na", F.explode(F.sequence(least, F.col("n"))))
     long = long.select("*", F.explode(_segments(F.col("na"), F.col("e") + 1)).alias("s")).withColumn("more", F.col("n") - F.col("na"))
     first = F.greatest(F.lit(0), F.col("s.start") - F.floor((F.col("e") - F.col("more")) / 2)).cast("int")
     last = F.least(F.col("n") - F.col("s.size"), F.col("s.start") + F.floor((F.col("e") + F.col("more")) / 2)).cast("int")
     long = long.where((F.col("e") >= F.col("more")) & (first <= last)).select("*", F.explode(F.sequence(first, last)).alias("at"))
-    b = long.select("type", "na", "e", F.col("s.i").alias("i"), F.expr("substring(low, at + 1, s.size)").alias("part"), F.col("n").alias("nb"), F.col("low").alias("b")).distinct()
-    return a.join(b, ["type", "na", "e", "i", "part"]).where("na < nb or (na = nb and a < b)").select("type", "a", "b").distinct()
+    b = long.select("na", "e", F.col("s.i").alias("i"), F.expr("substring(low, at + 1, s.size)").alias("part"), F.col("n").alias("nb"), F.col("low").alias("b")).distinct()
+    return a.join(b, ["na", "e", "i", "part"]).where("na < nb or (na = nb and a < b)").select("a", "b")
 
 
 def _by_rare_pairs(own: DataFrame, threshold: float) -> DataFrame:
@@ -142,16 +193,16 @@ def _by_rare_pairs(own: DataFrame, threshold: float) -> DataFrame:
     ones first, each name's first 2 e + 1 (and one for the rounding of e at the next length) hold one that they share; it stands e places apart at most.
     """
     some = own.where(F.col("n") > F.floor(F.lit(LONG * threshold))).withColumn("e", F.floor(F.col("n") / F.lit(threshold) * F.lit(1 - threshold) + F.lit(1e-9)).cast("int"))
-    chars = some.select("type", "low", "n", "e", F.split("low", "").alias("c"))
+    chars = some.select("low", "n", "e", F.split("low", "").alias("c"))
     pairs = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.concat(F.element_at("c", i), F.element_at("c", i + 1)))
-    each = chars.select("type", "low", "n", "e", F.posexplode(pairs).alias("at", "pair"))
-    each = each.withColumn("nth", F.row_number().over(Window.partitionBy("type", "low", "pair").orderBy("at")))
-    counts = each.groupBy("type", "pair", "nth").agg(F.count(F.lit(1)).alias("seen"))
-    rare = each.join(counts, ["type", "pair", "nth"]).withColumn("rank", F.row_number().over(Window.partitionBy("type", "low").orderBy("seen", "pair", "nth")))
-    rare = rare.where(F.col("rank") <= 2 * F.floor(F.col("n") * F.lit(1 - threshold) + F.lit(1e-9)) + 3).select("type", "low", "n", "e", "at", "pair", "nth")
-    other = rare.select("type", "pair", "nth", F.col("low").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"))
-    met = rare.withColumnRenamed("low", "a").join(other, ["type", "pair", "nth"]).where((F.col("nb") > LONG) & ((F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("a") < F.col("b")))))
-    return met.where((F.col("n") >= F.col("nb") * F.lit(threshold)) & (F.abs(F.col("at") - F.col("bt")) <= F.col("e"))).select("type", "a", "b").distinct()
+    each = chars.select("low", "n", "e", F.posexplode(pairs).alias("at", "pair"))
+    each = each.withColumn("nth", F.row_number().over(Window.partitionBy("low", "pair").orderBy("at")))
+    counts = each.groupBy("pair", "nth").agg(F.count(F.lit(1)).alias("seen"))
+    rare = each.join(counts, ["pair", "nth"]).withColumn("rank", F.row_number().over(Window.partitionBy("low").orderBy("seen", "pair", "nth")))
+    rare = rare.where(F.col("rank") <= 2 * F.floor(F.col("n") * F.lit(1 - threshold) + F.lit(1e-9)) + 3).select("low", "n", "e", "at", "pair", "nth")
+    other = rare.select("pair", "nth", F.col("low").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"))
+    met = rare.withColumnRenamed("low", "a").join(other, ["pair", "nth"]).where((F.col("nb") > LONG) & ((F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("a") < F.col("b")))))
+    return met.where((F.col("n") >= F.col("nb") * F.lit(threshold)) & (F.abs(F.col("at") - F.col("bt")) <= F.col("e"))).select("a", "b")
 
 
 def similar_classes(entities: DataFrame, threshold: float = 0.7, kinds: list[str] = ("function", "class")) -> tuple[DataFrame, DataFrame]:
@@ -159,13 +210,16 @@ def similar_classes(entities: DataFrame, threshold: float = 0.7, kinds: list[str
     with edit similarity above ``threshold``: ``pairs`` is how many pairs of entities they stand for. The members of a name are alike by definition."""
     own = entities.where(F.col("type").isin(list(kinds))).select("type", F.lower(F.coalesce("name", F.lit(""))).alias("low"))
     classes = cut(own.groupBy("type", "low").agg(F.count(F.lit(1)).alias("members")).withColumn("n", F.length("low")), "names")
-    met = _by_segments(classes, threshold)
-    if classes.where(F.col("n") > LONG).limit(1).count():
-        met = met.unionByName(_by_rare_pairs(classes, threshold))
-    most = F.floor(F.greatest(F.length("a"), F.length("b")) * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
-    met = met.where(F.levenshtein("a", "b") <= most).withColumn("strength", name_similarity(F.col("a"), F.col("b"))).where(F.col("strength") > threshold)
+    own = cut(classes.where("n > 0").select("low", "n").distinct(), "names")  # a name of several types is compared once
+    ends = own.agg(F.min("low"), F.max("low"), F.max("n")).first()
+    met = _by_variants(own, threshold, len(os.path.commonprefix([ends[0] or "", ends[1] or ""])))
+    if (ends[2] or 0) > _short(threshold):
+        met = met.unionByName(_by_segments(own, threshold))
+    if (ends[2] or 0) > LONG:
+        met = met.unionByName(_by_rare_pairs(own, threshold))
+    met = cut(_near(met, threshold), "near").withColumn("strength", name_similarity(F.col("a"), F.col("b")))
     count = lambda x: classes.select("type", F.col("low").alias(x), F.col("members").alias(f"{x}_members"))
-    met = met.join(count("a"), ["type", "a"]).join(count("b"), ["type", "b"])
+    met = met.join(count("a"), "a").join(count("b"), ["type", "b"])
     return classes.select("type", "low", "members"), met.select("type", "a", "b", "strength", (F.col("a_members") * F.col("b_members")).alias("pairs"))
 
 

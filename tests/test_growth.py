@@ -38,3 +38,23 @@ def test_deep_packages(spark):
 
     want = {(str(i), str(j)): shared(parts[i], parts[j]) for i in range(len(paths)) for j in range(i + 1, len(paths)) if shared(parts[i], parts[j])}
     assert {(r.source_id, r.target_id): r.strength for r in made.collect()} == want
+
+
+def test_names_with_one_beginning_are_told_apart(spark):
+    """Names that all begin alike meet by what follows."""
+    names = ["w_" + "".join("abcdefgh"[(i * k + i // 7) % 8] for k in range(1, 7)) for i in range(400)]
+    names = sorted(set(names))
+    own = spark.createDataFrame([(x, len(x)) for x in names], "low string, n int")
+    met = {(r.a, r.b) for r in inference._by_variants(own, 0.7, 2).collect()}
+    assert len(met) < len(names) * (len(names) - 1) / 8
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(a, b) for a in names for b in names if a < b and 1.0 - edits(a, b) / 8 > 0.7}
+    assert want and want <= met
