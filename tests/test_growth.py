@@ -58,3 +58,13 @@ def test_names_with_one_beginning_are_told_apart(spark):
 
     want = {(a, b) for a in names for b in names if a < b and 1.0 - edits(a, b) / 8 > 0.7}
     assert want and want <= met
+
+
+def test_shared_dependencies_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(inference, "BLOCK", 50)
+    monkeypatch.setattr(inference, "SHARE", 5000)
+    uses = spark.range(200).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("id"), F.lit("t").alias("token"))
+    made = inference.shared_dependencies(uses.union(uses.where("id = 7")))
+    assert made.rdd.getNumPartitions() > 8
+    got = sorted((int(r.source_id), int(r.target_id)) for r in made.collect())
+    assert got == sorted([(i, j) for i in range(200) for j in range(i + 1, 200)] + [(7, 7)])
