@@ -38,10 +38,13 @@ def imports(facts: DataFrame, entities: DataFrame) -> DataFrame:
     return _edges(met, F.concat_ws("_", F.lit("import"), "source_id", "target_id"), "imports", 1.0).dropDuplicates(["id"])
 
 
-def by_name_pair(facts: DataFrame, entities: DataFrame, kind: str, strength: float, prefix: str, with_line: bool, turned: bool = False) -> DataFrame:
-    """(path, a, b, line) facts: a is the first of its name in the file, b the first anywhere. ``turned``: the edge goes from b to a."""
-    here = first_in_file(entities).select("path", F.col("name").alias("a"), F.col("id").alias("a_id"))
-    there = first_by_name(entities).select(F.col("name").alias("b"), F.col("id").alias("b_id"))
+def by_name_pair(facts: DataFrame, entities: DataFrame, kind: str, strength: float, prefix: str, with_line: bool, turned: bool = False, named: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(path, a, b, line) facts: a is the first of its name in the file, b the first anywhere. ``turned``: the edge goes from b to a. ``named``: first_in_file() and first_by_name() of the
+    entities, where several kinds of edges share them."""
+    here, there = named or (first_in_file(entities), first_by_name(entities))
+    here = here.select("path", F.col("name").alias("a"), F.col("id").alias("a_id"))
+    there = there.select(F.col("name").alias("b"), F.col("id").alias("b_id"))
+    facts = facts.select("path", "a", "b", *(["line"] if with_line else [])).distinct()  # edges that repeat do so in a file mostly
     met = facts.join(here, ["path", "a"]).join(there, "b")
     met = met.withColumns({"source_id": F.col("b_id" if turned else "a_id"), "target_id": F.col("a_id" if turned else "b_id")})
     name = [F.lit(prefix), "source_id", "target_id", *([F.col("line").cast("string")] if with_line else [])]

@@ -150,6 +150,9 @@ def inspect_items(spark, d):
     return made.withColumns({c: F.array_join(c, ",") for c in ("args", "bases", "decorators")})
 
 
+FACTS_OF = {"imports": "import", "calls": "call", "inherits": "inherit", "decorates": "decorator", "handles": "exception"}
+
+
 def code_edges(spark: SparkSession, d: str, kinds: list[str]) -> DataFrame:
     """Edges of ``kinds`` between the files, classes and functions of all documents' code."""
     files = cut(code_files(spark, d), "code")
@@ -157,14 +160,15 @@ def code_edges(spark: SparkSession, d: str, kinds: list[str]) -> DataFrame:
     parts = extract.entities(files).join(files.select("path", F.col("ord").alias("file_ord")), "path")
     parts = parts.groupBy(F.md5(F.concat_ws(":", "type", "path", "name")).alias("id"), "name", "path").agg(F.min(F.col("file_ord") * STRIDE + F.col("line")).alias("ord"))
     entities = cut(whole.unionByName(parts), "entities")
-    facts = cut(extract.facts(files), "facts")
+    facts = cut(extract.facts(files, [FACTS_OF[k] for k in kinds]), "facts")
+    named = (cut(inference.first_in_file(entities), "here"), cut(inference.first_by_name(entities), "there")) if kinds != ["imports"] else None
     own = lambda kind: facts.where(F.col("kind") == kind).select("path", "a", "b", "line")
     made = {
         "imports": lambda: inference.imports(own("import").select(F.md5(F.concat(F.lit("file:"), "path")).alias("source_id"), F.col("a").alias("symbol")), entities),
-        "calls": lambda: inference.by_name_pair(own("call"), entities, "calls", 0.8, "calls", True),
-        "inherits": lambda: inference.by_name_pair(own("inherit"), entities, "inherits", 1.0, "inherits", False),
-        "decorates": lambda: inference.by_name_pair(own("decorator"), entities, "decorates", 0.9, "decorates", False, turned=True),
-        "handles": lambda: inference.by_name_pair(own("exception"), entities, "handles", 0.7, "handles", True),
+        "calls": lambda: inference.by_name_pair(own("call"), entities, "calls", 0.8, "calls", True, named=named),
+        "inherits": lambda: inference.by_name_pair(own("inherit"), entities, "inherits", 1.0, "inherits", False, named=named),
+        "decorates": lambda: inference.by_name_pair(own("decorator"), entities, "decorates", 0.9, "decorates", False, turned=True, named=named),
+        "handles": lambda: inference.by_name_pair(own("exception"), entities, "handles", 0.7, "handles", True, named=named),
     }
     return functools.reduce(DataFrame.unionByName, [made[k]() for k in kinds])
 

@@ -68,3 +68,15 @@ def test_shared_dependencies_are_dealt_over_tasks(spark, monkeypatch):
     assert made.rdd.getNumPartitions() > 8
     got = sorted((int(r.source_id), int(r.target_id)) for r in made.collect())
     assert got == sorted([(i, j) for i in range(200) for j in range(i + 1, 200)] + [(7, 7)])
+
+
+def test_facts_of_some_kinds(spark):
+    """Only facts that are asked for leave a task; scripts are not read for kinds that they don't have."""
+    from quillstone.operators import extract
+
+    code = [("a.py", "import x\nclass A(B):\n    def f(self): raise E()\n@d\ndef g(): h()\n", "python"), ("b.js", "import y from 'z'\nq();\n", "javascript"), ("c.py", None, "python"), ("d.txt", "import x", "unknown")]
+    files = spark.createDataFrame(code, "path string, content string, language string")
+    every = extract.facts(files)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for kinds in (["inherit"], ["exception", "decorator"], ["import"], ["call", "inherit"]):
+        assert rows(extract.facts(files, kinds)) == rows(every.where(F.col("kind").isin(kinds))) != []
