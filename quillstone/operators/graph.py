@@ -36,6 +36,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).where("a <> b").distinct()
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, n): a long for each distinct id, in the order of the ids, so that rounds compare and add up numbers in place of texts."""
+    order = ids.where("id is not null").select("id").distinct().repartitionByRange("id").sortWithinPartitions("id")
+    return cut(order.withColumn("n", F.monotonically_increasing_id()), "numbers")
+
+
+def _by_number(edges: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(u, v): the edges between numbered ids other than loops."""
+    ends = edges.where("source_id <> target_id").select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
+    return ends.join(numbers.toDF("s", "u"), "s").join(numbers.toDF("t", "v"), "t").select("u", "v")
+
+
 def related(edges: DataFrame, entities: DataFrame, entity_id: str, relationship_type: str | None = None) -> DataFrame:
     """Neighbours in both directions with their edges."""
     own = edges.where((F.col("source_id") == entity_id) | (F.col("target_id") == entity_id))
@@ -92,9 +104,9 @@ def cycles(edges: DataFrame, size: int, kinds: list[str] = CYCLE_TYPES) -> DataF
 
 
 def _ends(edges: DataFrame) -> DataFrame:
-    """(a, b) both ways, written once, as each step of a walk reads it."""
+    """(a, b) both ways, written once, as each step of a walk reads it. Edges that repeat stay: a step takes the least neighbour, whatever their number."""
     ends = edges.where("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    return cut(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
+    return cut(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))), "ends")
 
 
 def _step(ends: DataFrame, frontier: DataFrame, by: list[str]) -> DataFrame:
@@ -191,8 +203,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, entities: DataFrame, min_size: int = 1) -> DataFrame:
     """(id, component, size): components of the undirected graph with at least ``min_size`` entities, named by their least id. Large and small
     stars in turn on the edges only, until a round changes nothing; the tables of a round go when the next one is written."""
-    ends = valid_edges(edges, entities).where("source_id <> target_id")
-    now, state = cut(ends.select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).distinct()), None
+    numbers = numbered(entities)
+    now, state = cut(_by_number(edges, numbers).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
         nxt = cut(_star(_star(now, True), False))
         drop(now)
@@ -201,9 +213,10 @@ def components(edges: DataFrame, entities: DataFrame, min_size: int = 1) -> Data
         if mark == state:
             break
         state = mark
-    label = entities.select("id").distinct().join(now.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
-    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
-    return label.join(sizes, "component").select("id", "component", "size")
+    label = numbers.join(now.withColumnRenamed("u", "n"), "n", "left").select("id", F.coalesce("v", "n").alias("c"))
+    sizes = label.groupBy("c").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
+    named = sizes.join(numbers.select(F.col("n").alias("c"), F.col("id").alias("component")), "c")
+    return label.join(named, "c").select("id", "component", "size")
 
 
 def similar_by_edges(edges: DataFrame, entities: DataFrame, entity_id: str, threshold: float = 0.7, limit: int = 10, kind: str = "similar") -> DataFrame:
@@ -226,8 +239,8 @@ def greedy_clusters(edges: DataFrame, entities: DataFrame, min_size: int = 3) ->
     Seeds are the entities with enough walks that no earlier seed reaches: the lexicographically first independent set of the square of the graph. In a round those
     that are the least undecided within two steps become seeds, and what they reach is decided. The rest belongs to its least seed. The square is never made.
     """
-    valid = valid_edges(edges, entities)
-    ends = valid.where("source_id <> target_id").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    numbers = numbered(entities)
+    ends = _by_number(edges, numbers).toDF("a", "b")
     ends = cut(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))), "walks")
     degree = ends.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("d"))
     open_ = cut(ends.join(degree, "b").groupBy(F.col("a").alias("id")).agg(F.sum("d").alias("walks")).where(F.col("walks") >= min_size).select("id"), "open")
@@ -240,9 +253,10 @@ def greedy_clusters(edges: DataFrame, entities: DataFrame, min_size: int = 3) ->
         seeds = now if seeds is None else seeds.unionByName(now)
     if seeds is None:
         return edges.sparkSession.createDataFrame([], "cluster string, id string, size long")
-    all_ = _least_within(one, own(seeds), 2).select(F.col("x").alias("cluster"), "id")
-    sizes = all_.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
-    return all_.join(sizes, "cluster").select("cluster", "id", "size")
+    all_ = _least_within(one, own(seeds), 2).select("x", F.col("id").alias("n"))
+    sizes = all_.groupBy("x").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
+    named = sizes.join(numbers.select(F.col("n").alias("x"), F.col("id").alias("cluster")), "x")
+    return all_.join(named, "x").join(numbers, "n").select("cluster", "id", "size")
 
 
 def upsert(rows: DataFrame, key: list[str], order: list[str], value: list[str]) -> DataFrame:

@@ -80,3 +80,20 @@ def test_facts_of_some_kinds(spark):
     rows = lambda df: sorted(map(tuple, df.collect()), key=str)
     for kinds in (["inherit"], ["exception", "decorator"], ["import"], ["call", "inherit"]):
         assert rows(extract.facts(files, kinds)) == rows(every.where(F.col("kind").isin(kinds))) != []
+
+
+def test_numbers_keep_the_order_of_ids(spark):
+    from quillstone.operators import graph
+
+    ids = [f"n{i * 7919 % 1000}" for i in range(1000)] + ["é", "", "n1"]
+    got = graph.numbered(spark.createDataFrame([(x,) for x in [*ids, None]], "id string")).orderBy("n").collect()
+    assert [r.id for r in got] == sorted(set(ids))
+
+
+def test_ends_of_edges_are_not_made_distinct(spark):
+    from quillstone.operators import graph
+
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "c")], "source_id string, target_id string")
+    assert graph._ends(edges).count() == 6
+    got = graph.shortest_paths(edges, spark.createDataFrame([("a", "c")], "source string, target string"), 5)
+    assert sorted((r.step, r.id) for r in got.collect()) == [(0, "a"), (1, "b"), (2, "c")]
