@@ -97,3 +97,15 @@ def test_ends_of_edges_are_not_made_distinct(spark):
     assert graph._ends(edges).count() == 6
     got = graph.shortest_paths(edges, spark.createDataFrame([("a", "c")], "source string, target string"), 5)
     assert sorted((r.step, r.id) for r in got.collect()) == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_phrases_share_one_automaton_of_keys(spark, monkeypatch):
+    """Long phrases take few blocks; one that only shares its key with a text is not in it."""
+    from quillstone.operators import search
+
+    monkeypatch.setattr(search, "BLOCK_BYTES", 200)
+    long = ["x" * 40 + "middle of it" + c * 40 for c in "abcdefgh"]
+    texts = spark.createDataFrame([(i, f"before {x} after") for i, x in enumerate(long[:3])] + [(9, "middle of it")], "ord long, content string")
+    made = search.matches(spark.createDataFrame(list(enumerate(long)), "conv_id long, question string"), texts, "content", ["ord"])
+    assert sorted(map(tuple, made.collect())) == [(0, 0), (1, 1), (2, 2)]
+    assert made._jdf.queryExecution().sparkPlan().toString().count("MapInArrow ") == 1
