@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scratch import bounded
 
-SHARD = 8 << 20
+SHARD = 2 << 20
 BUCKETS = 32
 RAREST = 4
 FILL = (1 << 21) - 1  # no code point
