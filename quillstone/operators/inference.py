@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import math
 import os.path
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +17,8 @@ from ..functions.text import name_similarity
 from .scratch import cut, small
 
 LONG = 48  # characters of names up to which segments are cheap
-SHORT, VARIANTS = 16, 2000  # characters of names up to which shortened forms are few, and how many a name may have
+SHORT, VARIANTS = 20, 10_000  # characters of names up to which shortened forms are few, and how many a name may have
+NAMES = 2048  # names whose forms one task of their join gets, about
 BLOCK, SHARE = 2048, 4 << 20  # members of a group that meet those of another block in one task, pairs of a task
 EDGE = ["id", "source_id", "target_id", "relationship_type", "strength"]
 
@@ -122,27 +127,77 @@ def _edits(m: int, threshold: float) -> int:
     return e if 1.0 - e / m > threshold else e - 1
 
 
+def _letters(names: pa.Array, order: np.ndarray, longest: int) -> np.ndarray:
+    """A column of characters for each name, in ``order``, the rest of it filled with what does not count."""
+    if pc.all(pc.string_is_ascii(names)).as_py():
+        at = np.frombuffer(names.buffers()[1], np.int32, len(names) + 1, names.offset * 4)[order]
+        text = np.frombuffer(names.buffers()[2] or b"\0", np.uint8)
+        return text.take(at + np.arange(longest, dtype=np.int32)[:, None], mode="clip")
+    return np.array(names.to_pylist(), f"U{longest}").view(np.uint32).reshape(len(names), longest)[order].T.copy()
+
+
+def _few_edits(a: pa.Array, b: pa.Array, threshold: float) -> np.ndarray:
+    """Which pairs of names of at most LONG characters are more alike than ``threshold``: the tables of edits of all pairs at once, cell by cell, as far from the diagonal as edits may lie."""
+    na, nb = (pc.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int16) for x in (a, b))
+    longest = np.maximum(na, nb)
+    most = np.floor(np.arange(longest.max() + 1) * (1 - threshold) + 1e-9).astype(np.int16)[longest]
+    order = np.argsort(nb, kind="stable")
+    rows, to = na[order], np.searchsorted(nb[order], np.arange(nb.max() + 2))
+    top, band, far = int(na.max()), int(most.max()), 100
+    left, right = _letters(a, order, max(top, 1)), _letters(b, order, max(int(nb.max()), 1))
+    table = np.full((top + 1, len(na)), far, np.uint8)
+    table[: band + 1] = np.arange(min(band, top) + 1, dtype=np.uint8)[:, None]
+    edits = np.full(len(na), far, np.int16)
+    one = np.uint8(1)
+    for j in range(int(nb.max()) + 1):
+        if j:
+            lo, hi = max(1, j - band), min(top, j + band)
+            if lo > hi:
+                break
+            cells = table[lo - 1 : hi] + (left[lo - 1 : hi] != right[j - 1])
+            table[lo : hi + 1] += one
+            np.minimum(cells, table[lo : hi + 1], out=table[lo : hi + 1])
+            if lo == 1:
+                table[0] = j
+            for i in range(lo if lo == 1 else lo + 1, hi + 1):
+                np.minimum(table[i], table[i - 1] + one, out=table[i])
+        if to[j] < to[j + 1]:
+            edits[order[to[j] : to[j + 1]]] = table[rows[to[j] : to[j + 1]], np.arange(to[j], to[j + 1])]
+    return (np.abs(na - nb) <= most) & (edits <= most) & (1.0 - edits / np.maximum(longest, 1) > threshold)
+
+
 def _near(met: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) that few enough edits lie between, once each; looked at before anything is shuffled."""
+    """The (a, b) of at most LONG characters that few enough edits lie between, looked at before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                yield x.filter(pa.array(_few_edits(x.column(0).cast(pa.string()), x.column(1).cast(pa.string()), threshold)))
+
+    return met.select("a", "b").mapInArrow(run, "a string, b string")
+
+
+def _near_long(met: DataFrame, threshold: float) -> DataFrame:
+    """_near() for names of any length."""
     longest = F.greatest(F.length("a"), F.length("b"))
     most = F.floor(longest * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
-    near = met.where((F.levenshtein("a", "b") <= most) & (F.lit(1.0) - F.levenshtein("a", "b") / longest > threshold))
-    return near.select("a", "b").distinct()
+    return met.where((F.levenshtein("a", "b") <= most) & (F.lit(1.0) - F.levenshtein("a", "b") / longest > threshold))
 
 
-def _short(threshold: float) -> int:
-    """Characters of names that have few shortened forms."""
-    few = [m for m in range(1, SHORT + 1) if math.comb(m, max(0, _edits(m, threshold))) <= VARIANTS]
+def _short(threshold: float, skip: int = 0) -> int:
+    """Characters of names that have few shortened forms, the first ``skip`` left alone."""
+    few = [m for m in range(1, SHORT + 1) if math.comb(max(0, m - skip), max(0, _edits(m, threshold))) <= VARIANTS]
     return max([m for m in few if set(range(1, m + 1)) <= set(few)], default=0) if threshold >= 0.5 else 0
 
 
-def _by_variants(own: DataFrame, threshold: float, skip: int) -> DataFrame:
-    """(a, b) candidates among names (low, n) of which the longer has _short() characters at most; all begin with the same ``skip`` characters.
+def _by_variants(own: DataFrame, threshold: float, skip: int, parts: int | None = None) -> DataFrame:
+    """(a, b) candidates among names (low, n) of which the longer has _short() characters at most; all begin with the same ``skip`` characters. They meet in
+    ``parts`` tasks, if given: forms are short and their pairs many, so that tasks by bytes would be few.
 
     Between names of which the longer has m characters, e edits leave a text of m - e characters that both hold as a subsequence. So each name is shortened to that length in all ways, by at
     most e characters, and those that have a form in common meet. What all names begin with is left alone.
     """
-    top = _short(threshold)
+    top = _short(threshold, skip)
     some = own.where((F.col("n") > 0) & (F.col("n") <= top))
     step = some.select("low", "n", F.expr(f"substring(low, {skip + 1})").alias("v"), (F.col("n") - skip).alias("at"))
     left = {m: max(0, m - skip - max(0, _edits(m, threshold))) for m in range(max(1, skip), top + 1)}
@@ -162,10 +217,11 @@ def _by_variants(own: DataFrame, threshold: float, skip: int) -> DataFrame:
             sides[side] = df if side not in sides else sides[side].unionByName(df)
     if not sides:
         return own.select(F.col("low").alias("a"), F.col("low").alias("b")).limit(0)
-    return sides["a"].join(sides["b"], ["v", "m"]).where("n < m or a < b").select("a", "b")
+    a, b = (x.repartition(parts, "v", "m") if parts else x for x in sides.values())
+    return a.join(b, ["v", "m"]).where("n < m or a < b").select("a", "b")
 
 
-def _by_segments(own: DataFrame, threshold: float) -> DataFrame:
+def _by_segments(own: DataFrame, threshold: float, skip: int = 0) -> DataFrame:
     """(a, b) candidates among names (low, n) of which the longer has LONG characters at most and more than _short().
 
     A longer name of length m allows e = floor((1 - threshold) m) edits. Cut the shorter one into e + 1 segments: one of them stands in the longer name
@@ -174,7 +230,7 @@ def _by_segments(own: DataFrame, threshold: float) -> DataFrame:
     """
     edits = lambda m: F.floor(m * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
     longest = F.least(F.lit(LONG), F.greatest(F.floor(F.col("n") / F.lit(threshold) + F.lit(1e-9)).cast("int"), F.col("n")))
-    above = _short(threshold)
+    above = _short(threshold, skip)
     short = own.where(F.col("n") <= LONG).withColumn("longest", longest).where(F.col("longest") > above)
     short = short.withColumn("e", F.explode(F.array_distinct(F.transform(F.sequence(F.greatest(F.col("n"), F.lit(above + 1)), F.col("longest")), edits))))
     short = short.select(F.col("n").alias("na"), "e", F.col("low").alias("a"), F.explode(_segments(F.col("n"), F.col("e") + 1)).alias("s"))
@@ -205,7 +261,7 @@ def _by_rare_pairs(own: DataFrame, threshold: float) -> DataFrame:
     rare = rare.where(F.col("rank") <= 2 * F.floor(F.col("n") * F.lit(1 - threshold) + F.lit(1e-9)) + 3).select("low", "n", "e", "at", "pair", "nth")
     other = rare.select("pair", "nth", F.col("low").alias("b"), F.col("n").alias("nb"), F.col("at").alias("bt"))
     met = rare.withColumnRenamed("low", "a").join(other, ["pair", "nth"]).where((F.col("nb") > LONG) & ((F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("a") < F.col("b")))))
-    return met.where((F.col("n") >= F.col("nb") * F.lit(threshold)) & (F.abs(F.col("at") - F.col("bt")) <= F.col("e"))).select("a", "b")
+    return met.where((F.col("n") >= F.col("nb") * F.lit(threshold)) & (F.abs(F.col("at") - F.col("bt")) <= F.col("e"))).select("a", "b").distinct()
 
 
 def similar_classes(entities: DataFrame, threshold: float = 0.7, kinds: list[str] = ("function", "class")) -> tuple[DataFrame, DataFrame]:
@@ -214,13 +270,15 @@ def similar_classes(entities: DataFrame, threshold: float = 0.7, kinds: list[str
     own = entities.where(F.col("type").isin(list(kinds))).select("type", F.lower(F.coalesce("name", F.lit(""))).alias("low"))
     classes = cut(own.groupBy("type", "low").agg(F.count(F.lit(1)).alias("members")).withColumn("n", F.length("low")), "names")
     own = cut(classes.where("n > 0").select("low", "n").distinct(), "names")  # a name of several types is compared once
-    ends = own.agg(F.min("low"), F.max("low"), F.max("n")).first()
-    met = _by_variants(own, threshold, len(os.path.commonprefix([ends[0] or "", ends[1] or ""])))
-    if (ends[2] or 0) > _short(threshold):
-        met = met.unionByName(_by_segments(own, threshold))
-    if (ends[2] or 0) > LONG:
-        met = met.unionByName(_by_rare_pairs(own, threshold))
-    met = cut(_near(met, threshold), "near").withColumn("strength", name_similarity(F.col("a"), F.col("b")))
+    ends = own.agg(F.min("low"), F.max("low"), F.max("n"), F.count(F.lit(1))).first()
+    skip, longest = len(os.path.commonprefix([ends[0] or "", ends[1] or ""])), ends[2] or 0
+    met = _by_variants(own, threshold, skip, math.ceil((ends[3] + 1) / NAMES))
+    if longest > _short(threshold, skip):
+        met = met.unionByName(_by_segments(own, threshold, skip))
+    near = _near(met, threshold)
+    if longest > LONG:
+        near = near.unionByName(_near_long(_by_rare_pairs(own, threshold), threshold))
+    met = cut(near.distinct(), "near").withColumn("strength", name_similarity(F.col("a"), F.col("b")))
     count = lambda x: classes.select("type", F.col("low").alias(x), F.col("members").alias(f"{x}_members"))
     met = met.join(count("a"), "a").join(count("b"), ["type", "b"])
     return classes.select("type", "low", "members"), met.select("type", "a", "b", "strength", (F.col("a_members") * F.col("b_members")).alias("pairs"))

@@ -18,6 +18,7 @@ from .base import table
 from .catalog import query
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FIRST_TWO = "^[^A-Za-z]*+([A-Za-z]++)[^A-Za-z]++([A-Za-z]++)"
 STRIDE = 1_000_000  # entities of a file follow it in line order
 PYTHON = ["import {a}\n{b}()", "from {a} import {b}\npass", "class {a}({b}):\n    def {b}(self): {a}()", "def {a}():\n    if {b}: {b}()", "@{b}\ndef {a}(): raise {b}()"]
 SCRIPT = ["import x from '{a}'\n{b}();", "const {a} = require('{b}')\n;", "class {a} {{}}\n;", "function {a}() {{ {b}(); }}\n;", "const {a} = () => {b}()\n;"]
@@ -34,15 +35,17 @@ def code_files(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     python = F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))
 
-    def code(line, i):
-        words = F.regexp_extract_all(F.translate(line, UPPER, LOWER), F.lit("[a-z]+"), F.lit(0))
-        a, b = (F.concat(F.lit("w_"), F.try_element_at(words, F.lit(k))) for k in (1, 2))
-        made = F.when(F.size(words) < 2, F.when(python, F.lit("pass\npass")).otherwise(F.lit(";\n;")))
+    def pair(line):  # looked for once and no further, or else two empty words
+        return F.array(*[F.translate(F.regexp_extract(line, FIRST_TWO, k), UPPER, LOWER) for k in (1, 2)])
+
+    def code(words, i):
+        a, b = (F.concat(F.lit("w_"), F.get(words, F.lit(k))) for k in (0, 1))
+        made = F.when(F.get(words, F.lit(1)) == "", F.when(python, F.lit("pass\npass")).otherwise(F.lit(";\n;")))
         for k in range(5):
             made = made.when(i % 5 == k, F.when(python, _filled(PYTHON[k], a, b)).otherwise(_filled(SCRIPT[k], a, b)))
         return made
 
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), code)
+    lines = F.transform(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), pair), code)
     path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("und")), F.lit("/"), F.col("doc_id").cast("string"), F.when(python, ".py").otherwise(".js"))
     made = docs.select(F.col("doc_id").alias("ord"), path.alias("path"), F.array_join(lines, "\n").alias("content"))
     return made.withColumn("language", lookup(INDEX_LANGUAGES, F.lower(suffix(F.col("path"))), "unknown"))

@@ -109,3 +109,50 @@ def test_phrases_share_one_automaton_of_keys(spark, monkeypatch):
     made = search.matches(spark.createDataFrame(list(enumerate(long)), "conv_id long, question string"), texts, "content", ["ord"])
     assert sorted(map(tuple, made.collect())) == [(0, 0), (1, 1), (2, 2)]
     assert made._jdf.queryExecution().sparkPlan().toString().count("MapInArrow ") == 1
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_long_names_meet_by_shortened_forms(spark):
+    """Names of 17 to 20 characters do not meet by segments of two or three characters, which most of them share."""
+    syllables = ["the", "ing", "an", "re", "ou", "sh", "tion", "le"]
+    names = ["w_" + "".join(syllables[(i * k + i // 5) % 8] for k in range(1, 9))[: 15 + i % 4] for i in range(300)]
+    names = sorted({x for x in names if len(x) > 16})
+    own = spark.createDataFrame([(x, len(x)) for x in names], "low string, n int")
+    assert inference._by_segments(own, 0.7, 2).count() == 0
+    want = {(a, b) for a in names for b in names if (len(a), a) < (len(b), b) and 1.0 - _edits(a, b) / len(b) > 0.7}
+    assert want and {(r.a, r.b) for r in inference._near(inference._by_variants(own, 0.7, 2, 3), 0.7).collect()} == want
+
+
+def test_edits_of_many_pairs_at_once():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    for letters in ("ab", "abcé", "abcdefgh"):
+        for n in (5, 20, 48):
+            a = ["".join(rng.choice(letters) for _ in range(rng.randrange(n + 1))) for _ in range(200)]
+            b = [x[: (k := rng.randrange(len(x) + 1))] + rng.choice(letters)[: rng.randrange(2)] + x[k + 1 :] if rng.random() < 0.7 else rng.choice(a) for x in a]
+            for threshold in (0.9, 0.7, 0.3):
+                want = [bool(x or y) and 1.0 - _edits(x, y) / max(len(x), len(y)) > threshold for x, y in zip(a, b, strict=True)]
+                got = inference._few_edits(pa.array(["skipped", *a])[1:], pa.array(b), threshold)
+                assert [g for g, x, y in zip(got, a, b, strict=True) if x or y] == [w for w, x, y in zip(want, a, b, strict=True) if x or y]
+
+
+def test_words_of_a_line_are_looked_for_once(spark, tmp_path):
+    from quillstone.plans import code
+
+    texts = ["one two three\n\n7 Über-Maß x9y\n  lone1\n" + "a" * 5000 + "\n" + "-" * 5000 + "A" + "-" * 5000 + "\nÉa éB c", None, ""]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = code.code_files(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all" not in plan and plan.count(code.FIRST_TWO) == 2
+    assert [r.content for r in made.orderBy("ord").collect()] == ["import w_one\nw_two()\npass\npass\nclass w_ber(w_ma):\n    def w_ma(self): w_ber()\npass\npass\npass\npass\npass\npass\nfrom w_a import w_b\npass", "pass\npass", "pass\npass"]
