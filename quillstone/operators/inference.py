@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import name_similarity
-from .scratch import cut, small
+from .scratch import compact, cut, small
 
 LONG = 48  # characters of names up to which segments are cheap
 SHORT, VARIANTS = 20, 10_000  # characters of names up to which shortened forms are few, and how many a name may have
 NAMES = 2048  # names whose forms one task of their join gets, about
 BLOCK, SHARE = 2048, 4 << 20  # members of a group that meet those of another block in one task, pairs of a task
+TILE = 64  # rows of a block that each row of the other block meets in a run
 EDGE = ["id", "source_id", "target_id", "relationship_type", "strength"]
 
 
@@ -68,17 +69,19 @@ def meet(left: DataFrame, right: DataFrame, key: str, at: str, to: str) -> DataF
 
 def pairs_within(rows: DataFrame, key: str) -> DataFrame:
     """Each two ``rows`` of one ``key`` that differ in ``ord``, once: (key, source, target), structs of the rows, the source with the lower ``ord``. Rows are dealt into blocks as in
-    meet(), and of two blocks only one order meets."""
-    rows = rows.where(F.col(key).isNotNull())
+    meet(), and of two blocks only one order meets. The rows of a block meet those of another tile by tile, so that pairs which are near in a file have rows in common and it compresses."""
+    rows = rows.where(F.col(key).isNotNull()).select(key, F.struct(*[c for c in rows.columns if c != key]).alias("row"))
     sizes = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     parts = _shares(sizes.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0])
     last = F.ceil(F.col("n") / BLOCK) - 1
-    dealt = rows.join(small(sizes), key).select(key, F.struct(*[c for c in rows.columns if c != key]).alias("row"), F.pmod(F.xxhash64("ord"), last + 1).alias("own"), last.alias("last"))
+    tile = F.pmod(F.xxhash64(F.lit(TILE), "row.ord"), F.ceil(F.col("n") / (last + 1) / TILE))
+    dealt = rows.join(small(sizes), key).select(key, "row", F.pmod(F.xxhash64("row.ord"), last + 1).alias("own"), last.alias("last"), tile.alias("tile"))
     a = dealt.select(key, F.col("row").alias("a"), F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j")).repartition(parts, key, "i", "j")
-    b = dealt.select(key, F.col("row").alias("b"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i")).repartition(parts, key, "i", "j")
-    met = a.join(b, [key, "i", "j"]).where("a.ord <> b.ord and (i < j or a.ord < b.ord)")
+    b = dealt.groupBy(key, F.col("own").alias("j"), "tile").agg(F.sort_array(F.collect_list("row")).alias("b"))
+    b = b.select(key, "b", "j", F.explode(F.sequence(F.lit(0).cast("long"), "j")).alias("i")).repartition(parts, key, "i", "j")
+    met = b.hint("merge").join(a, [key, "i", "j"]).select(key, "i", "j", "a", F.explode("b").alias("b")).where("a.ord <> b.ord and (i < j or a.ord < b.ord)")
     first = F.col("a.ord") < F.col("b.ord")
-    return met.select(key, F.when(first, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("target"))
+    return compact(met).select(key, F.when(first, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("target"))
 
 
 def _shares(pairs: float | None) -> int:
@@ -103,14 +106,15 @@ def same_package(files: DataFrame) -> DataFrame:
     """Pairs of (ord, id, path) whose paths share at least two leading parts; strength is shared parts / longer path. The pairs are
     the result, so it grows with the square of a package; the first two parts are the join key."""
     parts = files.withColumn("parts", F.filter(F.split("path", "/"), lambda x: (x != "") & (x != "."))).where(F.size("parts") > 1)
-    met = pairs_within(parts.select(F.slice("parts", 1, 2).alias("package"), "ord", "id", "parts"), "package")
-    met = met.select(F.col("source.id").alias("source_id"), F.col("target.id").alias("target_id"), F.col("source.parts").alias("ap"), F.col("target.parts").alias("bp"))
-    # padded to one length by zip_with, where the next parts don't tell; a missing part equals nothing
-    differs = F.transform(F.zip_with("ap", "bp", lambda x, y: x.eqNullSafe(y) & x.isNotNull()), lambda x: x)
-    at = F.array_position(differs, F.lit(False))
-    other = lambda k: ~F.coalesce(F.get("ap", F.lit(k)) == F.get("bp", F.lit(k)), F.lit(False))
-    common = F.when(other(2), 2).when(other(3), 3).when(other(4), 4).when(at == 0, F.size("ap")).otherwise(at - 1).cast("double")
-    met = met.withColumn("strength", common / F.greatest(F.size("ap"), F.size("bp")))
+    n, next_ = F.size("parts"), ["p2", "p3", "p4"]
+    beyond = F.when(n > 5, F.transform(F.sequence(F.lit(6), n), lambda k: F.array_join(F.slice("parts", 1, k), "/"))).otherwise(F.array().cast("array<string>"))
+    rows = parts.select(F.slice("parts", 1, 2).alias("package"), "ord", "id", n.alias("n"), *[F.get("parts", F.lit(k)).alias(p) for k, p in enumerate(next_, 2)], beyond.alias("beyond"))
+    met = pairs_within(rows, "package")
+    # nothing that a pair is asked for walks over arrays, but of paths that have five parts in common; what is missing equals nothing
+    common = F.lit(5) + F.size(F.array_intersect("source.beyond", "target.beyond"))
+    for k, p in reversed(list(enumerate(next_, 2))):
+        common = F.when(F.coalesce(F.col(f"source.{p}") == F.col(f"target.{p}"), F.lit(False)), common).otherwise(k)
+    met = met.select(F.col("source.id").alias("source_id"), F.col("target.id").alias("target_id"), (common / F.greatest("source.n", "target.n")).alias("strength"))
     return met.select(F.concat_ws("_", F.lit("same_package"), "source_id", "target_id").alias("id"), "source_id", "target_id", F.lit("same_package").alias("relationship_type"), "strength")
 
 

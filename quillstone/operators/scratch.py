@@ -76,3 +76,11 @@ def bounded(df: DataFrame) -> DataFrame:
     if df.sparkSession.conf.get(key, None) is None:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``df``, of whose many rows much repeats: tables that the session writes from now on are compressed by zstd, where it sets no codec."""
+    key = "spark.sql.parquet.compression.codec"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, "zstd")
+    return df

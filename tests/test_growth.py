@@ -156,3 +156,27 @@ def test_words_of_a_line_are_looked_for_once(spark, tmp_path):
     plan = made._jdf.queryExecution().analyzed().toString()
     assert "regexp_extract_all" not in plan and plan.count(code.FIRST_TWO) == 2
     assert [r.content for r in made.orderBy("ord").collect()] == ["import w_one\nw_two()\npass\npass\nclass w_ber(w_ma):\n    def w_ma(self): w_ber()\npass\npass\npass\npass\npass\npass\nfrom w_a import w_b\npass", "pass\npass", "pass\npass"]
+
+
+def test_files_of_pairs_compress(spark, tmp_path):
+    """Pairs that follow one another in a file have rows in common, and a codec is set where none is."""
+    import os
+
+    from quillstone.operators import scratch
+
+    files = spark.range(700).select(F.col("id").alias("ord"), F.md5(F.col("id").cast("string")).alias("id"), F.concat(F.lit("a/b/"), F.col("id").cast("string")).alias("path"))
+    made = inference.same_package(files).coalesce(1)
+    made.write.option("compression", "snappy").parquet(str(tmp_path / "out"))
+    written = sum(os.path.getsize(tmp_path / "out" / f) for f in os.listdir(tmp_path / "out") if f.endswith(".parquet"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 700 * 699 // 2 and written < 16 * 700 * 699 // 2
+    key = "spark.sql.parquet.compression.codec"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        scratch.compact(files)
+        assert spark.conf.get(key) == "zstd"
+        spark.conf.set(key, "snappy")
+        scratch.compact(files)
+        assert spark.conf.get(key) == "snappy"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
