@@ -1,5 +1,6 @@
 """What grows with the square of a group leaves tasks small and moves inputs, not results."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import inference
@@ -158,17 +159,22 @@ def test_words_of_a_line_are_looked_for_once(spark, tmp_path):
     assert [r.content for r in made.orderBy("ord").collect()] == ["import w_one\nw_two()\npass\npass\nclass w_ber(w_ma):\n    def w_ma(self): w_ber()\npass\npass\npass\npass\npass\npass\nfrom w_a import w_b\npass", "pass\npass", "pass\npass"]
 
 
-def test_files_of_pairs_compress(spark, tmp_path):
-    """Pairs that follow one another in a file have rows in common, and a codec is set where none is."""
+@pytest.mark.parametrize("kind", ["package", "token"])
+def test_files_of_pairs_compress(spark, tmp_path, kind):
+    """Pairs that follow one another in a file have rows in common."""
     import os
 
-    from quillstone.operators import scratch
-
-    files = spark.range(700).select(F.col("id").alias("ord"), F.md5(F.col("id").cast("string")).alias("id"), F.concat(F.lit("a/b/"), F.col("id").cast("string")).alias("path"))
-    made = inference.same_package(files).coalesce(1)
-    made.write.option("compression", "snappy").parquet(str(tmp_path / "out"))
+    rows = spark.range(700).select(F.col("id").alias("ord"), F.md5(F.col("id").cast("string")).alias("id"), F.concat(F.lit("a/b/"), F.col("id").cast("string")).alias("path"), F.lit("t").alias("token"))
+    made = inference.same_package(rows) if kind == "package" else inference.shared_dependencies(rows)
+    made.coalesce(1).write.option("compression", "snappy").parquet(str(tmp_path / "out"))
     written = sum(os.path.getsize(tmp_path / "out" / f) for f in os.listdir(tmp_path / "out") if f.endswith(".parquet"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 700 * 699 // 2 and written < 16 * 700 * 699 // 2
+
+
+def test_a_codec_is_set_where_none_is(spark):
+    from quillstone.operators import scratch
+
+    files = spark.range(1)
     key = "spark.sql.parquet.compression.codec"
     before = spark.conf.get(key, None)
     try:
