@@ -186,3 +186,11 @@ def test_a_codec_is_set_where_none_is(spark):
         assert spark.conf.get(key) == "snappy"
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_lines_of_imports_are_told_apart_once(spark):
+    """Pairs of supplier and part are not made distinct before they become pairs of supplier and name."""
+    from quillstone.plans import inferring
+
+    plan = inferring._facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
